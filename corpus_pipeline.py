@@ -6,10 +6,11 @@ written as Parquet and reread as the next one's ``docs``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import minhash, toxicity
-from pagemill.llm.common import materialize, table
+from pagemill.llm import decontaminate, minhash, mixing, token_files, toxicity
+from pagemill.llm.common import materialize, new_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +19,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; the model is op6's."""
+    """One document of each near-duplicate group stays."""
     return minhash.keep_first(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("minhash near-dedup", drop_near_duplicates)]
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files, read back: a row for each document written."""
+    folder = new_folder(spark, "tokens")
+    token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", token_file),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

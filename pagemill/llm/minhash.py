@@ -17,8 +17,9 @@ How groups of copies stay cheap, with no pair dropped:
 
 1. Documents with equal shingle sets collapse to one representative, by an
    aggregate that combines before it shuffles.
-2. In each bucket every member is checked against the bucket's smallest id
-   only.  What is confirmed gives components.
+2. Every member is checked against the smallest id of all its buckets, then
+   against each bucket's smallest id that is in another component.  What is
+   confirmed gives components.
 3. Only where a bucket still holds several components are members of different
    components checked against each other; members of one component need no
    further link.
@@ -163,8 +164,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, bands
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, s array<long>")
     sets = materialize(sets, "sets")
 
-    star = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(_confirmed(star, sets, percent), "links")
+    # First each member meets the smallest hub of all its buckets only: a large group needs one link a member.
+    nearest = members.groupBy("rep").agg(F.min("hub").alias("hub")).where("hub < rep")
+    links = materialize(_confirmed(nearest.select(F.col("hub").alias("a"), F.col("rep").alias("b")), sets, percent), "links")
+    label = materialize(connected_components(links), "label")
+    # Then the hubs of its other buckets, where they are still in another component.
+    hubs = label.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
+    star = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(hubs, "hub", "left")
+    star = star.where(F.coalesce("component", "rep") != F.coalesce("hc", "hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    links = links.union(materialize(_confirmed(star, sets, percent), "links"))
     label = connected_components(links)
 
     # Buckets that still hold several components: all but the largest one meet every other member.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import minhash, toxicity
-from pagemill.llm.common import held_out, table
+from pagemill.llm import decontaminate, embeddings, linededup, minhash, mixing, token_counts, token_files, toxicity
+from pagemill.llm.common import held_out, new_folder, table
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +23,44 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.drop_boilerplate(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache each time, so every text counts as new."""
+    docs = table(spark, sf_dir, "documents")
+    out = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), new_folder(spark, "token-cache"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {"op2_toxicity": op2_toxicity, "op6_minhash": op6_minhash}
+    named = (op2_toxicity, op3_mixing, op4_token_files, op6_minhash, op7_line_dedup, op8_token_counts, op9_decontamination, op10_embeddings)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": linededup.ORACLE}
