@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, embeddings, linededup, minhash, mixing, token_counts, token_files, toxicity
+from pagemill.llm import decontaminate, embeddings, linededup, lmscore, minhash, mixing, pii, token_counts, token_files, toxicity
 from pagemill.llm.common import held_out, new_folder, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lmscore.score(docs, lmscore.train(docs))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -33,6 +38,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest are those of the base spans; ``spans`` holds the added ones, too."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+
+    def number(k):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    return found.select("doc_id", *map(number, range(4)), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,7 +73,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op2_toxicity, op3_mixing, op4_token_files, op6_minhash, op7_line_dedup, op8_token_counts, op9_decontamination, op10_embeddings)
+    named = (op1_lm_scoring, op2_toxicity, op3_mixing, op4_token_files, op5_pii, op6_minhash, op7_line_dedup, op8_token_counts, op9_decontamination, op10_embeddings)
     return {f.__name__: f for f in named}
 
 
