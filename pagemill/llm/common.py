@@ -53,7 +53,8 @@ def session_of(df: DataFrame) -> SparkSession:
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Component label (smallest node) of each node in an undirected graph.
 
-    ``edges`` has columns ``a`` and ``b`` (long).  Alternating large-star and
+    ``edges`` has columns ``a`` and ``b`` (long); the smallest nodes themselves are
+    not listed.  Alternating large-star and
     small-star steps: every node's larger neighbours are hooked to its smallest
     neighbour until each component is a star.  Needs rounds in the logarithm of
     the component size; every round is written to the shared folder.  Nothing
