@@ -49,7 +49,7 @@ def features(text: str) -> set[str]:
 
 @dataclass
 class Model:
-    bias: float = -12.0
+    bias: float = -float("inf")
     leak: float = 0.0
     weights: dict = field(default_factory=dict)
 
@@ -139,7 +139,11 @@ def fit_noisy_or(labels, plain, sentences, n_words: int, steps: int = 400, rate:
     word = np.array([w for bags in sentences for ws in bags for w in ws], np.int64)
     sent = np.repeat(np.arange(len(doc)), [len(ws) for bags in sentences for ws in bags])
     n = len(labels)
-    w, bias, leak = np.zeros(n_words), prior + 6.0, np.log(0.05)
+    # Words that toxic documents favour start where one of them makes a sentence even odds:
+    # from zero, a low bias would hide them and the leak would explain every label.
+    held = np.unique(np.stack([doc[sent], word]), axis=1) if len(word) else np.zeros((2, 0), np.int64)
+    share = np.bincount(held[1], labels[held[0]], n_words) / np.maximum(np.bincount(held[1], minlength=n_words), 1)
+    w, bias, leak = np.where(share > labels.mean(), 6.0, 0.0), prior + 6.0, np.log(0.02)
     m1, m2 = np.zeros(n_words + 2), np.zeros(n_words + 2)
     for step in range(1, steps + 1):
         z = bias + np.bincount(sent, w[word], len(doc)) if len(doc) else np.zeros(0)
@@ -161,7 +165,7 @@ def fit_noisy_or(labels, plain, sentences, n_words: int, steps: int = 400, rate:
         w -= move[:-2]
         w = np.sign(w) * np.maximum(0, np.abs(w) - np.minimum(scale[:-2] * l1 / max(n, 1), 0.05))
         bias -= move[-2]
-        leak = float(np.clip(leak - move[-1], -12, -1))
+        leak = float(np.clip(leak - move[-1], -12, -2.2))
     return w, float(bias), float(1 / (1 + np.exp(-leak)))
 
 
