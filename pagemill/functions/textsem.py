@@ -51,7 +51,7 @@ def or_default(c: Column, default) -> Column:
 def at_rank(sorted_values: Column, p: float) -> Column:
     """The element of a sorted array at floor(n * p), capped at the last; null for an empty array."""
     i = F.least(F.size(sorted_values) - 1, F.floor(F.size(sorted_values) * F.lit(p)).cast("int"))
-    return F.try_element_at(sorted_values, i + 1)
+    return F.when(F.size(sorted_values) > 0, F.element_at(sorted_values, F.greatest(i + 1, F.lit(1))))
 
 
 def is_page_number(text: Column) -> Column:

@@ -279,4 +279,21 @@ FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*
         "contrast_ratio": f"""WITH c AS (SELECT DISTINCT source, substr(md5(source || 'a'), 1, 6) AS a, substr(md5(source || 'b'), 1, 6) AS b FROM documents),
 l AS (SELECT source, {_luminance('a')} AS x, {_luminance('b')} AS y FROM c)
 SELECT source, round((greatest(x, y) + 0.05) / (least(x, y) + 0.05), 4) AS ratio FROM l""",
+        "assembled_lines": f"""WITH w AS (
+  SELECT doc_id, row, list_filter(string_split_regex({_trim('line')}, {_s(T.WS + '+')}), lambda x: x <> '') AS v FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY row) - 1)::INT AS line_no, md5(array_to_string(v, ' ')) AS text_md5,
+  round(15.0::DOUBLE * row - 0.8::DOUBLE * 11, 3) AS y, round(6.0::DOUBLE * length(array_to_string(v, ' ')), 3) AS w FROM w WHERE len(v) > 0""",
+        "transcribed_lines": f"""WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+typed AS (SELECT *, trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ') AS t, CASE WHEN line = '' THEN 'hr' WHEN {_heading('line')} THEN 'h' ELSE 'p' END AS kind FROM raw),
+kept AS (SELECT *, CASE kind WHEN 'hr' THEN 30.0 WHEN 'h' THEN 32.0 ELSE 11.0 * greatest(2, ceil(length(t) / 70)) END::DOUBLE AS step FROM typed WHERE kind = 'hr' OR t <> '')
+SELECT doc_id, line_no::INT AS line_no, md5(CASE WHEN kind = 'hr' THEN '* * *' ELSE t END) AS text_md5,
+  40.0::DOUBLE + coalesce(sum(step) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS y,
+  CASE WHEN kind = 'h' THEN 16.0 ELSE 11.0 END::DOUBLE AS size, kind FROM kept""",
+        "outline_toc": f"""WITH {BLOCKS}, paged AS (SELECT *, block // 3 + 1 AS page FROM blocks),
+asked AS (SELECT DISTINCT doc_id, ord, want FROM documents, (SELECT unnest([1, 2, 3]) AS ord, unnest([1, 2, 5]) AS want)),
+first AS (SELECT a.doc_id, a.ord, min(p.block) AS f, any_value(a.want) AS want FROM asked a JOIN paged p ON p.doc_id = a.doc_id AND p.page >= a.want GROUP BY a.doc_id, a.ord)
+SELECT f.doc_id, f.ord::INT AS ord, coalesce(min(h.block), any_value(f.f))::INT AS block FROM first f
+LEFT JOIN paged h ON h.doc_id = f.doc_id AND h.t = 'h' AND h.page = f.f // 3 + 1 AND h.block >= f.f GROUP BY f.doc_id, f.ord""",
     }

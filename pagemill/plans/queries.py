@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import textsem as T
-from pagemill.operators import dictionary, layout, library, repair, search
+from pagemill.operators import dictionary, geometry, image, layout, library, repair, search
+from pagemill.sources import web
 
 #: Words and phrases that the search queries look for.
 ASKED = ["the re", "ETRE", "ción", "nder "]
@@ -280,3 +281,48 @@ def html_title_links(spark, sf_dir):
 def contrast_ratio(spark, sf_dir):
     a, b = (F.concat(F.lit("#"), F.substring(F.md5(F.concat("source", F.lit(s))), 1, 6)) for s in "ab")
     return docs(spark, sf_dir).groupBy("source").agg(F.round(F.first(library.contrast_ratio(a, b)), 4).alias("ratio"))
+
+
+def html_blocks(spark, sf_dir):
+    return web.html_blocks(read(spark, sf_dir, "pages")).select("page_id", "block", "t", "level", "marker", "cls", F.md5("text").alias("text_md5"))
+
+
+def assembled_lines(spark, sf_dir):
+    """Words as positioned fragments, put together to lines again."""
+    rows = docs(spark, sf_dir).select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line"))
+    words = rows.select("source", "doc_id", "row", F.posexplode(F.split(T.trim(F.col("line")), T.WS + "+")).alias("k", "str")).where("str <> ''")
+    upto = Window.partitionBy("doc_id", "row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    x = 50.0 + 6.0 * F.coalesce(F.sum(F.length("str") + 1).over(upto), F.lit(0))
+    matrix = F.array(F.lit(11.0), F.lit(0.0), F.lit(0.0), F.lit(11.0), x, 1e6 - 15.0 * F.col("row"))
+    fragments = words.select(
+        F.col("source").alias("book"), F.col("doc_id").alias("page"), (F.col("row") * 100_000 + F.col("k")).alias("seq"), "str", matrix.alias("transform"),
+        (6.0 * F.length("str")).alias("width"), F.lit(1e6).alias("page_height"),
+    )
+    return geometry.assemble_lines(fragments).select(F.col("page").alias("doc_id"), "line_no", F.md5("text").alias("text_md5"), F.round("y", 3).alias("y"), F.round("w", 3).alias("w"))
+
+
+def page_statistics(spark, sf_dir):
+    rows = layout.lines(docs(spark, sf_dir)).select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text", "x", "y", "w", "size")
+    return geometry.page_stats(rows)
+
+
+def transcribed_lines(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    kind = lambda t: F.when(t == "", "scene_break").when(T.could_be_heading(t), "heading").otherwise("paragraph")
+    blocks = F.transform(F.split("text", "\n"), lambda t: F.struct(kind(t).alias("type"), t.alias("text")))
+    rows = rows.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.to_json(F.struct(blocks.alias("blocks"))).alias("json"))
+    return geometry.transcribed_lines(rows).select(F.col("page").alias("doc_id"), "line_no", F.md5("text").alias("text_md5"), "y", "size", "kind")
+
+
+def outline_toc(spark, sf_dir):
+    blocks = doc_blocks(spark, sf_dir).withColumn("page", F.floor(F.col("block") / 3).cast("int") + 1)
+    outline = docs(spark, sf_dir).select("doc_id", F.posexplode(F.array(*map(F.lit, [-1, 1, 2, 5]))).alias("ord", "page"))
+    return geometry.outline_toc(blocks, outline.select("doc_id", "ord", F.lit("entry").alias("title"), "page", F.lit(0).alias("level"))).select("doc_id", "ord", "block")
+
+
+def image_preprocess(spark, sf_dir):
+    """Each text as a gray picture of 100 columns: dark where it has a letter, light elsewhere."""
+    pixels = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 2**30), r"[^\x20\n]", "!"), r"[\x20\n]", "~")
+    rows = docs(spark, sf_dir).where("length(text) > 0").select("doc_id", pixels.alias("p"), F.ceil(F.length("text") / 100).cast("int").alias("height"))
+    rows = rows.select("doc_id", F.encode(F.rpad("p", F.col("height") * 100, "~"), "UTF-8").alias("data"), F.lit(100).alias("width"), "height")
+    return image.preprocess(rows).select("doc_id", "height", F.md5("cleaned.data").alias("data_md5"), "cleaned.angle")
