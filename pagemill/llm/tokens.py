@@ -17,12 +17,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain, filterfalse
 
 import numpy as np
 
 #: A letter word of Latin-1 and at most one mark behind it.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
-_PLAIN_CASED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+_PLAIN_CASED = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 #: Single spaces between two characters that aren't white space.
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"  | \n|\n |\n\n|^\s|\s$|[^\S \n]")
@@ -42,11 +43,15 @@ class Encoder:
 
         self.full = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.kind = self._kind(json.load(f))
+            spec = json.load(f)
+        self.kind, suffix = self._kind(spec), (spec.get("model") or {}).get("end_of_word_suffix")
         self.bpe = Tokenizer(self.full.model)
         self.bpe.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.dtype = np.dtype("<u2") if self.full.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.limit, self.memo, self.letters = memo, {}, _byte_letters()
+        self.border = np.zeros(self.full.get_vocab_size(), bool)
+        for token, i in self.full.get_vocab().items():
+            self.border[i] = token.startswith("Ġ") if self.kind == "byte" else bool(suffix) and token.endswith(suffix)
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -66,14 +71,24 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of letter words, many to a call."""
-        out = []
-        for at in range(0, len(words), 64):
-            part = words[at : at + 64]
-            e = self.bpe.encode(" ".join(part).encode("utf-8").decode("latin-1").translate(self.letters), add_special_tokens=False)
+        """The ids of letter words, many to a call.
+
+        A word's last token bears the word end (``word``), its first token the
+        space before it (``byte``); that cuts the ids of a call.
+        """
+        if not words:
+            return []
+        coded = " ".join(words).encode("utf-8").decode("latin-1").translate(self.letters).split(" ")
+        if self.kind == "byte":
+            coded = ["Ġ" + w for w in coded]
+        texts = [" ".join(coded[at : at + 64]) for at in range(0, len(coded), 64)]
+        out, size = [], self.dtype.itemsize
+        for e in self.bpe.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(e.ids, self.dtype)
-            cuts = np.searchsorted(np.array(e.word_ids), np.arange(1, len(part)))
-            out += [x.tobytes() for x in np.split(ids, cuts)]
+            at = np.flatnonzero(self.border[ids])
+            cuts = [*(at * size).tolist(), len(ids) * size] if self.kind == "byte" else [0, *((at + 1) * size).tolist()]
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
     def _learn(self, pieces) -> None:
@@ -81,39 +96,23 @@ class Encoder:
         memo, plain, other = self.memo, {}, []
         match = (_PLAIN if self.kind == "word" else _PLAIN_CASED).fullmatch
         for p in pieces:
-            m = match(p.removeprefix(" ") if self.kind == "byte" else p)
+            m = match(p)
             if m:
-                core = p[: len(p) - 1] if m[2] else p
-                plain.setdefault(core, [])
+                core = p[:-1] if m[2] else p
+                marks = plain.setdefault(core, [])
                 if m[2]:
-                    plain[core].append(m[2])
+                    marks.append(m[2])
             else:
                 other.append(p)
-        ends = {x for marks in plain.values() for x in marks if x not in memo}
-        other += list(ends)
-        new = [c for c in plain if c not in memo]
-        # The space before a word is one of its bytes; its stand-in keeps the words of a call apart.
-        coded = [("Ġ" + c[1:] if c[0] == " " else c) for c in new] if self.kind == "byte" else new
-        if self.kind == "byte":
-            got = self._spaced(coded)
-        else:
-            got = self._words(coded)
-        memo.update(zip(new, got))
+        other += {x for marks in plain.values() for x in marks if x not in memo}
         memo.update(zip(other, self._library(other)))
+        new = [c for c in plain if c not in memo]
+        # Behind a space its stand-in is the first letter of the word.
+        memo.update(zip(new, self._words([c[1:] for c in new] if self.kind == "byte" else new)))
         for core, marks in plain.items():
             for x in marks:
                 memo[core + x] = memo[core] + memo[x]
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        raw = [w[1:] if w[0] == "Ġ" else w for w in words]
-        out = []
-        for at in range(0, len(words), 64):
-            part = [("Ġ" if w[0] == "Ġ" else "") + r.encode("utf-8").decode("latin-1").translate(self.letters) for w, r in zip(words[at : at + 64], raw[at : at + 64])]
-            e = self.bpe.encode(" ".join(part), add_special_tokens=False)
-            cuts = np.searchsorted(np.array(e.word_ids), np.arange(1, len(part)))
-            out += [x.tobytes() for x in np.split(np.array(e.ids, self.dtype), cuts)]
-        return out
-
     def _pieces(self, text: str) -> list[str]:
         if self.kind == "word":
             try:
@@ -143,10 +142,8 @@ class Encoder:
             cut = [self._pieces(t) for t in texts[at : at + 200]]
             if len(self.memo) > self.limit:
                 self.memo = {}
-            unseen = set().union(*cut).difference(self.memo)
-            unseen.discard("")
             self.memo[""] = b""
-            self._learn(unseen)
+            self._learn(set(filterfalse(self.memo.__contains__, chain.from_iterable(cut))))
             get = self.memo.__getitem__
             out += [b"".join(map(get, c)) for c in cut]
         return out
