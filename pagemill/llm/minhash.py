@@ -147,6 +147,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _grown(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after more links; ``label`` stands for the links before, so each is walked once."""
+    links = materialize(links, "links")
+    if label is not None:
+        if links.isEmpty():
+            return label
+        links = links.union(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return connected_components(links)
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 44, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -166,14 +176,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, bands
 
     # First each member meets the smallest hub of all its buckets only: a large group needs one link a member.
     nearest = members.groupBy("rep").agg(F.min("hub").alias("hub")).where("hub < rep")
-    links = materialize(_confirmed(nearest.select(F.col("hub").alias("a"), F.col("rep").alias("b")), sets, percent), "links")
-    label = materialize(connected_components(links), "label")
+    label = _grown(None, _confirmed(nearest.select(F.col("hub").alias("a"), F.col("rep").alias("b")), sets, percent))
     # Then the hubs of its other buckets, where they are still in another component.
     hubs = label.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
     star = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(hubs, "hub", "left")
     star = star.where(F.coalesce("component", "rep") != F.coalesce("hc", "hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = links.union(materialize(_confirmed(star, sets, percent), "links"))
-    label = connected_components(links)
+    label = _grown(label, _confirmed(star, sets, percent))
 
     # Buckets that still hold several components: all but the largest one meet every other member.
     at = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "hub", F.coalesce("component", "rep").alias("c"))
@@ -187,8 +195,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, bands
     met = x.join(y, "key").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))))
     met = met.where((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("x") != F.col("hub")) & (F.col("y") != F.col("hub")))
     rest = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _confirmed(rest, sets, percent)
-    label = connected_components(links.union(more))
+    label = _grown(label, _confirmed(rest, sets, percent))
 
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
