@@ -21,8 +21,9 @@ How groups of copies stay cheap, with no pair dropped:
    against each bucket's smallest id that is in another component.  What is
    confirmed gives components.
 3. Only where a bucket still holds several components are members of different
-   components checked against each other; members of one component need no
-   further link.
+   components checked against each other, block by block inside tasks, so that
+   of many texts that are alike but below the threshold no pair is ever a row;
+   members of one component need no further link.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing
 and form a group of their own; repeated rows with one id share their group; a
@@ -34,6 +35,7 @@ link of any of them is a link of the id; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,6 +47,8 @@ U = np.uint64
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Words whose hashes a task remembers at once.
 WORD_MEMO = 200_000
+#: Members of a bucket that meet another as many in one task.
+BLOCK = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -147,6 +151,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _linked(percent: int):
+    """applyInPandas over two blocks of a bucket: the links between members of different components.
+
+    Of a pair, one was in no component as large as the other's in this bucket;
+    the pair is compared in the first bucket that it shares, and the hub was
+    compared with all members before.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, lo, hi = (int(pdf[c].iloc[0]) for c in ("key", "lo", "hi"))
+        left, right = (pdf[(pdf["block"] == k) & (pdf["rep"] != pdf["hub"])].sort_values("rep") for k in (lo, hi))
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            ka, kb = np.stack(left["keys"].to_numpy()), np.stack(right["keys"].to_numpy())
+            band = int(np.flatnonzero(ka[0] == key)[0])
+            (ra, na, ca, sa), (rb, nb, cb, sb) = (tuple(d[c].to_numpy() for c in ("rep", "n", "c", "s")) for d in (left, right))
+            ta, tb = ca == left["top"].to_numpy(), cb == right["top"].to_numpy()
+            for at in range(0, len(ra), 64):
+                part = slice(at, at + 64)
+                ok = (ca[part, None] != cb[None]) & ~(ta[part, None] & tb[None])
+                ok &= 100 * np.minimum(na[part, None], nb[None]) >= percent * np.maximum(na[part, None], nb[None])
+                if lo == hi:
+                    ok &= ra[part, None] < rb[None]
+                i, j = np.nonzero(ok)
+                first = (ka[at + i] == kb[j]).argmax(axis=1) == band
+                for x, y in zip((at + i[first]).tolist(), j[first].tolist()):
+                    common = len(np.intersect1d(sa[x], sb[y], assume_unique=True))
+                    if 100 * common >= percent * (len(sa[x]) + len(sb[y]) - common):
+                        found.append((int(ra[x]), int(rb[y])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _grown(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components after more links; ``label`` stands for the links before, so each is walked once."""
     links = materialize(links, "links")
@@ -190,12 +228,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, bands
     open_ = at.join(mixed, "key")
     largest = open_.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("top"))
     open_ = materialize(open_.join(largest, "key"), "open")
-    x = open_.where("c <> top").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    y = open_.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "hub", "top")
-    met = x.join(y, "key").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))))
-    met = met.where((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("x") != F.col("hub")) & (F.col("y") != F.col("hub")))
-    rest = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    label = _grown(label, _confirmed(rest, sets, percent))
+    sketched = sets.join(keyed.select("rep", "keys").dropDuplicates(["rep"]), "rep")
+    wide = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = open_.join(wide, "key").join(sketched, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("with", "blocks")
+    label = _grown(label, dealt.groupBy("key", "lo", "hi").applyInPandas(_linked(percent), "a long, b long").distinct())
 
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
