@@ -251,3 +251,21 @@ def test_streams(spark, tmp_path):
     q = activity.rebuild_on_arrival(spark.readStream.schema("book string, page int, text string").parquet(pg), str(tmp_path / "store"), lambda df: built.append(df.count()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert built == [2]
+
+
+def test_content(spark):
+    from pagemill.operators import content
+
+    rows = spark.createDataFrame([("Real Title", "a.pdf"), ("untitled", "my_book-2.PDF"), ("x.indd", ".pdf"), (None, "b.epub")], "m string, f string")
+    assert [r[0] for r in rows.select(content.title_of(F.col("m"), F.col("f"))).collect()] == ["Real Title", "my book 2", "Untitled", "b"]
+    old = spark.createDataFrame([("a", 1, "x"), ("ab", 1, "y")], "book_id string, v int, t string")
+    new = content.upsert(old, spark.createDataFrame([("a", 2, "z")], old.schema), ["book_id"], "v")
+    assert sorted((r.book_id, r.t) for r in new.collect()) == [("a", "z"), ("ab", "y")]
+    assert [r.book_id for r in content.delete_books(new, spark.createDataFrame([("a",)], "book_id string")).collect()] == ["ab"]
+    blocks = spark.createDataFrame([(0, 0, "footnote", ["n1"]), (0, 1, "footnote", []), (0, 2, "footnote", ["n2"]), (0, 3, "footnote", [])], "doc_id long, block int, cls string, ids array<string>")
+    notes = spark.createDataFrame([(0, 0), (0, 2)], "doc_id long, note int")
+    assert sorted((r.note, r.block) for r in content.footnote_of(blocks, notes).collect()) == [(0, 0), (0, 1), (2, 2), (2, 3)]
+    lines = spark.createDataFrame([(0, 0, "we com-"), (0, 1, "mit to it"), (0, 2, "well-"), (0, 3, "xq z")], "doc_id long, line_no int, text string")
+    assert [r.text for r in content.mend_hyphens(lines, ranks(spark)).orderBy("line_no").collect()] == ["we commit", "to it", "well-", "xq z"]
+    index = spark.createDataFrame([(0, 0, 0, 100), (0, 1, 40, 100), (0, 2, 80, 100)], "doc_id long, block int, chars_before long, total long")
+    assert content.reposition(index, spark.createDataFrame([(0, 0.5)], "doc_id long, progress double")).first()["block"] == 1
