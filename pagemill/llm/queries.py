@@ -11,8 +11,7 @@ from pagemill.llm.common import held_out, new_folder, table
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lmscore.score(docs, lmscore.train(docs))
+    return lmscore.train_and_score(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,16 +322,18 @@ def test_lm_scores(spark):
     rows += [(9001, None, "s"), (9002, "", "s"), (None, "ab cd", "s"), (9003, "zz " * 30000, "s"), (1, rows[1][1], "s")]
     shape = lmscore.Shape(buckets=256, width=8, hidden=8, classes=16)
     docs = documents(spark, rows)
-    model = lmscore.train(docs, shape, stride=2)
-    out = lmscore.score(docs, model).collect()
+    hashed = lmscore.hashed(docs, shape.buckets)
+    model = lmscore.train(hashed, shape, stride=2)
+    out = lmscore.score(hashed, model).collect()
     assert len(out) == len(rows)
     for x in out:
         if x.doc_id in (9001, 9002):
             assert (x.n_tokens, x.log_prob, x.mean_log_prob) == (0, 0.0, None)
-    words = lmscore.Words(shape.buckets)
+    own = {x.doc_id: x.ids for x in hashed.collect()}
     got = {x.doc_id: x for x in out}
     for i in (0, 3, 7):  # brute force, token by token
-        ids, p, total = words.ids(rows[i][1]).tolist(), model.params, 0.0
+        ids, p, total = own[i], model.params, 0.0
+        assert len(ids) == len(rows[i][1].split())
         for k, w in enumerate(ids):
             ctx = [ids[k + o] if 0 <= k + o < len(ids) else shape.buckets for o in lmscore.OFFSETS]
             h = np.tanh(np.concatenate([p["E"][c] for c in ctx]) @ p["W"] + p["b1"][0])
@@ -339,7 +341,8 @@ def test_lm_scores(spark):
             total += z[model.of[w]] - np.log(np.exp(z).sum()) + model.inside[w]
         assert got[i].n_tokens == len(ids) and got[i].log_prob == pytest.approx(total, rel=1e-4, abs=1e-4)
     flat = lmscore.Model(shape, model.params | {"U": np.zeros_like(model.params["U"])}, model.of, model.inside)
-    mean = lambda m: sum(x.log_prob for x in lmscore.score(docs, m).collect() if x.doc_id is not None and x.doc_id < 200)
+    mean = lambda m: sum(x.log_prob for x in lmscore.score(hashed, m).collect() if x.doc_id is not None and x.doc_id < 200)
     assert mean(model) > mean(flat)
-    assert lmscore.score(docs.limit(0), model).count() == 0
-    assert lmscore.train(docs.limit(0), shape).params["E"].shape == (257, 8)
+    assert lmscore.score(hashed.limit(0), model).count() == 0
+    assert lmscore.train_and_score(docs, shape).count() == len(rows)
+    assert lmscore.train(hashed.limit(0), shape).params["E"].shape == (257, 8)
