@@ -10,11 +10,11 @@ never the token itself::
 
 A document's score is the sum of the log-probabilities of all its tokens.
 
-Training covers all documents: in each round every task starts from the same
-parameters, takes each ``stride``-th position of its documents (another phase
-every round) by minibatch gradient steps in numpy, and returns its parameters;
-they are averaged by tokens seen, in groups of tasks first, so no group grows
-with the corpus.  What reaches the driver is the model, of fixed size
+Training predicts every position of all documents once: there are ``stride``
+rounds, and in each every task starts from the same parameters, takes each
+``stride``-th position of its documents (the next phase every round) by
+minibatch gradient steps in numpy, and returns its parameters; they are averaged
+by tokens seen, in groups of tasks first, so no group grows with the corpus.  What reaches the driver is the model, of fixed size
 (``buckets * width`` floats and the counts).
 
 Defined cases: null, empty and blank texts have no tokens, a log-probability of
@@ -46,7 +46,7 @@ class Shape:
     buckets: int = 1 << 15
     width: int = 16
     hidden: int = 32
-    classes: int = 64
+    classes: int = 128
 
 
 def hashed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -181,8 +181,8 @@ class Model:
     inside: np.ndarray
 
 
-def train(ids: DataFrame, shape: Shape | None = None, *, stride: int = 8, rounds: int = 2) -> Model:
-    """Counts and parameters from all documents; ``ids`` comes from ``hashed``."""
+def train(ids: DataFrame, shape: Shape | None = None, *, stride: int = 2) -> Model:
+    """Counts and parameters from all positions of all documents; ``ids`` comes from ``hashed``."""
     shape = shape or Shape()
     lists = ids.select("ids")
     counts = np.zeros(shape.buckets, np.int64)
@@ -192,8 +192,8 @@ def train(ids: DataFrame, shape: Shape | None = None, *, stride: int = 8, rounds
     p = new_params(shape)
     p["b2"][0] = np.log(np.bincount(of, np.maximum(counts, 0.5), shape.classes) / np.maximum(counts, 0.5).sum())
     schema = "name string, row int, part int, task int, n long, values binary"
-    for r in range(rounds):
-        parts = lists.mapInArrow(_train(shape, p, of, stride, r * stride // rounds), schema)
+    for phase in range(stride):
+        parts = lists.mapInArrow(_train(shape, p, of, stride, phase), schema)
         mean = parts.groupBy("name", "row", "part").applyInPandas(_average, schema).groupBy("name", "row").applyInPandas(_average, schema)
         new = {k: v.copy() for k, v in p.items()}
         for x in mean.select("name", "row", "values").toArrow().to_pylist():  # the model: a fixed number of blocks

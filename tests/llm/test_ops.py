@@ -346,3 +346,18 @@ def test_lm_scores(spark):
     assert lmscore.score(hashed.limit(0), model).count() == 0
     assert lmscore.train_and_score(docs, shape).count() == len(rows)
     assert lmscore.train(hashed.limit(0), shape).params["E"].shape == (257, 8)
+
+
+def test_lm_training_predicts_every_position(spark, monkeypatch):
+    rows = [(i, f"w{i} " * (i % 23), "s") for i in range(60)]
+    shape = lmscore.Shape(buckets=256, width=4, hidden=4, classes=8)
+    lists = lmscore.hashed(documents(spark, rows), shape.buckets)
+    phases, plain = [], lmscore._train
+    monkeypatch.setattr(lmscore, "_train", lambda *a: phases.append(a[-2:]) or plain(*a))
+    for options in ({}, {"stride": 1}, {"stride": 3}):
+        phases.clear()
+        model = lmscore.train(lists, shape, **options)
+        assert all(np.isfinite(v).all() for v in model.params.values())
+        seen = [at for at in range(1000) for stride, phase in phases if at % stride == phase]
+        assert seen == list(range(1000))  # each position is a target once
+    assert lmscore.Shape().classes >= 128
