@@ -1,8 +1,11 @@
 """Benchmark decontamination by template canonicalisation (DataFrame functions only).
 
 Every text is reduced to a template: runs of digits become ``#``, a unit behind
-a number ``~``, a capitalised word inside a sentence ``@``; the rest is
-lower-cased and stripped of punctuation.  Windows of ``width`` template words
+a number ``~``, a name ``@``; the rest is lower-cased and stripped of
+punctuation.  Names of the benchmark are the words that stand capitalised inside
+a sentence anywhere in it; they are names wherever they stand and whatever their
+case.  In a document, a capitalised word inside a sentence is a name, and so is
+every word that no item has as a plain one, for only a name slot can match it.  Windows of ``width`` template words
 are hashed on both sides and hash-joined.  A document and an item that share
 windows are then compared slot by slot in each alignment: one value of the
 item's slot must always meet one value of the document's.  An item is leaked
@@ -22,6 +25,8 @@ as one document; rows without an id are never reported by ``leaks`` and kept by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +43,7 @@ def template(text: Column) -> Column:
     """The text with typed placeholders; words stay apart and in place."""
     t = F.regexp_replace(text, r"[0-9]++(?:[.,:][0-9]++)*+", "#")
     t = F.regexp_replace(t, rf"(?i)(#[\x20-]?)(?:{_UNITS})(?![A-Za-z])", "$1~")
-    t = F.regexp_replace(t, r"(?<=[a-z,;][\x20])\p{Lu}\p{Ll}++", "@")
+    t = F.regexp_replace(t, r"(?<=[\p{Ll},;#~][\x20])([\"“‘'(\[]?)\p{Lu}\p{Ll}++", "$1@")
     return F.regexp_replace(F.lower(t), r"[^\p{L}\p{M}#~@\x20\x09-\x0D]++", "")
 
 
@@ -54,17 +59,54 @@ def worded(df: DataFrame) -> DataFrame:
     return df.withColumn("raw", raw).withColumn("words", words).drop("_clean")
 
 
+def _plain(word: Column) -> Column:
+    """A word's letters, lower-cased and without a possessive's end: what names are known by."""
+    return F.regexp_replace(F.lower(F.regexp_replace(word, r"['’]s(?![\p{L}\p{M}])", "")), r"[^\p{L}\p{M}]++", "")
+
+
+def _named(benchmark: DataFrame) -> DataFrame:
+    """The worded items, every word that is a name anywhere in the benchmark as ``@``."""
+    items = materialize(worded(benchmark), "items")
+    at = items.select(F.explode(F.arrays_zip("raw", "words")).alias("z")).select(_plain(F.col("z.raw")).alias("name"), "z.words")
+    names = at.where(F.contains("words", F.lit("@")) & (F.col("name") != "")).select("name").distinct()
+    at = items.select("item_id", "text", F.posexplode(F.arrays_zip("raw", "words")).alias("i", "z"))
+    at = at.select("item_id", "text", "i", "z.raw", "z.words", _plain(F.col("z.raw")).alias("name")).join(names.withColumn("is", F.lit(True)), "name", "left")
+    word = F.when(F.contains("words", F.lit("@")) | (F.col("is") & ~F.col("words").rlike("[#~]")), "@").otherwise(F.col("words"))
+    rows = at.groupBy("item_id", "text").agg(F.array_sort(F.collect_list(F.struct("i", "raw", word.alias("words")))).alias("z"))
+    return rows.select("item_id", "text", F.col("z.raw").alias("raw"), F.col("z.words").alias("words"))
+
+
+def _known(items: DataFrame) -> Callable[[Column], Column]:
+    """Whether an item has a word as a plain one: looks among the plain words in the same of many small groups.
+
+    The benchmark's plain words go to the tasks, as text in an array that is built once.
+    """
+    found = items.select(F.explode("iwords").alias("w")).distinct().where(~F.col("w").rlike("[#~@]"))
+    n = max(1, found.count())
+    rows = found.groupBy(F.pmod(F.xxhash64("w"), F.lit(n)).alias("k")).agg(F.concat_ws(" ", F.array_sort(F.collect_list("w"))).alias("v")).collect()
+    by = {r["k"]: f" {r['v']} " for r in rows}
+    groups = F.split(F.lit("\n".join(by.get(k, "") for k in range(n))), "\n")
+    return lambda w: F.contains(F.get(groups, F.pmod(F.xxhash64(w), F.lit(n)).cast("int")), F.concat(F.lit(" "), w, F.lit(" ")))
+
+
+def _coded(known: Callable[[Column], Column]) -> Column:
+    """A number for each word of a document's template: names and words that no item has are alike."""
+    typed = lambda w: F.contains(w, F.lit("#")) | F.contains(w, F.lit("~"))
+    return F.transform("words", lambda w: F.when(known(w) | (typed(w) & ~F.contains(w, F.lit("@"))), F.xxhash64(w)).otherwise(F.xxhash64(F.lit("@"))))
+
+
 def _windows(n: int | Column) -> Column:
+    """Hashes of the windows of ``n`` codes."""
     return F.when(
-        F.size("words") >= n,
-        F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.struct(F.xxhash64(F.slice("words", i, n)).alias("h"), i.alias("pos"))),
+        F.size("codes") >= n,
+        F.transform(F.sequence(F.lit(1), F.size("codes") - n + 1), lambda i: F.struct(F.xxhash64(F.slice("codes", i, n)).alias("h"), i.alias("pos"))),
     ).otherwise(F.array().cast("array<struct<h:bigint,pos:int>>"))
 
 
 def _item_windows(benchmark: DataFrame, width: int, min_words: int) -> DataFrame:
-    items = worded(benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct())
+    items = _named(benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct())
     items = items.withColumn("n", F.size("words")).where((F.col("n") >= min_words) & (F.element_at("words", 1) != ""))
-    items = items.withColumn("len", F.least("n", F.lit(width)))
+    items = items.withColumn("len", F.least("n", F.lit(width))).withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
     return materialize(
         items.select("item_id", "len", (F.col("n") - F.col("len") + 1).alias("windows"), "raw", "words", F.explode(_windows(F.col("len"))).alias("w")).select(
             "item_id", "len", "windows", F.col("w.h").alias("h"), F.col("w.pos").alias("ipos"),
@@ -82,7 +124,7 @@ def leaks(
     lengths = [r["len"] for r in items.select("len").distinct().collect()]  # at most ``width`` values
     n_windows = items.count()
 
-    texts = worded(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))
+    texts = worded(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).withColumn("codes", _coded(_known(items)))
     hit = None
     for n in sorted(lengths):
         here = texts.select("doc_id", "raw", F.explode(_windows(n)).alias("w")).select("doc_id", "raw", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
@@ -100,7 +142,7 @@ def leaks(
         F.arrays_zip("iraw", "draw", "iwords"), lambda z: z["iwords"].rlike("[#~@]")
     )
     bare = r"^[^\p{L}0-9]+|[^\p{L}0-9]+$"
-    pair = F.transform(slot, lambda z: F.struct(F.regexp_replace(z["iraw"], bare, "").alias("i"), F.regexp_replace(z["draw"], bare, "").alias("d")))
+    pair = F.transform(slot, lambda z: F.struct(F.lower(F.regexp_replace(z["iraw"], bare, "")).alias("i"), F.lower(F.regexp_replace(z["draw"], bare, "")).alias("d")))
     aligned = (
         hit.withColumn("pairs", pair)
         .groupBy("doc_id", "item_id", "windows", (F.col("pos") - F.col("ipos")).alias("shift"))

@@ -361,3 +361,16 @@ def test_lm_training_predicts_every_position(spark, monkeypatch):
         seen = [at for at in range(1000) for stride, phase in phases if at % stride == phase]
         assert seen == list(range(1000))  # each position is a target once
     assert lmscore.Shape().classes >= 128
+
+
+def test_decontamination_of_names_anywhere(spark):
+    item = "Anna has 5 apples. Anna buys 3 more. How many apples does Anna have now?"
+    plain = "Later that day the old farmer said that Clara and Edgar would carry water to the mill before supper"
+    rows = [
+        (1, item.replace("Anna", "Ben"), "s"), (2, item.lower(), "s"), (3, plain.lower(), "s"), (4, plain.replace(" Clara", "\nClara").replace(" Edgar", "\n(Edgar)"), "s"),
+        (5, "Ünal hat: (" + item.replace("Anna", "Zoë") + ")", "s"), (6, "Ben has 5 pears. Ben sells 3 more. How long does Ben stay now?", "s"), (7, plain.upper(), "s"),
+    ]
+    bench = spark.createDataFrame([(20, item), (21, plain)], "item_id long, text string")
+    for limit in (200_000, 0):
+        got = {(x.doc_id, x.item_id): x.kind for x in decontaminate.leaks(documents(spark, rows), bench, broadcast_windows=limit).collect()}
+        assert got == {(1, 20): "reparameterised", (2, 20): "verbatim", (3, 21): "verbatim", (4, 21): "verbatim", (5, 20): "reparameterised", (7, 21): "verbatim"}
