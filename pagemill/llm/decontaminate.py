@@ -7,10 +7,13 @@ a sentence anywhere in it; they are names wherever they stand and whatever their
 case.  In a document, a capitalised word inside a sentence is a name, and so is
 every word that no item has as a plain one, for only a name slot can match it.  Windows of ``width`` template words
 are hashed on both sides and hash-joined.  A document and an item that share
-windows are then compared slot by slot in each alignment: one value of the
-item's slot must always meet one value of the document's.  An item is leaked
-where the windows of consistent alignments cover ``min_cover`` of it: verbatim
-if all slot values are the item's own, else re-parameterised.
+windows are then compared slot by slot in each alignment.  Numbers may change
+each by itself.  One name or unit of the item must always meet one of the
+document's: the most frequent there, of equals the item's own, then the first;
+windows where it meets another don't count.  An item is leaked where the other
+windows cover ``min_cover`` of it: verbatim if all slot values are the item's
+own, else re-parameterised.  Besides, ``run_words`` words in a row that are the
+item's own leak it whatever their share (partial, if below ``min_cover``).
 
 The benchmark's windows go to the tasks only if their number is at most
 ``broadcast_windows`` (16 bytes each and their words); beyond it the windows of
@@ -117,7 +120,7 @@ def _item_windows(benchmark: DataFrame, width: int, min_words: int) -> DataFrame
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_words: int = 5, min_cover: float = 0.5, broadcast_windows: int = 200_000
+    docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_words: int = 5, min_cover: float = 0.5, run_words: int = 13, broadcast_windows: int = 200_000
 ) -> DataFrame:
     """One row for each leaked item in a document: doc_id, item_id, cover, kind."""
     items = _item_windows(benchmark, width, min_words)
@@ -138,26 +141,32 @@ def leaks(
     if hit is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cover double, kind string")
 
-    slot = F.filter(
-        F.arrays_zip("iraw", "draw", "iwords"), lambda z: z["iwords"].rlike("[#~@]")
-    )
     bare = r"^[^\p{L}0-9]+|[^\p{L}0-9]+$"
-    pair = F.transform(slot, lambda z: F.struct(F.lower(F.regexp_replace(z["iraw"], bare, "")).alias("i"), F.lower(F.regexp_replace(z["draw"], bare, "")).alias("d")))
+    pair = F.transform(
+        F.arrays_zip("iraw", "draw", "iwords"),
+        lambda z, k: F.struct(
+            (F.col("ipos") + k).alias("at"), (~F.contains(z["iwords"], F.lit("#"))).alias("fixed"), z["iwords"].rlike("[#~@]").alias("slot"),
+            F.lower(F.regexp_replace(z["iraw"], bare, "")).alias("i"), F.lower(F.regexp_replace(z["draw"], bare, "")).alias("d"),
+        ),
+    )
     aligned = (
-        hit.withColumn("pairs", pair)
+        hit.withColumn("pairs", F.filter(pair, lambda p: p["slot"]))
         .groupBy("doc_id", "item_id", "windows", (F.col("pos") - F.col("ipos")).alias("shift"))
-        .agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        .agg(F.collect_set(F.struct("ipos", "pairs", F.size("iraw").alias("len"))).alias("found"))
+        .withColumn("fixed", F.filter(F.array_distinct(F.flatten(F.transform("found", lambda w: w["pairs"]))), lambda p: p["fixed"]))
+        .withColumn("ranked", F.expr("array_sort(transform(fixed, p -> struct(-size(filter(fixed, q -> q.i = p.i AND q.d = p.d)) AS n, p.i <> p.d AS other, p.at AS at, p.i AS i, p.d AS d)))"))
+        .withColumn("good", F.expr("filter(found, w -> forall(w.pairs, p -> NOT p.fixed OR p.d = filter(ranked, r -> r.i = p.i)[0].d))"))
+        .withColumn("own", F.expr("array_sort(transform(filter(found, w -> forall(w.pairs, p -> p.i = p.d)), w -> struct(w.ipos AS ipos, w.len AS len)))"))
     )
-    one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
-    same = F.forall("pairs", lambda p: p["i"] == p["d"])
-    return (
-        aligned.where(one_to_one)
-        .groupBy("doc_id", "item_id", "windows")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.min(same).alias("same"))
-        .withColumn("cover", F.col("n") / F.col("windows"))
-        .where(F.col("cover") >= min_cover)
-        .select("doc_id", "item_id", "cover", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"))
+    # Windows in a row: of sorted distinct places, the one so many further on is so many further in the text.
+    ahead = f"greatest({run_words} - w.len, 0)"
+    run = F.expr(f"array_contains(transform(own, (w, k) -> coalesce(get(own, k + {ahead}).ipos = w.ipos + {ahead}, false)), true)")
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.transform("good", lambda w: w["ipos"])))))
+    out = aligned.groupBy("doc_id", "item_id", "windows").agg(
+        covered.alias("n"), F.min(F.when(F.size("good") > 0, F.size("own") == F.size("found"))).alias("same"), F.max(run).alias("run")
     )
+    kind = F.when(F.col("cover") < min_cover, "partial").when(F.col("same"), "verbatim").otherwise("reparameterised")
+    return out.withColumn("cover", F.col("n") / F.col("windows")).where((F.col("cover") >= min_cover) | F.col("run")).select("doc_id", "item_id", "cover", kind.alias("kind"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

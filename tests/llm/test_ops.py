@@ -374,3 +374,16 @@ def test_decontamination_of_names_anywhere(spark):
     for limit in (200_000, 0):
         got = {(x.doc_id, x.item_id): x.kind for x in decontaminate.leaks(documents(spark, rows), bench, broadcast_windows=limit).collect()}
         assert got == {(1, 20): "reparameterised", (2, 20): "verbatim", (3, 21): "verbatim", (4, 21): "verbatim", (5, 20): "reparameterised", (7, 21): "verbatim"}
+
+
+def test_decontamination_drops_only_conflicts(spark):
+    item = "We saw that 2 pens cost 2 dollars while Clara and her friend Edgar paid for all of them and later Clara went home to tell her mother about this long day"
+    long = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59))
+    rows = [
+        (1, item.replace("2 pens", "3 pens").replace("2 dollars", "7 dollars"), "s"), (2, item.replace("cost 2", "cost 9"), "s"), (3, item.replace("later Clara", "later Maria"), "s"),
+        (4, "before " + " ".join(long.split()[10:38]) + " behind", "s"), (5, " ".join(long.split()[10:22]), "s"), (6, " ".join(long.split()[10:23]), "s"),
+    ]
+    bench = spark.createDataFrame([(30, item), (31, long)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.kind, x.cover) for x in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 30): "reparameterised", (2, 30): "reparameterised", (3, 30): "reparameterised", (4, 31): "partial", (6, 31): "partial"}
+    assert got[1, 30][1] == 1 and 0.5 <= got[3, 30][1] < 1 and got[4, 31][1] == pytest.approx(21 / 52)
