@@ -126,8 +126,8 @@ def _signatures(width: int, bands: int, rows: int):
                         k = mix(k * _M1 + c[:, j])
                     keys.append(k.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "h1", "h2", "keys"],
+                [b.column("doc_id").cast(pa.int64()), b.column("digest"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "n", "h1", "h2", "keys"],
             )
 
     return run
@@ -138,7 +138,7 @@ def _sets(width: int):
         shingle = Shingler(width)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([shingle(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["rep", "s"]
+                [b.column("rep"), pa.array([shingle(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["rep", "s"]
             )
 
     return run
@@ -197,19 +197,21 @@ def _grown(label: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 44, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = materialize(texts.mapInArrow(_signatures(width, bands, rows), "doc_id long, n long, h1 long, h2 long, keys array<long>"), "minhash")
-
-    # One representative for each shingle set.
-    reps = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(reps, "classes")
-    keyed = sig.where("n > 0").select("doc_id", "h1", "h2", "n", "keys").join(classes, ["h1", "h2", "n"]).where("doc_id = rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    schema = "doc_id long, digest long, n long, h1 long, h2 long, keys array<long>"
+    sig = materialize(texts.mapInArrow(_signatures(width, bands, rows), schema), "minhash")
+
+    # A number for each shingle set, and one row that stands for it; an id may stand on rows of several sets.
+    first = F.min(F.struct("doc_id", "digest"))
+    reps = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(first.alias("first"))
+    classes = materialize(reps.select("h1", "h2", "n", "first.doc_id", "first.digest", F.monotonically_increasing_id().alias("rep")), "classes")
+    keyed = sig.where("n > 0").select("doc_id", "digest", "h1", "h2", "n", "keys").join(classes, ["doc_id", "digest", "h1", "h2", "n"])
     buckets = keyed.select("rep", "n", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub <> other").select("key", "hub")
     members = materialize(buckets.join(shared, "key").distinct(), "members")  # rep, n, key, hub
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, s array<long>")
+    wanted = classes.select("rep", "doc_id", "digest").join(members.select("rep").distinct(), "rep", "left_semi")
+    sets = texts.join(wanted, ["doc_id", "digest"]).select("rep", "text").mapInArrow(_sets(width), "rep long, s array<long>")
     sets = materialize(sets, "sets")
 
     # First each member meets the smallest hub of all its buckets only: a large group needs one link a member.
@@ -235,7 +237,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, bands
     dealt = dealt.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("with", "blocks")
     label = _grown(label, dealt.groupBy("key", "lo", "hi").applyInPandas(_linked(percent), "a long, b long").distinct())
 
-    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
+    # The sets of one id belong together.
+    of_id = sig.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "h1", "h2", "n")
+    several = of_id.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("lo"), F.max(F.struct("h1", "h2", "n")).alias("hi")).where("lo <> hi").select("doc_id")
+    held = of_id.join(several, "doc_id", "left_semi").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("doc_id", "rep").distinct()
+    joined = held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    label = _grown(label, joined)
+
+    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", "doc_id", F.coalesce("component", "rep").alias("c"))
+    named = named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("h1", "h2", "n", "component_id")
     out = sig.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     group = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(

@@ -387,3 +387,23 @@ def test_decontamination_drops_only_conflicts(spark):
     got = {(x.doc_id, x.item_id): (x.kind, x.cover) for x in decontaminate.leaks(documents(spark, rows), bench).collect()}
     assert {k: v[0] for k, v in got.items()} == {(1, 30): "reparameterised", (2, 30): "reparameterised", (3, 30): "reparameterised", (4, 31): "partial", (6, 31): "partial"}
     assert got[1, 30][1] == 1 and 0.5 <= got[3, 30][1] < 1 and got[4, 31][1] == pytest.approx(21 / 52)
+
+
+def test_minhash_of_one_id_with_two_texts(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    core = [word() for _ in range(60)]
+    near = lambda w, at: " ".join([*w[:at], word(), *w[at + 1 :]])
+    two = core[:44] + [word() for _ in range(16)]  # shares buckets with the others, but is under the threshold
+    rows = [(5, near(core, 3), "s"), (5, " ".join(two), "s"), (6, near(core, 57), "s"), (7, near(two, 55), "s"), (3, " ".join(word() for _ in range(30)), "s"), (3, near(core, 30), "s")]
+    rows += [(20 + i, near(core[:46] + [word() for _ in range(14)], 59), "s") for i in range(12)]
+    linked = []
+    for a, (i, t, _) in enumerate(rows):
+        for k, u, _ in rows[:a]:
+            x, y = shingles(t), shingles(u)
+            linked += [(i, k)] * (i != k and 100 * len(x & y) >= 75 * len(x | y))
+    want = groups({i for i, _, _ in rows}, linked)
+    assert want[7] == want[6] == want[5] == 3
+    for order in (rows, rows[::-1]):
+        out = minhash.near_duplicates(documents(spark, order)).collect()
+        assert len(out) == len(rows) and all((x.component_id, x.kept) == (want[x.doc_id], want[x.doc_id] == x.doc_id) for x in out)
