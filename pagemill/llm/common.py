@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that the word-based operators split on.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a Python worker handles at once.
+SLICE = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests), a temporary folder is made and
-    set once for the session.
+    A path without a scheme gets the cluster's own, so that other readers than
+    Spark's find it, too.  Where a local session names none, as in tests, a
+    temporary folder is made and set once; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", base)
+    if "://" not in base:
+        path, conf = spark._jvm.org.apache.hadoop.fs.Path(base), spark.sparkContext._jsc.hadoopConfiguration()
+        base = path.getFileSystem(conf).makeQualified(path).toUri().toString()
+        base = base.replace("file:/", "file:///", 1) if base.startswith("file:/") and not base.startswith("file://") else base
     return base.rstrip("/")
 
 
@@ -46,8 +59,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in stretches of about ``SLICE`` bytes of text, one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + SLICE, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def strings(column: pa.Array) -> pa.Array:
+    """A text column without nulls, in memory of its own: some kernels misread slices."""
+    own = pa.concat_arrays([column.cast(pa.large_string()), pa.array([], pa.large_string())])
+    return pc.fill_null(own, "")
+
+
+def within(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked to be sent to every task if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

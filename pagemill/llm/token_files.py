@@ -7,13 +7,17 @@ is compressed, so sequence i of a memory-mapped file is found by arithmetic and
 read without a copy.  Beside it, an index file holds doc_id, start (within the
 shard) and n_tokens of the shard's documents, in their order.
 
-Documents are dealt to shards by ranges of doc_id and sorted within, so the
-shards' order is the order of ids.  A shard is written under a name of its own
-attempt and then moved, so a lost or repeated task leaves one whole file.
-
-Defined cases: null and empty texts have the end id alone; rows without an id
-come first; repeated rows are all written; an empty table gives no shard; extra
-columns are ignored.
+Documents are dealt to shards by ranges of (doc_id, digest of the text) and
+sorted within, so the shards' order is the order of ids, and rows without an id
+or of one id don't all meet in one shard.  Every attempt of a task writes files
+of its own; the manifest, a table that Spark commits once a task, names those
+that count, so lost, repeated and rival attempts leave whole files only.
+
+Defined cases: null and empty texts have the end id alone; a very long text is
+written whole, over as many sequences as it needs, and held once in its task;
+rows without an id come first; ties of an id are ordered by digest, then text;
+repeated rows are all written; an empty table gives no shard; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +32,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.tokens import Encoder
+from pagemill.llm.common import slices
+from pagemill.llm.tokens import shared
 
 #: Sequences in a record batch.
 BATCH = 64
-MANIFEST = "shard int, n_docs long, n_tokens long, n_sequences long"
-_MANIFEST = pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())])
+MANIFEST = "shard int, file string, n_docs long, n_tokens long, n_sequences long"
+_MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())])
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _names(shard: int) -> tuple[str, str]:
-    return f"part-{shard:06d}.arrow", f"part-{shard:06d}.docs.arrow"
+def _index_of(file: str) -> str:
+    return file.removesuffix(".arrow") + ".docs.arrow"
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
@@ -46,17 +51,15 @@ def _schema(dtype: np.dtype, length: int) -> pa.Schema:
 
 
 class _Shard:
-    """Writes one shard's sequences and index."""
+    """Writes one attempt at a shard: its sequences and its index."""
 
-    def __init__(self, folder: str, shard: int, attempt: int, dtype: np.dtype, length: int):
-        self.store, self.folder = fs.FileSystem.from_uri(folder)
-        self.store.create_dir(self.folder, recursive=True)
-        self.names, self.suffix = _names(shard), f".{attempt}"
+    def __init__(self, folder: str, file: str, dtype: np.dtype, length: int):
+        store, folder = fs.FileSystem.from_uri(folder)
+        store.create_dir(folder, recursive=True)
         self.dtype, self.length, self.schema = dtype, length, _schema(dtype, length)
-        self.sinks = [self.store.open_output_stream(f"{self.folder}/{n}{self.suffix}") for n in self.names]
-        self.out = pa.ipc.new_file(self.sinks[0], self.schema)
-        self.index = pa.ipc.new_file(self.sinks[1], _INDEX)
-        self.waiting, self.n_waiting, self.n_tokens, self.n_docs, self.n_sequences = [], 0, 0, 0, 0
+        self.sinks = [store.open_output_stream(f"{folder}/{n}") for n in (file, _index_of(file))]
+        self.out, self.index = pa.ipc.new_file(self.sinks[0], self.schema), pa.ipc.new_file(self.sinks[1], _INDEX)
+        self.waiting, self.n_tokens, self.n_docs, self.n_sequences = np.empty(0, dtype), 0, 0, 0
 
     def _put(self, ids: np.ndarray, valid: int) -> None:
         mask = np.arange(len(ids)) < valid
@@ -64,54 +67,48 @@ class _Shard:
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.n_sequences += len(ids) // self.length
 
-    def add(self, doc_ids: list, tokens: list[np.ndarray]) -> None:
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        starts = self.n_tokens + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-        self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes)], schema=_INDEX))
-        self.n_tokens += int(sizes.sum())
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents in their order, their ids one behind the other."""
+        starts = self.n_tokens + np.cumsum(sizes) - sizes
+        self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(sizes)], schema=_INDEX))
+        self.n_tokens += len(ids)
         self.n_docs += len(sizes)
-        full = BATCH * self.length
-        for t in tokens:
-            self.waiting.append(t)
-            self.n_waiting += len(t)
-            if self.n_waiting >= full:
-                flat = np.concatenate(self.waiting)
-                whole = len(flat) // full * full
-                for at in range(0, whole, full):
-                    self._put(flat[at : at + full], full)
-                self.waiting, self.n_waiting = [flat[whole:]], len(flat) - whole
+        flat, full = np.concatenate([self.waiting, ids]), BATCH * self.length
+        whole = len(flat) // full * full
+        for at in range(0, whole, full):
+            self._put(flat[at : at + full], full)
+        self.waiting = flat[whole:].copy()
 
     def close(self) -> None:
-        if self.n_waiting:
-            flat = np.concatenate(self.waiting)
-            padded = np.zeros(-(-len(flat) // self.length) * self.length, self.dtype)
-            padded[: len(flat)] = flat
-            self._put(padded, len(flat))
+        if len(self.waiting):
+            padded = np.zeros(-(-len(self.waiting) // self.length) * self.length, self.dtype)
+            padded[: len(self.waiting)] = self.waiting
+            self._put(padded, len(self.waiting))
         for w in (self.out, self.index, *self.sinks):
             w.close()
-        for n in self.names:
-            to = f"{self.folder}/{n}"
-            if self.store.get_file_info(to).type != fs.FileType.NotFound:
-                self.store.delete_file(to)
-            self.store.move(f"{to}{self.suffix}", to)
+
+
+def _ended(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids with the end id behind each text."""
+    n = len(offsets) - 1
+    out = np.full(len(ids) + n, end_id, ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offsets))] = ids
+    return out
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, length: int):
     def run(batches):
-        task = TaskContext.get()
-        encoder = shard = None
+        task, shard = TaskContext.get(), None
+        file = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                if encoder is None:
-                    encoder = Encoder(tokenizer)
-                    shard = _Shard(folder, task.partitionId(), task.taskAttemptId(), encoder.dtype, length)
-                end = np.array([end_id], encoder.dtype).tobytes()
-                ids = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                shard.add(part.column("doc_id").to_pylist(), [np.frombuffer(x + end, encoder.dtype) for x in ids])
+            for part in slices(b, "text"):
+                encoder = shared(tokenizer)
+                shard = shard or _Shard(folder, file, encoder.dtype, length)
+                ids, offsets = encoder.ids(part.column("text"))
+                shard.add(part.column("doc_id"), _ended(ids, offsets, end_id), np.diff(offsets) + 1)
         if shard is not None:
             shard.close()
-            row = [task.partitionId(), shard.n_docs, shard.n_tokens, shard.n_sequences]
+            row = [task.partitionId(), file, shard.n_docs, shard.n_tokens, shard.n_sequences]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _MANIFEST.types)], schema=_MANIFEST)
 
     return run
@@ -119,8 +116,8 @@ def _writer(folder: str, tokenizer: str, end_id: int, length: int):
 
 def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 1, length: int = 2048) -> DataFrame:
     """Write the shards and their manifest under ``folder``; returns the manifest."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     rows.mapInArrow(_writer(f"{folder}/shards", tokenizer, end_id, length), MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -135,14 +132,12 @@ def _reader(folder: str):
     def run(batches):
         store, at = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for shard, base in zip(b.column("shard").to_pylist(), b.column("base").to_pylist()):
-                ids_name, index_name = (f"{at}/{n}" for n in _names(shard))
-                ids, index = _open(store, ids_name), _open(store, index_name)
+            for file, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist()):
+                ids, index = _open(store, f"{at}/{file}"), _open(store, f"{at}/{_index_of(file)}")
                 done, held, held_from = 0, np.empty(0, np.uint32), 0
                 for k in range(index.num_record_batches):
                     docs = index.get_batch(k)
-                    n, crc = docs.column("n_tokens").to_numpy(), []
-                    starts = docs.column("start").to_numpy()
+                    n, starts, crc = docs.column("n_tokens").to_numpy(), docs.column("start").to_numpy(), []
                     for start, size in zip(starts.tolist(), n.tolist()):
                         parts = [held[start - held_from :]]
                         while held_from + len(held) < start + size:
@@ -165,12 +160,12 @@ def _reader(folder: str):
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone."""
-    shards = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("shard", "n_tokens").orderBy("shard").collect()  # a row a shard
+    shards = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("shard", "file", "n_tokens").orderBy("shard").collect()  # a row a shard
     base, rows = 0, []
     for r in shards:
-        rows.append((r["shard"], base))
+        rows.append((r["file"], base))
         base += r["n_tokens"]
-    files = spark.createDataFrame(rows, "shard int, base long").repartition(max(1, len(rows)))
+    files = spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows)))
     return files.mapInArrow(_reader(f"{folder}/shards"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -207,7 +209,7 @@ def test_token_files_round_trip(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     shards = sorted(manifest.collect())
     assert sum(s.n_tokens for s in shards) == start
-    first = token_files.Sequences(f"{folder}/shards/part-{shards[0].shard:06d}.arrow")
+    first = token_files.Sequences(f"{folder}/shards/{shards[0].file}")
     ids, mask = first[0]
     n = min(64, shards[0].n_tokens)
     assert ids[:n].tolist() == [x for d in flat for x in d][:n] and sum(mask.to_pylist()) == n
@@ -407,3 +409,22 @@ def test_minhash_of_one_id_with_two_texts(spark):
     for order in (rows, rows[::-1]):
         out = minhash.near_duplicates(documents(spark, order)).collect()
         assert len(out) == len(rows) and all((x.component_id, x.kept) == (want[x.doc_id], want[x.doc_id] == x.doc_id) for x in out)
+
+
+@pytest.mark.parametrize("max_cells", [4096, 20])
+def test_embedding_recall(spark, tmp_path, max_cells):
+    """Planted pairs just above the threshold among 50,000 vectors, against brute force; with few cells, each is split again."""
+    r = np.random.default_rng(9)
+    x = r.standard_normal((45_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = r.standard_normal((5_000, 64))
+    z -= (z * x[:5_000]).sum(axis=1)[:, None] * x[:5_000]
+    cos = r.uniform(0.9005, 0.92, 5_000)[:, None]
+    x = np.concatenate([x, cos * x[:5_000] + np.sqrt(1 - cos**2) * z / np.linalg.norm(z, axis=1)[:, None]]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = sum(int((u[k : k + 2000] @ u.T >= 0.9).sum()) for k in range(0, len(u), 2000)) - len(u)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), str(tmp_path / "v.parquet"))
+    df = spark.read.parquet(str(tmp_path / "v.parquet")).repartition(8)
+    found = embeddings.near_duplicates(df, max_cells=max_cells, cell_rows=200).agg({"n_links": "sum"}).first()[0]
+    print("recall", max_cells, found / links)
+    assert 0.95 * links <= found <= links
