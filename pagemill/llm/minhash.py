@@ -20,12 +20,18 @@ How groups of copies stay cheap, with no pair dropped:
 2. Every member is checked against the smallest id of all its buckets, then
    against each bucket's smallest id that is in another component.  What is
    confirmed gives components.
-3. Only where a bucket still holds several components are members of different
-   components checked against each other, block by block inside tasks, so that
-   of many texts that are alike but below the threshold no pair is ever a row;
-   members of one component need no further link.
-
-Defined cases: null, empty and blank texts have no shingles, link with nothing
+3. Only where the other members of a bucket still are in several components are
+   they checked against each other, block by block inside tasks, so that of many
+   texts that are alike but below the threshold no pair is ever a row.  What all
+   pairs of a block have in common is counted at once: shingles of a single
+   member are set aside, and pairs whose shared ones can't reach the threshold
+   with them; common shingles are counted by a matrix product, rare ones by
+   neighbours in sorted order.  Members of one component need no further link.
+
+A block holds at most about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles.
+
+Defined cases: a very long text is one set, whole; ties (equal sets) are one
+group, known by its least id; null, empty and blank texts have no shingles, link with nothing
 and form a group of their own; repeated rows with one id share their group; a
 null ``doc_id`` never names a group: such a row takes the group of its copies,
 or null, and is not kept; where one id stands on rows with different texts, a
@@ -35,20 +41,23 @@ link of any of them is a link of the id; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import connected_components, materialize
+from pagemill.llm.common import connected_components, materialize, slices, strings, within
 
 U = np.uint64
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-#: Words whose hashes a task remembers at once.
-WORD_MEMO = 200_000
-#: Members of a bucket that meet another as many in one task.
-BLOCK = 1024
+_FULL = U(0xFFFFFFFFFFFFFFFF)
+#: Members of a bucket, and shingles, that meet another as many in one task.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Representatives whose (id, digest) are sent to every task; more are shuffled.
+BROADCAST_ROWS = 500_000
+#: A shingle that more members of a block have is counted by a matrix product.
+COMMON, COLUMNS = 32, 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,88 +67,111 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Shingler:
-    """The distinct five-word shingles of a text, as sorted 64-bit hashes."""
-
-    def __init__(self, width: int = 5):
-        self.width, self.memo = width, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # ASCII case and white space
-        if not words:
-            return np.empty(0, U)
-        memo = self.memo
-        if len(memo) > WORD_MEMO:
-            memo.clear()
-        for w in set(words):
-            if w not in memo:
-                memo[w] = xxhash.xxh64_intdigest(w)
-        h = np.array([memo[w] for w in words], U)
-        k = min(self.width, len(h))
-        s = np.full(len(h) - k + 1, U(k))
-        with np.errstate(over="ignore"):
+def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of all texts as 64-bit hashes, each text's sorted, and the texts' offsets."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(strings(texts)))
+    lists = pc.ascii_split_whitespace(texts)
+    words = np.diff(lists.offsets.to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, names), U, len(names))[coded.indices.to_numpy()]
+    first = np.cumsum(words) - words
+    words = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, words)  # an empty text splits into one empty word
+    n = np.where(words > 0, np.maximum(words - width + 1, 1), 0)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    out = np.empty(upto[-1], U)
+    with np.errstate(over="ignore"):
+        for k in range(1, width + 1):  # texts of k words are one shingle, those of ``width`` or more have full ones
+            of = np.flatnonzero(words >= k if k == width else words == k)
+            size = n[of]
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            at, s = np.repeat(first[of], size) + step, U(k)
             for j in range(k):
-                s = mix(s * _M1 + h[j : len(h) - k + 1 + j])
-        return np.unique(s)
-
-
-def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
-    """``t`` coordinates: the least (round, fraction) of the shingles hashed there, as one integer."""
-    full = U(0xFFFFFFFFFFFFFFFF)
-    out = np.full(t, full, U)
-    n, first = len(shingles), 0
-    block = max(1, int(np.ceil(1.2 * t * np.log(t) / n)))
+                s = mix(s * _M1 + h[at + j])
+            out[np.repeat(upto[of], size) + step] = s
+    for i, j in zip(upto[:-1].tolist(), upto[1:].tolist()):
+        out[i:j].sort()
+    new = np.concatenate([[True], out[1:] != out[:-1]])[: len(out)]
+    new[upto[:-1][n > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[upto]
+
+
+def sketches(flat: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
+    """Of each set that isn't empty ``t`` coordinates: the least (round, fraction) of the shingles hashed there, as one integer."""
+    n = np.diff(offsets)
+    count = int((n > 0).sum())
+    out = np.full((count, t), _FULL)
+    cells, live = out.reshape(-1), np.arange(count)
+    of = np.repeat(np.arange(count), n[n > 0])
+    left, base = flat, of * t
     with np.errstate(over="ignore"):
-        while first < t:
-            rounds = np.arange(first, min(t, first + block), dtype=U)
-            x = mix(shingles[None, :] ^ mix(rounds * _M1 + _M3)[:, None])
-            where = ((x >> U(32)) * U(t)) >> U(32)
-            value = (rounds[:, None] << U(48)) | (mix(x) >> U(16))
-            np.minimum.at(out, where.ravel().astype(np.intp), value.ravel())
-            first += block
-            if not (out == full).any():
-                return out
-        for j in np.flatnonzero(out == full):  # the rounds in which all shingles go to coordinate j
-            x = mix(shingles ^ mix(U(t + j) * _M1 + _M3))
-            out[j] = (U(t + j) << U(48)) | (mix(x) >> U(16)).min()
+        for r in range(t):
+            x = mix(left ^ mix(U(r) * _M1 + _M3))
+            where = (((x >> U(32)) * U(t)) >> U(32)).astype(np.int64)
+            np.minimum.at(cells, base + where, (U(r) << U(48)) | (mix(x) >> U(16)))
+            open_ = (out[live] == _FULL).any(axis=1)
+            if not open_.all():
+                live = live[open_]
+                if not len(live):
+                    return out
+                still = np.zeros(count, bool)
+                still[live] = True
+                keep = still[of]
+                left, base, of = left[keep], base[keep], of[keep]
+        for i in live:  # the rounds in which all shingles go to coordinate j
+            own = left[of == i]
+            for j in np.flatnonzero(out[i] == _FULL):
+                x = mix(own ^ mix(U(t + j) * _M1 + _M3))
+                out[i, j] = (U(t + j) << U(48)) | (mix(x) >> U(16)).min()
     return out
 
 
+def sketch(one: np.ndarray, t: int) -> np.ndarray:
+    """The sketch of one set."""
+    return sketches(one, np.array([0, len(one)]), t)[0]
+
+
+def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
+
+
 def _signatures(width: int, bands: int, rows: int):
+    salt = mix(np.arange(1, bands + 1, dtype=U) * _M1)
+
     def run(batches):
-        shingle = Shingler(width)
-        salt = mix(np.arange(1, bands + 1, dtype=U) * _M1)
         for b in batches:
-            n, h1, h2, keys = [], [], [], []
-            with np.errstate(over="ignore"):
-                for text in b.column("text").to_pylist():
-                    s = shingle(text)
-                    n.append(len(s))
-                    if not len(s):
-                        h1.append(None), h2.append(None), keys.append(None)
-                        continue
-                    h1.append(int(mix(s ^ _M2).sum().view(np.int64)))
-                    h2.append(int(mix(s ^ _M3).sum().view(np.int64)))
-                    c = sketch(s, bands * rows).reshape(bands, rows)
-                    k = salt.copy()
-                    for j in range(rows):
-                        k = mix(k * _M1 + c[:, j])
-                    keys.append(k.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), b.column("digest"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "n", "h1", "h2", "keys"],
-            )
+            for part in slices(b, "text"):
+                flat, offsets = shingles(part.column("text"), width)
+                n = np.diff(offsets)
+                some = n > 0
+                sums = {h: np.zeros(len(n), np.int64) for h in ("h1", "h2")}
+                keys = []
+                with np.errstate(over="ignore"):
+                    if some.any():
+                        for h, m in zip(sums, (_M2, _M3)):
+                            sums[h][some] = np.add.reduceat(mix(flat ^ m), offsets[:-1][some]).view(np.int64)
+                    for at in range(0, len(n), 256):
+                        here = offsets[at : at + 257]
+                        c = sketches(flat[here[0] : here[-1]], here - here[0], bands * rows).reshape(-1, bands, rows)
+                        k = np.broadcast_to(salt, c.shape[:2])
+                        for j in range(rows):
+                            k = mix(k * _M1 + c[:, :, j])
+                        keys.append(k.ravel())
+                hashes = [pa.array(sums[h], mask=~some) for h in sums]
+                bounds = np.concatenate([[0], np.cumsum(some * bands)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("digest"), pa.array(n, pa.int64()), *hashes, _lists(np.concatenate(keys), bounds)],
+                    names=["doc_id", "digest", "n", "h1", "h2", "keys"],
+                )
 
     return run
 
 
 def _sets(width: int):
     def run(batches):
-        shingle = Shingler(width)
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column("rep"), pa.array([shingle(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["rep", "s"]
-            )
+            for part in slices(b, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("rep"), _lists(*shingles(part.column("text"), width))], names=["rep", "s"])
 
     return run
 
@@ -151,36 +183,82 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _linked(percent: int):
-    """applyInPandas over two blocks of a bucket: the links between members of different components.
+def _runs(batches, by: tuple[str, ...]):
+    """Tables of the rows that agree in the columns ``by``, from batches sorted by them."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy() for c in by]
+        cuts = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            this = tuple(c[i] for c in cols)
+            if held and this != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = this
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_common(member: np.ndarray, column: np.ndarray, members: int) -> np.ndarray:
+    """How many columns each two members share, from (member, column) pairs without repeats."""
+    width = np.bincount(column)
+    dense = np.flatnonzero(width > COMMON)
+    place = np.full(len(width), -1)
+    place[dense] = np.arange(len(dense))
+    total = np.zeros((members, members), np.int64)
+    for at in range(0, len(dense), COLUMNS):
+        here = (place[column] >= at) & (place[column] < at + COLUMNS)
+        bits = np.zeros((members, COLUMNS), np.float32)
+        bits[member[here], place[column[here]] - at] = 1
+        total += (bits @ bits.T).astype(np.int64)  # at most COLUMNS: exact in single precision
+    rare = place[column] < 0
+    order = np.argsort(column[rare], kind="stable")
+    m, c = member[rare][order], column[rare][order]
+    for d in range(1, COMMON):
+        same = np.flatnonzero(c[d:] == c[:-d])
+        if not len(same):
+            break
+        both = np.bincount(m[same] * members + m[same + d], minlength=members * members).reshape(members, members)
+        total += both + both.T
+    return total
+
+
+def similar(flat: np.ndarray, n: np.ndarray, wanted: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the ``wanted`` pairs of sets pass the threshold; sets of ``n`` shingles one behind the other."""
+    distinct, column = np.unique(flat, return_inverse=True)
+    shared = np.bincount(column, minlength=len(distinct)) > 1
+    member = np.repeat(np.arange(len(n)), n)
+    most = np.bincount(member, shared[column], len(n))  # no pair has more in common than either has in common with anyone
+    most = np.minimum(most[:, None], most[None])
+    both = n[:, None] + n[None]
+    wanted = wanted & (100 * most >= percent * (both - most))
+    busy = wanted.any(axis=0) | wanted.any(axis=1)
+    if not busy.any():
+        return wanted
+    keep = shared[column] & busy[member]
+    common = in_common(member[keep], column[keep], len(n))
+    return wanted & (100 * common >= percent * (both - common))
 
-    Of a pair, one was in no component as large as the other's in this bucket;
-    the pair is compared in the first bucket that it shares, and the hub was
-    compared with all members before.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, lo, hi = (int(pdf[c].iloc[0]) for c in ("key", "lo", "hi"))
-        left, right = (pdf[(pdf["block"] == k) & (pdf["rep"] != pdf["hub"])].sort_values("rep") for k in (lo, hi))
-        found: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            ka, kb = np.stack(left["keys"].to_numpy()), np.stack(right["keys"].to_numpy())
-            band = int(np.flatnonzero(ka[0] == key)[0])
-            (ra, na, ca, sa), (rb, nb, cb, sb) = (tuple(d[c].to_numpy() for c in ("rep", "n", "c", "s")) for d in (left, right))
-            ta, tb = ca == left["top"].to_numpy(), cb == right["top"].to_numpy()
-            for at in range(0, len(ra), 64):
-                part = slice(at, at + 64)
-                ok = (ca[part, None] != cb[None]) & ~(ta[part, None] & tb[None])
-                ok &= 100 * np.minimum(na[part, None], nb[None]) >= percent * np.maximum(na[part, None], nb[None])
-                if lo == hi:
-                    ok &= ra[part, None] < rb[None]
-                i, j = np.nonzero(ok)
-                first = (ka[at + i] == kb[j]).argmax(axis=1) == band
-                for x, y in zip((at + i[first]).tolist(), j[first].tolist()):
-                    common = len(np.intersect1d(sa[x], sb[y], assume_unique=True))
-                    if 100 * common >= percent * (len(sa[x]) + len(sb[y]) - common):
-                        found.append((int(ra[x]), int(rb[y])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _linked(percent: int):
+    """mapInArrow over blocks of buckets, sorted: the links between members of different components."""
+
+    def run(batches):
+        for t in _runs(batches, ("key", "lo", "hi")):
+            rep, n, c, block = (t.column(x).to_numpy() for x in ("rep", "n", "c", "block"))
+            lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+            wanted = (rep[:, None] < rep[None]) & (c[:, None] != c[None])
+            if lo != hi:
+                wanted &= block[:, None] != block[None]
+            if not wanted.any():
+                continue
+            flat = t.column("s").combine_chunks().flatten().to_numpy()
+            a, b = np.nonzero(similar(flat, n, wanted, percent))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
 
     return run
 
@@ -202,16 +280,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, bands
     sig = materialize(texts.mapInArrow(_signatures(width, bands, rows), schema), "minhash")
 
     # A number for each shingle set, and one row that stands for it; an id may stand on rows of several sets.
-    first = F.min(F.struct("doc_id", "digest"))
-    reps = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(first.alias("first"))
-    classes = materialize(reps.select("h1", "h2", "n", "first.doc_id", "first.digest", F.monotonically_increasing_id().alias("rep")), "classes")
-    keyed = sig.where("n > 0").select("doc_id", "digest", "h1", "h2", "n", "keys").join(classes, ["doc_id", "digest", "h1", "h2", "n"])
-    buckets = keyed.select("rep", "n", F.explode("keys").alias("key"))
+    reps = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.first("keys").alias("keys"))
+    classes = materialize(reps.select("h1", "h2", "n", "first.doc_id", "first.digest", "keys", F.monotonically_increasing_id().alias("rep")), "classes")
+    buckets = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub <> other").select("key", "hub")
-    members = materialize(buckets.join(shared, "key").distinct(), "members")  # rep, n, key, hub
+    members = materialize(buckets.join(shared, "key"), "members")  # rep, n, key, hub
 
-    wanted = classes.select("rep", "doc_id", "digest").join(members.select("rep").distinct(), "rep", "left_semi")
-    sets = texts.join(wanted, ["doc_id", "digest"]).select("rep", "text").mapInArrow(_sets(width), "rep long, s array<long>")
+    wanted = materialize(classes.select("rep", "doc_id", "digest").join(members.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    sets = texts.join(within(wanted, BROADCAST_ROWS), ["doc_id", "digest"]).select("rep", "text").mapInArrow(_sets(width), "rep long, s array<long>").dropDuplicates(["rep"])
     sets = materialize(sets, "sets")
 
     # First each member meets the smallest hub of all its buckets only: a large group needs one link a member.
@@ -223,19 +299,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, bands
     star = star.where(F.coalesce("component", "rep") != F.coalesce("hc", "hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     label = _grown(label, _confirmed(star, sets, percent))
 
-    # Buckets that still hold several components: all but the largest one meet every other member.
-    at = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "hub", F.coalesce("component", "rep").alias("c"))
+    # Buckets whose members beside the hub, which all have met, still are in several components.
+    at = members.where("rep <> hub").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     at = materialize(at, "labelled")
-    mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = at.join(mixed, "key")
-    largest = open_.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("top"))
-    open_ = materialize(open_.join(largest, "key"), "open")
-    sketched = sets.join(keyed.select("rep", "keys").dropDuplicates(["rep"]), "rep")
-    wide = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = open_.join(wide, "key").join(sketched, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("with", "blocks")
-    label = _grown(label, dealt.groupBy("key", "lo", "hi").applyInPandas(_linked(percent), "a long, b long").distinct())
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    wide = at.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), blocks.alias("blocks")).where("least <> most").select("key", "blocks")
+    open_ = materialize(at.join(wide, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), "open")
+    dealt = open_.join(sets, "rep").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "rep", "n", "c", "s")
+    order = ["key", "lo", "hi"]
+    label = _grown(label, dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_linked(percent), "a long, b long").distinct())
 
     # The sets of one id belong together.
     of_id = sig.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "h1", "h2", "n")
