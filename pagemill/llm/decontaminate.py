@@ -15,9 +15,12 @@ windows cover ``min_cover`` of it: verbatim if all slot values are the item's
 own, else re-parameterised.  Besides, ``run_words`` words in a row that are the
 item's own leak it whatever their share (partial, if below ``min_cover``).
 
-The benchmark's windows go to the tasks only if their number is at most
-``broadcast_windows`` (16 bytes each and their words); beyond it the windows of
-both sides are shuffled by their hash.
+A document's window is hashed only where its first words are those of some
+item's window, which a table of bytes answers (two megabytes at most, a bit of
+chance lets others through).  The benchmark's windows go to the tasks only if
+their number is at most ``broadcast_windows`` and their words take at most
+``broadcast_bytes``; beyond that the windows of both sides are shuffled by their
+hash.
 
 Defined cases: null and empty texts share nothing; items shorter than ``width``
 are compared as one window of their length, items under ``min_words`` template
@@ -98,12 +101,32 @@ def _coded(known: Callable[[Column], Column]) -> Column:
     return F.transform("words", lambda w: F.when(known(w) | (typed(w) & ~F.contains(w, F.lit("@"))), F.xxhash64(w)).otherwise(F.xxhash64(F.lit("@"))))
 
 
-def _windows(n: int | Column) -> Column:
-    """Hashes of the windows of ``n`` codes."""
-    return F.when(
-        F.size("codes") >= n,
-        F.transform(F.sequence(F.lit(1), F.size("codes") - n + 1), lambda i: F.struct(F.xxhash64(F.slice("codes", i, n)).alias("h"), i.alias("pos"))),
-    ).otherwise(F.array().cast("array<struct<h:bigint,pos:int>>"))
+#: Words at the start of a window that are looked up before the whole of it is hashed.
+GRAM = 3
+
+
+def _windows(n: int | Column, begins: Callable[[Column], Column] | None = None) -> Column:
+    """Hashes of the windows of ``n`` codes, of those only that ``begins`` says may be an item's."""
+    at = F.sequence(F.lit(1), F.size("codes") - n + 1)
+    at = F.filter(at, begins) if begins else at
+    return F.when(F.size("codes") >= n, F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("codes", i, n)).alias("h"), i.alias("pos")))).otherwise(
+        F.array().cast("array<struct<h:bigint,pos:int>>")
+    )
+
+
+def _gram(n: int, i: Column) -> Column:
+    """A number for the first words of the window of ``n`` codes at ``i``."""
+    return F.xxhash64(*[F.get("codes", i + (j - 1)) for j in range(min(n, GRAM))])
+
+
+def _begins(own: DataFrame, n: int, n_windows: int) -> Callable[[Column], Column]:
+    """Whether a window may be one of ``own``, the items' windows of ``n`` words: looks its first words up in a table of bytes."""
+    size = 1 << min(21, max(10, (8 * n_windows).bit_length()))
+    codes = own.select(F.transform("iwords", lambda w: F.xxhash64(w)).alias("codes"))
+    table = bytearray(size)
+    for r in codes.select(F.pmod(_gram(n, F.lit(1)), F.lit(size)).cast("int").alias("k")).distinct().collect():  # at most ``size`` rows
+        table[r["k"]] = 1
+    return lambda i: F.substr(F.lit(bytes(table)), F.pmod(_gram(n, i), F.lit(size)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
 
 
 def _item_windows(benchmark: DataFrame, width: int, min_words: int) -> DataFrame:
@@ -120,20 +143,21 @@ def _item_windows(benchmark: DataFrame, width: int, min_words: int) -> DataFrame
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_words: int = 5, min_cover: float = 0.5, run_words: int = 13, broadcast_windows: int = 200_000
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_words: int = 5, min_cover: float = 0.5, run_words: int = 13,
+    broadcast_windows: int = 200_000, broadcast_bytes: int = 64 << 20,
+) -> DataFrame:
     """One row for each leaked item in a document: doc_id, item_id, cover, kind."""
     items = _item_windows(benchmark, width, min_words)
     lengths = [r["len"] for r in items.select("len").distinct().collect()]  # at most ``width`` values
-    n_windows = items.count()
+    n_windows, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "iraw", "iwords"))), F.lit(0))).first()
 
     texts = worded(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).withColumn("codes", _coded(_known(items)))
     hit = None
     for n in sorted(lengths):
-        here = texts.select("doc_id", "raw", F.explode(_windows(n)).alias("w")).select("doc_id", "raw", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
         own = items.where(F.col("len") == n)
+        here = texts.select("doc_id", "raw", F.explode(_windows(n, _begins(own, n, n_windows))).alias("w")).select("doc_id", "raw", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
         words = F.slice("raw", F.col("pos"), n).alias("draw")
-        if n_windows <= broadcast_windows:
+        if n_windows <= broadcast_windows and n_bytes <= broadcast_bytes:
             got = here.join(F.broadcast(own), "h").select("doc_id", "item_id", "windows", "pos", "ipos", "iraw", "iwords", words)
         else:
             got = here.select("doc_id", "h", "pos", words).join(own, "h").select("doc_id", "item_id", "windows", "pos", "ipos", "iraw", "iwords", "draw")
