@@ -99,11 +99,11 @@ def search_snippets(spark, sf_dir):
 
 
 def ranks(spark, sf_dir) -> DataFrame:
-    return dictionary.word_ranks(docs(spark, sf_dir).where("lang = 'en'"))
+    return dictionary.pinned(dictionary.word_ranks(docs(spark, sf_dir).where("lang = 'en'")))
 
 
 def word_ranks(spark, sf_dir):
-    return ranks(spark, sf_dir).select("word", F.col("rank").cast("long"))
+    return dictionary.word_ranks(docs(spark, sf_dir).where("lang = 'en'")).select("word", F.col("rank").cast("long"))
 
 
 def dictionary_ratio(spark, sf_dir):
@@ -120,13 +120,14 @@ def poor_docs(spark, sf_dir):
     return docs(spark, sf_dir).join(poor, "doc_id").groupBy("source").agg(F.count("*").alias("n_poor"))
 
 
-def _unknown(spark, sf_dir):
+def _unknown(spark, sf_dir, known):
     words = dictionary.cores(docs(spark, sf_dir).where("lang = 'en'"), 3).select("word").where("word rlike '^[a-z]+$'").distinct()
-    return words.join(F.broadcast(ranks(spark, sf_dir).select("word")), "word", "left_anti")
+    return words.join(F.broadcast(known.select("word")), "word", "left_anti")
 
 
 def split_glued(spark, sf_dir):
-    return dictionary.split_glued(_unknown(spark, sf_dir), ranks(spark, sf_dir))
+    known = ranks(spark, sf_dir)
+    return dictionary.split_glued(_unknown(spark, sf_dir, known), known)
 
 
 def join_broken_words(spark, sf_dir):
@@ -134,16 +135,21 @@ def join_broken_words(spark, sf_dir):
 
 
 def respell(spark, sf_dir):
-    return repair.respell(_unknown(spark, sf_dir), ranks(spark, sf_dir))
+    known = ranks(spark, sf_dir)
+    return repair.respell(_unknown(spark, sf_dir, known), known)
 
 
 def segment_words(spark, sf_dir):
-    return repair.segment_words(_unknown(spark, sf_dir), ranks(spark, sf_dir))
+    known = ranks(spark, sf_dir)
+    return repair.segment_words(_unknown(spark, sf_dir, known), known)
 
 
 def letter_spacing(spark, sf_dir):
-    rows = layout.lines(docs(spark, sf_dir)).select("doc_id", "line_no", "text")
-    fixed = repair.collapse_letter_spacing(rows, ranks(spark, sf_dir))
+    """Every line with its first word spaced out, as titles are set, put together again where that is possible."""
+    rows = layout.lines(docs(spark, sf_dir)).where("text rlike '^[a-zA-Z]{2,}( |$)'")
+    first = F.regexp_extract("text", "^[a-zA-Z]+", 0)
+    spaced = F.concat(F.regexp_replace(first, "(?<=.)(?=.)", " "), F.substr("text", F.length(first) + 1, F.length("text")))
+    fixed = repair.collapse_letter_spacing(rows.select("doc_id", "line_no", spaced.alias("text")), ranks(spark, sf_dir))
     return fixed.where("repaired <> text").select("doc_id", "line_no", "repaired")
 
 

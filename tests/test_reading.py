@@ -3,6 +3,7 @@
 import io
 import math
 import os
+import random
 import zipfile
 
 import numpy as np
@@ -109,10 +110,9 @@ def slow_cost(a, b):
         if not i or not j:
             return float(i + j)
         best = min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (0 if a[i - 1] == b[j - 1] else 0.4 if a[i - 1] + b[j - 1] in repair._PAIRS else 1))
-        for f, to in repair.GROUPS.items():
-            for t in to:
-                if a[:i].endswith(f) and b[:j].endswith(t):
-                    best = min(best, d(i - len(f), j - len(t)) + 0.4)
+        for f, t in repair.GROUPS:
+            if a[:i].endswith(f) and b[:j].endswith(t):
+                best = min(best, d(i - len(f), j - len(t)) + 0.4)
         return best
 
     return math.inf if abs(len(a) - len(b)) > 2 else d(len(a), len(b))
@@ -127,20 +127,76 @@ def test_look_alike_costs():
     assert got[-3] == pytest.approx(0.4) and got[-2] == pytest.approx(0.4) and got[-1] >= 2
 
 
-def test_repairs(spark):
-    known = ranks(spark)
-    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
-    got = {r.word: r.split for r in dictionary.split_glued(words("thefool", "Ifyou", "Thefool", "xyzzy"), known).collect()}
-    assert got == {"thefool": "the fool", "Ifyou": "If you", "Thefool": "The fool"}
-    assert {r.word: r.fixed for r in repair.respell(words("commil", "zzzz", "the", "tfwy"), known).collect()}.get("commil") == "commit"
-    d = {r["word"]: r["rank"] for r in known.collect()}
-    assert repair.cheapest_words("DONOTCOMMIT", d | {"not": 4}) == "DO NOT COMMIT"
-    assert repair.cheapest_words("xq", d) is None
-    assert repair.unspaced("J U D GM ENT", d) == "JUDGMENT" and repair.unspaced("D O N OT C OM MIT TO ANYONE", d) == "DO NOT COMMIT TO ANYONE"
-    assert repair.unspaced("page 2 0", d) == "page 20" and repair.unspaced("L A W", None) == "LAW"
-    assert repair.unspaced("I am a man", d) == "I am a man"
-    joined = dictionary.join_broken(docs(spark, ["the Par liament is in", "at tention at home"]), known).collect()
-    assert sorted(r.joined for r in joined) == ["Parliament", "attention"]
+def listed(spark, text):
+    return spark.createDataFrame([(w, i) for i, w in enumerate(text.split())], "word string, rank int")
+
+
+def test_respelling_is_exact(spark, monkeypatch):
+    """Against all pairs, with frequent and rare words."""
+    monkeypatch.setattr(repair, "FREQUENT", 60)
+    r = random.Random(5)
+    known = sorted({"".join(r.choice("rnmcldhiuvwfteaosg") for _ in range(r.randint(1, 8))) for _ in range(400)})
+    r.shuffle(known)
+    damage = lambda w: w.replace("m", "rn", 1) if r.random() < 0.5 else w[:-1] + r.choice("aeiltcs")
+    words = sorted({damage(w) for w in known if r.random() < 0.5} - set(known))
+    want = {}
+    for w in words:
+        if len(w) < 3:
+            continue
+        most = 0.4 if len(w) <= 3 else 1.5 if len(w) <= 5 else 2.0
+        firsts = repair._first_letters()[w[0]]
+        costs = repair.look_alike_costs([w] * len(known), known)
+        found = [(c + 0.5 * math.log10(k + 1), len(t), k, t, c) for k, (t, c) in enumerate(zip(known, costs)) if t[0] in firsts and c <= most + 1 and (c <= 1 or k <= 60)]
+        found.sort()
+        if found and found[0][4] <= most and (len(found) == 1 or found[1][0] - found[0][0] >= 0.4):
+            want[w] = found[0][3]
+    ranks = spark.createDataFrame([(w, i) for i, w in enumerate(known)], "word string, rank int")
+    got = {x.word: x.fixed for x in repair.respell(spark.createDataFrame([(w,) for w in words], "word string"), ranks).collect()}
+    assert got == want and len(want) > 10
+
+
+def test_segmentation_is_the_cheapest(spark):
+    known = "the a i an he then hen on one no note to tone stone is this his hi at that hat cat catch ch"
+    ranks = listed(spark, known)
+    price = {w: 1 + 0.6 * math.log10(i + 1) for i, w in enumerate(known.split())}
+    r = random.Random(2)
+    runs = sorted({"".join(r.choice(known.split()) for _ in range(r.randint(1, 4))) for _ in range(60)} | {"xq", "z", "TheNote", "b" * 81})
+
+    def cuts(w):
+        """All cuts of a word into listed words."""
+        if not w:
+            return [[]]
+        return [[w[:k], *rest] for k in range(1, len(w) + 1) if w[:k].lower() in price for rest in cuts(w[k:])]
+
+    got = {x.word: x.cut for x in repair.segment_words(spark.createDataFrame([(w,) for w in runs], "word string"), ranks).collect()}
+    assert set(got) == set(runs)
+    for w in runs:
+        ways = cuts(w) if len(w) <= 80 else []
+        if not ways:
+            assert got[w] is None
+        else:
+            assert got[w].replace(" ", "") == w
+            assert sum(price[x.lower()] for x in got[w].split()) == pytest.approx(min(sum(price[x.lower()] for x in c) for c in ways))
+    assert got["TheNote"] == "The Note" and got["xq"] is None
+
+
+def test_letter_spacing(spark):
+    ranks = listed(spark, "the ship came in on time a i harbour light at last")
+    lines = ["H A R BO UR", "T H E SH I P came in", "in 1 9 0 4, they came", "I am a man", "s h i p. T H E light", "x q z w", "x qq z w", "plain", "4 2", "o n e 7 l i g h t"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id long, line_no int, text string")
+    got = [r.repaired for r in repair.collapse_letter_spacing(rows, ranks).orderBy("line_no").collect()]
+    assert got == ["HARBOUR", "THE SHIP came in", "in 1904, they came", "I am a man", "ship. THE light", "xqzw", "x qq z w", "plain", "42", "one 7 light"]
+    bare = [r.repaired for r in repair.collapse_letter_spacing(rows, None).orderBy("line_no").collect()]
+    assert bare == ["H A R BO UR", "T H E SH I P came in", "in 1904, they came", "I am a man", "ship. THE light", "xqzw", "x qq z w", "plain", "42", "one 7 light"]
+
+
+def test_glued_and_broken(spark):
+    known = listed(spark, "the of a to if you not are bell tower carpet car pet her stone")
+    words = spark.createDataFrame([(x,) for x in ("thebell", "Ifyou", "Thetower", "qqq")], "word string")
+    got = {r.word: r.split for r in dictionary.split_glued(words, known).collect()}
+    assert got == {"thebell": "the bell", "Ifyou": "If you", "Thetower": "The tower"}
+    joined = dictionary.join_broken(docs(spark, ["the Car pet of her", "bell tow er her"]), known).collect()
+    assert sorted(r.joined for r in joined) == ["tower"]
 
 
 def test_library_rules(spark):
