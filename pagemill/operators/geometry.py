@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import textsem as T
+from pagemill.operators.places import first_after
 
 
 def assemble_lines(fragments: DataFrame) -> DataFrame:
@@ -97,6 +98,18 @@ def recognised_lines(trees: DataFrame, min_conf: float = 55.0) -> DataFrame:
     return rows.where(((F.col("confidence") >= min_conf) | clean) & good)
 
 
+def page_state(text: Column, least: int = 40) -> Column:
+    """'text', or 'pending' for a page with under ``least`` characters beside white space: its lines don't count."""
+    return F.when(F.length(F.regexp_replace(F.coalesce(text, F.lit("")), T.WS, "")) < least, "pending").otherwise("text")
+
+
+def json_in(answer: Column) -> Column:
+    """The JSON in a model's answer: what a fence holds, else from the first brace to the last, else all of it."""
+    fenced = F.regexp_extract(answer, r"(?is)```(?:json)?\s*(.*?)```", 1)
+    braced = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
+    return F.when(answer.rlike(r"(?is)```(?:json)?.*?```"), fenced).when(braced != "", braced).otherwise(answer)
+
+
 def transcribed_lines(pages: DataFrame, page_width: float = 600.0) -> DataFrame:
     """book, page, line_no, text, x, y, w, size, kind from transcription JSON (blocks of type and text)."""
     parsed = F.from_json("json", "struct<blocks:array<struct<type:string,text:string>>>")["blocks"]
@@ -112,13 +125,15 @@ def transcribed_lines(pages: DataFrame, page_width: float = 600.0) -> DataFrame:
     )
 
 
-def outline_toc(blocks: DataFrame, outline: DataFrame) -> DataFrame:
+def outline_toc(blocks: DataFrame, outline: DataFrame, least: int = 2) -> DataFrame:
     """doc_id, ord, title, block, level: outline entries at the first block from their page, or that page's first heading.
 
+    An outline of fewer than ``least`` entries with a page says nothing.
+
     ``blocks`` has doc_id, block, t, page; ``outline`` has doc_id, ord, title, page, level.
     """
     asked = outline.where("page >= 1").select("doc_id", "ord", "title", "level", F.col("page").alias("want"))
-    hit = asked.join(blocks.select("doc_id", "block", "t", "page"), "doc_id").where("page >= want")
-    first = hit.groupBy("doc_id", "ord", "title", "level").agg(F.min(F.struct("page", "block")).alias("f"), F.min(F.when(F.col("t") == "h", F.struct("page", "block"))).alias("h"))
-    block = F.when(F.col("h.page") == F.col("f.page"), F.col("h.block")).otherwise(F.col("f.block"))
-    return first.select("doc_id", "ord", "title", block.alias("block"), "level")
+    asked = asked.withColumn("usable", F.count("*").over(Window.partitionBy("doc_id"))).where(F.col("usable") >= least).drop("usable")
+    pages = blocks.groupBy("doc_id", "page").agg(F.min("block").alias("first"), F.min(F.when(F.col("t") == "h", F.col("block"))).alias("head"))
+    hit = first_after(pages, asked, ["doc_id"], F.col("page"), F.col("want") - 1).where("found IS NOT NULL")
+    return hit.select("doc_id", "ord", "title", F.coalesce("found.head", "found.first").alias("block"), "level")

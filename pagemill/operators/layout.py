@@ -66,7 +66,7 @@ def blocks(of: DataFrame) -> DataFrame:
     wide = of.groupBy("doc_id").agg(F.sort_array(F.collect_list("w")).alias("ws")).select("doc_id", T.at_rank(F.col("ws"), 0.8).alias("width"))
     text = F.col("text")
     kind = F.when(text.rlike(T.SCENE_BREAK) & text.rlike(T.ORNAMENT), "hr").when(
-        T.could_be_heading(text) & text.rlike(T.CHAPTER) & (F.length(text) < 70), "h"
+        (F.length(text) < 70) & text.rlike(T.CHAPTER) & T.could_be_heading(text), "h"
     ).otherwise("p")
     out = of.join(wide, "doc_id").withColumn("t", kind)
     before = {c: F.lag(c).over(per) for c in ("t", "text", "y", "w")}
@@ -110,14 +110,9 @@ def sections(of_blocks: DataFrame, per_section: int = PER_SECTION) -> DataFrame:
     return cut.select("doc_id", "title", "start", F.least(F.col("start") + per_section, F.col("stop")).alias("end"))
 
 
-def chapter_at(of_blocks: DataFrame, positions: DataFrame) -> DataFrame:
-    """doc_id, block and the chapter there: last entry at or before it, up to the next one."""
-    entries = toc(of_blocks)
-    n = of_blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
-    hit = positions.join(entries.withColumnRenamed("block", "at"), "doc_id", "left")
-    last = F.max_by("title", F.when(F.col("at") <= F.col("block"), F.col("toc_no")))
-    out = hit.groupBy("doc_id", "block").agg(last.alias("title"), F.min(F.when(F.col("at") > F.col("block"), F.col("at"))).alias("next"))
-    return out.join(n, "doc_id").select("doc_id", "block", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("next", "n").alias("end"))
+def sizes(of_blocks: DataFrame) -> DataFrame:
+    """doc_id and the number n of its blocks."""
+    return of_blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
 
 
 def block_at_percent(of_index: DataFrame, percents: list[float]) -> DataFrame:

@@ -26,11 +26,93 @@ def library_filter(books: DataFrame, *, favorites: bool = False, status: str = "
     return out
 
 
+#: Book ids that are numbered in one task of ``by_author``.
+SHELF = 100_000
+
+
 def by_author(books: DataFrame) -> DataFrame:
-    """author, n, titles; blank authors are 'Unknown author'."""
+    """author, n, place, book_id, title: each author's books in the order of their ids; blank authors are 'Unknown author'.
+
+    Places are counted in stretches of ids, so an author of very many books
+    doesn't meet in one task.
+    """
     author = F.coalesce(F.nullif(T.trim(F.col("author")), F.lit("")), F.lit("Unknown author"))
-    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("book_id", "title"))), lambda s: s["title"]), "|")
-    return books.groupBy(author.alias("author")).agg(F.count("*").alias("n"), titles.alias("titles"))
+    rows = books.select(author.alias("author"), "book_id", "title", F.floor(F.col("book_id") / SHELF).alias("shelf"))
+    shelves = rows.groupBy("author", "shelf").agg(F.count("*").alias("held"))
+    per = Window.partitionBy("author")
+    shelves = shelves.withColumn("before", F.sum("held").over(per.orderBy("shelf")) - F.col("held")).withColumn("n", F.sum("held").over(per))
+    within = F.row_number().over(Window.partitionBy("author", "shelf").orderBy("book_id", "title"))
+    return rows.withColumn("k", within).join(shelves, ["author", "shelf"]).select("author", "n", (F.col("before") + F.col("k")).alias("place"), "book_id", "title")
+
+
+def sorts() -> dict[str, list[Column]]:
+    """The orders of a library; ties keep the order of ids."""
+    title, author = (T.fold(F.col(c)) for c in ("title", "author"))
+    orders = {
+        "recent": [F.greatest("last_read", "added").desc()], "added": [F.desc("added")], "title": [title.asc()],
+        "author": [F.coalesce(author, F.lit("~")).asc(), title.asc()], "progress": [F.desc("progress")],
+    }
+    return {name: [*by, F.asc("book_id")] for name, by in orders.items()}
+
+
+def shelf_places(books: DataFrame, owner: str) -> DataFrame:
+    """book_id and its place in its owner's library under each order."""
+    return books.select("book_id", *[F.row_number().over(Window.partitionBy(owner).orderBy(*by)).alias(name) for name, by in sorts().items()])
+
+
+def toggled(held: Column, one: Column) -> Column:
+    """A set with an element added, or removed if it was there."""
+    return F.when(F.array_contains(held, one), F.array_remove(held, one)).otherwise(F.array_append(held, one))
+
+
+def collection_names(used: DataFrame, stored: DataFrame) -> DataFrame:
+    """name: the collections that books are in and those that are kept without books, once each."""
+    return used.select(F.explode("collections").alias("name")).union(stored.select("name")).distinct()
+
+
+def status_after_reading(status: Column) -> Column:
+    """Reading, unless another status than 'to-read' and 'none' was set."""
+    return F.when(F.coalesce(status, F.lit("none")).isin("to-read", "none", ""), "reading").otherwise(status)
+
+
+def is_english(ocr_lang: Column, lang: Column) -> Column:
+    """By the language that was recognised with, else the book's own."""
+    return F.coalesce(F.when(ocr_lang.isNotNull(), ocr_lang == "eng").otherwise(lang == "en"), F.lit(False))
+
+
+def retryable(status: Column, blocks: Column) -> Column:
+    """Whether a recognition call is worth another try: no answer, too many calls, server errors, an answer without blocks."""
+    return status.isNull() | (status == 429) | (status >= 500) | ((status < 400) & blocks.isNull())
+
+
+def cancelled(pages: DataFrame) -> DataFrame:
+    """Pages of a cancelled job: what is pending is skipped."""
+    return pages.withColumn("state", F.when(F.col("state") == "pending", "skipped").otherwise(F.col("state")))
+
+
+def resumable(books: DataFrame) -> DataFrame:
+    """The jobs that go on by themselves: running, not paused, not waiting for consent."""
+    return books.where((F.col("state") == "ocr") & ~F.coalesce("paused", F.lit(False)) & (F.coalesce("needs_consent", F.lit(0)) == 0))
+
+
+def escape_html(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _uri_part(text: Column) -> Column:
+    """Percent-encoded as a part of an address; marks that need no code stay."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, mark in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(mark))
+    return out
+
+
+def lookup_url(selection: Column, lang: Column) -> Column:
+    """Where a selected text is looked up: one word in a dictionary, more by a search."""
+    q = F.substr(T.trim(selection), F.lit(1), F.lit(200))
+    word = F.concat(F.lit("https://"), F.substr(F.coalesce(lang, F.lit("en")), F.lit(1), F.lit(2)), F.lit(".wiktionary.org/wiki/"), _uri_part(F.lower(q)))
+    search = F.concat(F.lit("https://www.google.com/search?q="), _uri_part(F.concat(F.lit("define "), q)))
+    return F.when(q.rlike(T.WS), search).otherwise(word)
 
 
 def reading_days(events: DataFrame, idle: int = 120, jump: float = 20_000) -> DataFrame:
@@ -97,6 +179,14 @@ def page_outcome(first_chars: Column, second_chars: Column, scanner_chars: Colum
     )
 
 
+def ewma_of(rows: DataFrame, keep: float = 0.85) -> DataFrame:
+    """key, ewma of rows (key, seq, value): each value's weight follows from its place from the end, so the mean is a sum."""
+    last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"))) - 1
+    n = F.count("*").over(Window.partitionBy("key"))
+    weight = F.pow(F.lit(keep), F.col("k")) * F.when(F.col("k") == F.col("n") - 1, 1.0).otherwise(1 - keep)
+    return rows.withColumn("k", last).withColumn("n", n).groupBy("key").agg(F.sum(F.col("value") * weight).alias("ewma"))
+
+
 def ewma(values: Column, keep: float = 0.85) -> Column:
     """Weighted mean over an ordered array: the first value, then 0.85 old and 0.15 new."""
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.try_element_at(values, F.lit(1)), lambda a, v: a * keep + v * (1 - keep))

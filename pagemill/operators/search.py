@@ -48,15 +48,20 @@ _CLOSERS = r"[\"'”’»)\]]"
 _OPENER = r"^[\p{Lu}\p{N}\"'“‘«(\\\[]"
 
 
-def sentences(texts: DataFrame) -> DataFrame:
-    """doc_id, sentence_no, text: sentences of each text, white space collapsed.
+def sentences(texts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys, sentence_no, start, end, text: sentences of each text with their places; in ``text`` white space is collapsed.
 
     Only a word's end can end a sentence.  A word does if it has a run of
     terminators and closers behind it and the next word begins a sentence,
     unless the run begins with a dot behind an abbreviation or initials.
     """
-    words = texts.select("doc_id", F.posexplode(F.split(T.trim(F.col("text")), T.WS + "+")).alias("i", "w")).where("w <> ''")
-    per = Window.partitionBy("doc_id").orderBy("i")
+    text = T.trim(F.col("text"))
+    ahead = F.length("text") - F.length(F.regexp_replace("text", f"^{T.WS}+", ""))
+    pieces = F.arrays_zip(F.split(text, T.WS + "+").alias("w"), F.regexp_extract_all(text, F.lit(f"({T.WS}+)"), F.lit(1)).alias("gap"))
+    words = texts.select(*keys, ahead.alias("ahead"), F.posexplode(pieces).alias("i", "p")).select(*keys, "ahead", "i", "p.w", "p.gap").where("w <> ''")
+    per = Window.partitionBy(*keys).orderBy("i")
+    step = F.length("w") + F.coalesce(F.length("gap"), F.lit(0))
+    words = words.withColumn("start", F.col("ahead") + F.sum(step).over(per.rowsBetween(Window.unboundedPreceding, 0)) - step)
     stop = F.regexp_extract("w", rf"([.!?…]+){_CLOSERS}*$", 1)
     before = F.regexp_extract("w", rf"([\p{{L}}.]*?)[.!?…]+{_CLOSERS}*$", 1)
     plain = F.lower(F.replace(before, F.lit("."), F.lit("")))
@@ -66,7 +71,7 @@ def sentences(texts: DataFrame) -> DataFrame:
     no = F.coalesce(F.sum("ends").over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     words = words.withColumn("sentence_no", no)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]), " ")
-    return words.groupBy("doc_id", "sentence_no").agg(text.alias("text"))
+    return words.groupBy(*keys, "sentence_no").agg(F.min("start").cast("long").alias("start"), F.max(F.col("start") + F.length("w")).cast("long").alias("end"), text.alias("text"))
 
 
 def word_at(text: Column, offset: Column) -> Column:

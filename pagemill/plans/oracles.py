@@ -114,7 +114,7 @@ quality AS (
 POOR = "(unknown_ratio > 0.06 OR letter_spaced >= 2 OR junk_ratio > 0.02)"
 
 BOOKS = r"""books AS (
-  SELECT doc_id AS book_id, trim(substr(regexp_replace(text, '[\n\r]', ' ', 'g'), 1, 40), ' ') AS title,
+  SELECT doc_id AS book_id, trim(regexp_replace(text, '[\n\r]', ' ', 'g'), ' ') AS title,
     CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE 'Author ' || lang || (doc_id % 5) END AS author, source || '.pdf' AS file_name, quality = 1 AS favorite,
     [source, lang] AS collections, CASE WHEN toxic = 1 THEN 'to-read' END AS reading_status, least(1.0, n_chars / 5000) AS progress, doc_id % 3 AS last_read, n_chars AS added
   FROM documents LEFT JOIN labels USING (doc_id))"""
@@ -162,10 +162,30 @@ def _luminance(e: str) -> str:
     return f"({part(1, 0.2126)} + {part(3, 0.7152)} + {part(5, 0.0722)})"
 
 
+def _sentences(keys: str, of: str = "documents") -> str:
+    """Words of the texts by ``keys`` with their places b and sentences."""
+    abbreviations, closers, opener = _list(T.ABBREVIATIONS), r"""["'”’»)\]]""", r"""^[\p{Lu}\p{N}"'“‘«(\\\[]"""
+    return rf"""cut AS (
+  SELECT {keys}, text, length(text) - length(regexp_replace(text, {_s(f'^{T.WS}+')}, '')) AS ahead, {_trim('text')} AS t FROM {of}),
+words AS (
+  SELECT {keys}, ahead, unnest(string_split_regex(t, {_s(T.WS + '+')})) AS w, generate_subscripts(string_split_regex(t, {_s(T.WS + '+')}), 1) AS i,
+    unnest(list_append(regexp_extract_all(t, {_s(T.WS + '+')}), '')) AS gap FROM cut),
+seen AS (
+  SELECT *, ahead + coalesce(sum(length(w) + length(gap)) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b,
+    lead(w) OVER (PARTITION BY {keys} ORDER BY i) AS nxt, regexp_extract(w, {_s(r'([.!?…]+)' + closers + '*$')}, 1) AS stop,
+    regexp_extract(w, {_s(r'([\p{L}.]*?)[.!?…]+' + closers + '*$')}, 1) AS before FROM words WHERE w <> ''),
+ends AS (
+  SELECT *, coalesce(stop <> '' AND regexp_matches(nxt, {_s(opener)}) AND NOT (stop[1] = '.' AND (lower(replace(before, '.', '')) IN {abbreviations}
+    OR regexp_matches(lower(replace(before, '.', '')), '^\p{{L}}$') OR regexp_matches(before, '^(\p{{L}}\.)+\p{{L}}$'))), false)::INT AS e FROM seen),
+numbered AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence_no FROM ends)"""
+
+
+def _part(e: str) -> str:
+    return f"replace(replace(replace(replace(replace(url_encode({e}), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*')"
+
+
 def sql() -> dict[str, str]:
-    abbreviations, functions = _list(T.ABBREVIATIONS), _list(T.FUNCTION_WORDS)
-    closers = r"""["'”’»)\]]"""
-    opener = r"""^[\p{Lu}\p{N}"'“‘«(\\\[]"""
+    functions = _list(T.FUNCTION_WORDS)
     return {
         "page_number_lines": f"""SELECT doc_id, count(*) AS n_lines FROM ({_RAW}) WHERE regexp_matches({_trim('raw')}, {_s(T.PAGE_NUMBER)}) GROUP BY doc_id""",
         "running_lines": f"WITH {LINES}, {EDGES} SELECT source, key, pages, running FROM running",
@@ -183,7 +203,39 @@ spans AS (SELECT *, coalesce(lead(block) OVER (PARTITION BY doc_id ORDER BY bloc
 SELECT doc_id, title, start::INT AS start, least(start + 5, stop)::INT AS "end" FROM (SELECT *, unnest(generate_series(block, stop - 1, 5)) AS start FROM spans)""",
         "position_to_chapter": f"""WITH {BLOCKS}
 SELECT p.doc_id, p.block, coalesce(max_by(e.text, e.block) FILTER (e.block <= p.block), '') AS title, coalesce(min(e.block) FILTER (e.block > p.block), any_value(p.n))::INT AS "end"
-FROM (SELECT * FROM indexed WHERE block % 3 = 1) p LEFT JOIN (SELECT * FROM blocks WHERE t = 'h') e USING (doc_id) GROUP BY p.doc_id, p.block""",
+FROM indexed p LEFT JOIN (SELECT * FROM blocks WHERE t = 'h') e USING (doc_id) GROUP BY p.doc_id, p.block""",
+        "chapter_levels": f"""WITH {BLOCKS}, e AS (SELECT doc_id, block, text, CASE WHEN t = 'h' THEN 0 ELSE 1 END AS level FROM blocks WHERE t = 'h' OR (t = 'p' AND length(text) < 40)),
+here AS (SELECT p.doc_id, p.block, p.n, max({{'b': e.block, 'l': e.level, 't': e.text}}) FILTER (e.block <= p.block) AS f FROM indexed p LEFT JOIN e USING (doc_id) GROUP BY ALL)
+SELECT a.doc_id, a.block, md5(coalesce(a.f.t, '')) AS title_md5, coalesce(min(e.block), any_value(a.n))::INT AS "end"
+FROM here a LEFT JOIN e ON e.doc_id = a.doc_id AND e.block > a.block AND e.level <= coalesce(a.f.l, 2) GROUP BY a.doc_id, a.block, a.f""",
+        "position_to_section": f"""WITH {BLOCKS},
+starts AS (SELECT doc_id, block, CASE WHEN t = 'h' THEN text ELSE 'Start' END AS title, n FROM indexed WHERE t = 'h' OR block = 0),
+spans AS (SELECT *, coalesce(lead(block) OVER (PARTITION BY doc_id ORDER BY block), n)::INT AS stop FROM starts),
+cut AS (SELECT doc_id, title, start::INT AS start, least(start + 5, stop)::INT AS "end" FROM (SELECT *, unnest(generate_series(block, stop - 1, 5)) AS start FROM spans))
+SELECT b.doc_id, b.block, title, start, "end" FROM blocks b JOIN cut c ON c.doc_id = b.doc_id AND b.block >= c.start AND b.block < c."end" """,
+        "hits_in_sections": f"""WITH {HITS} SELECT doc_id, (block // 10 * 10)::INT AS start, count(*) AS n FROM limited WHERE k <= 300 GROUP BY 1, 2""",
+        "open_position": f"""WITH {BLOCKS}, s AS (SELECT doc_id, count(*) AS n FROM blocks GROUP BY doc_id)
+SELECT doc_id, least(CASE WHEN doc_id % 2 = 0 AND doc_id % 40 < n THEN doc_id % 40 ELSE n_chars % 30 END, n - 1)::INT AS block FROM s JOIN documents USING (doc_id)""",
+        "library_sorts": f"""WITH {BOOKS} SELECT book_id, row_number() OVER (PARTITION BY collections[1] ORDER BY greatest(last_read, added) DESC, book_id)::INT AS recent,
+  row_number() OVER (PARTITION BY collections[1] ORDER BY added DESC, book_id)::INT AS added, row_number() OVER (PARTITION BY collections[1] ORDER BY {_fold('title')}, book_id)::INT AS title,
+  row_number() OVER (PARTITION BY collections[1] ORDER BY {_fold('author')}, {_fold('title')}, book_id)::INT AS author, row_number() OVER (PARTITION BY collections[1] ORDER BY progress DESC, book_id)::INT AS progress FROM books""",
+        "collection_names": f"WITH {BOOKS} SELECT unnest(collections) AS name FROM books UNION SELECT lower(n_name) FROM nation",
+        "collection_toggle": f"""WITH {BOOKS} SELECT book_id, array_to_string(CASE WHEN list_contains(collections, 'en') THEN list_filter(collections, lambda c: c <> 'en') ELSE list_append(collections, 'en') END, ',') AS collections FROM books""",
+        "auto_status": f"WITH {BOOKS} SELECT reading_status, 'reading' AS after, count(*) AS n FROM books GROUP BY 1, 2",
+        "lookup_url": rf"""WITH w AS (SELECT doc_id, lang, unnest([regexp_extract(text, '\S+'), regexp_extract(text, '\S+\s+\S+')]) AS said FROM documents)
+SELECT doc_id, said, CASE WHEN regexp_matches(said, '\s') THEN 'https://www.google.com/search?q=' || {_part("'define ' || said[1:200]")}
+  ELSE 'https://' || lang[1:2] || '.wiktionary.org/wiki/' || {_part("lower(said[1:200])")} END AS url FROM w WHERE said <> ''""",
+        "escaped_html": "SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS text_md5 FROM pages",
+        "scan_pages": rf"SELECT source, CASE WHEN length(regexp_replace(text, '\s', '', 'g')) < 40 THEN 'pending' ELSE 'text' END AS state, count(*) AS n FROM documents GROUP BY 1, 2",
+        "job_control": """SELECT source, count(*) FILTER (n_chars < 200) AS skipped, count(*) AS pages, count(*) FILTER (n_chars < 200) > 0 AND count(*) FILTER (n_chars < 60) <= 3 AS resumes FROM documents GROUP BY source""",
+        "retry_classes": """WITH a AS (SELECT CASE WHEN event_type <> 'error' THEN (floor(value)::BIGINT % 5 * 100 + 200)::INT END AS code, CASE WHEN event_id % 3 > 0 THEN 1 END AS blocks FROM events)
+SELECT code, (code IS NULL OR code = 429 OR code >= 500 OR (code < 400 AND blocks IS NULL)) AS again, count(*) AS n FROM a GROUP BY 1, 2""",
+        "fenced_json": """SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' AS json FROM documents""",
+        "english_books": """SELECT lang, CASE WHEN n_chars % 4 = 0 THEN n_chars % 8 = 0 ELSE lang = 'en' END AS english, count(*) AS n FROM documents GROUP BY 1, 2""",
+        "loaded_ranks": """SELECT word, row_number() OVER (ORDER BY ord) - 1 AS rank FROM (SELECT word, min(ord) AS ord FROM (
+  SELECT unnest(string_split(p_name, ' ')) AS word, p_partkey * 100 + generate_subscripts(string_split(p_name, ' '), 1) AS ord FROM part) WHERE word <> '' GROUP BY word)""",
+        "matched_case": """SELECT tok, CASE WHEN length(tok) > 1 AND tok = upper(tok) THEN upper(reverse(tok)) WHEN regexp_matches(tok, '^[A-Z]') THEN upper(lower(reverse(tok))[1]) || lower(reverse(tok))[2:] ELSE lower(reverse(tok)) END AS word
+FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS tok FROM documents)""",
         "percent_to_block": f"""WITH {BLOCKS}
 SELECT doc_id, percent, max(block) AS block FROM indexed, (SELECT unnest([0.0, 25.0, 50.0, 99.5, 120.0]::DOUBLE[]) AS percent)
 WHERE chars_before <= least(100.0, percent)::DOUBLE / 100 * total GROUP BY doc_id, percent""",
@@ -223,16 +275,19 @@ SELECT doc_id, line_no::INT AS line_no, tok_no::INT AS tok_no, tok || next AS jo
   SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, island ORDER BY tok_no) AS k FROM islands WHERE c = 1) WHERE k % 2 = 1""",
         "stray_marks": f"""SELECT doc_id, count(*) AS n_marks FROM (SELECT doc_id, unnest(string_split_regex(text, {_s(T.WS + '+')})) AS tok FROM documents)
 WHERE regexp_matches(tok, {_s(T.STRAY_MARK)}) AND tok <> '...' GROUP BY doc_id""",
-        "sentences": rf"""WITH words AS (
-  SELECT doc_id, unnest(string_split_regex({_trim('text')}, {_s(T.WS + '+')})) AS w, generate_subscripts(string_split_regex({_trim('text')}, {_s(T.WS + '+')}), 1) AS i FROM documents),
-seen AS (
-  SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nxt, regexp_extract(w, {_s(r'([.!?…]+)' + closers + '*$')}, 1) AS stop,
-    regexp_extract(w, {_s(r'([\p{L}.]*?)[.!?…]+' + closers + '*$')}, 1) AS before FROM words WHERE w <> ''),
-ends AS (
-  SELECT *, coalesce(stop <> '' AND regexp_matches(nxt, {_s(opener)}) AND NOT (stop[1] = '.' AND (lower(replace(before, '.', '')) IN {abbreviations}
-    OR regexp_matches(lower(replace(before, '.', '')), '^\p{{L}}$') OR regexp_matches(before, '^(\p{{L}}\.)+\p{{L}}$'))), false)::INT AS e FROM seen),
-numbered AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence_no FROM ends)
-SELECT doc_id, sentence_no, md5(string_agg(w, ' ' ORDER BY i)) AS text_md5 FROM numbered GROUP BY doc_id, sentence_no""",
+        "sentences": f"""WITH {_sentences("doc_id")} SELECT doc_id, sentence_no, min(b) AS start, max(b + length(w)) AS "end", md5(string_agg(w, ' ' ORDER BY i)) AS text_md5 FROM numbered GROUP BY doc_id, sentence_no""",
+        "sentence_at": f"""WITH {_sentences("doc_id")}, spans AS (SELECT doc_id, sentence_no, min(b) AS start, max(b + length(w)) AS "end" FROM numbered GROUP BY doc_id, sentence_no),
+asked AS (SELECT unnest([0, 40, 333, 1000]::BIGINT[]) AS place)
+SELECT doc_id, place, sentence_no, start, "end" FROM spans, asked WHERE place >= start AND place < "end" """,
+        "speech_cursor": f"""WITH {_sentences("doc_id, block", "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS block FROM documents)")},
+spans AS (SELECT doc_id, block, sentence_no, min(b) AS start, max(b + length(w)) AS "end" FROM numbered GROUP BY doc_id, block, sentence_no),
+own AS (SELECT doc_id, block, min(start) FILTER ("end" > 10) AS s, min("end") FILTER ("end" > 10) AS e, min(start) AS s0, min("end") AS e0 FROM spans GROUP BY doc_id, block),
+lines AS (SELECT doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS block FROM documents),
+after AS (
+  SELECT l.doc_id, l.block, o.s, o.e, min({{'b': n.block, 's': n.s0, 'e': n.e0}}) FILTER (n.block > l.block) AS nx FROM lines l
+  LEFT JOIN own o ON o.doc_id = l.doc_id AND o.block = l.block LEFT JOIN own n ON n.doc_id = l.doc_id AND n.block > l.block GROUP BY ALL)
+SELECT doc_id, block, CASE WHEN e IS NOT NULL THEN block ELSE nx.b END AS said, CASE WHEN e IS NOT NULL THEN greatest(s, 10) ELSE nx.s END AS start, coalesce(e, nx.e) AS "end"
+FROM after WHERE e IS NOT NULL OR nx IS NOT NULL""",
         "word_at": f"""WITH p AS (SELECT doc_id, text, place, least(place, length(text))::INT AS pos FROM documents, (SELECT unnest([0, 7, 40, 1000, 10000000]::INT[]) AS place)),
 q AS (SELECT *, CASE WHEN NOT regexp_matches(substr(text, pos + 1, 1), {_s(_WORD)}) AND pos > 0 AND regexp_matches(substr(text, pos, 1), {_s(_WORD)}) THEN pos - 1 ELSE pos END AS k FROM p),
 r AS (SELECT doc_id, place, regexp_extract(substr(text, 1, k), {_s('(' + _WORD + '*)$')}, 1) AS l, regexp_extract(substr(text, k + 1), {_s('^(' + _WORD + '*)')}, 1) AS r FROM q)
@@ -240,15 +295,16 @@ SELECT doc_id, place, word FROM (SELECT doc_id, place, r, regexp_replace(l || r,
         "word_spans": f"""WITH w AS (
   SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), {_s(_WORD + '+')}), lambda x: regexp_replace(x, {_s("^['’-]+|['’-]+$")}, '', 'g')), lambda x: x <> '') AS v FROM documents)
 SELECT doc_id, len(v)::BIGINT AS n_words, md5(array_to_string(v, ' ')) AS words_md5 FROM w""",
-        "library_view": f"""WITH {BOOKS} SELECT book_id, title, greatest(last_read, added) AS recent FROM books
+        "library_view": f"""WITH {BOOKS} SELECT book_id, md5(title) AS title_md5, greatest(last_read, added) AS recent FROM books
 WHERE favorite AND list_contains(collections, 'en') AND contains(lower(concat_ws(' ', title, coalesce(author, ''), file_name)), 'src1')""",
-        "library_by_author": f"""WITH {BOOKS} SELECT coalesce(nullif(trim(author), ''), 'Unknown author') AS author, count(*) AS n, md5(string_agg(title, '|' ORDER BY book_id)) AS titles_md5 FROM books GROUP BY 1""",
+        "library_by_author": f"""WITH {BOOKS} SELECT author, count(*) OVER (PARTITION BY author) AS n, row_number() OVER (PARTITION BY author ORDER BY book_id) AS place, book_id
+FROM (SELECT coalesce(nullif(trim(author), ''), 'Unknown author') AS author, book_id FROM books)""",
         "status_of": f"""WITH {BOOKS} SELECT coalesce(reading_status, CASE WHEN progress >= 0.98 THEN 'read' WHEN last_read <> 0 THEN 'reading' ELSE 'none' END) AS status, count(*) AS n FROM books GROUP BY 1""",
         "collections": f"WITH {BOOKS} SELECT name, count(*) AS n FROM (SELECT unnest(collections) AS name FROM books) GROUP BY name",
-        "cover_hue": rf"""WITH {BOOKS} SELECT book_id, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(regexp_replace(title, '[^\x20-\x7E]', '', 'g'), ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT)),
+        "cover_hue": rf"""WITH {BOOKS} SELECT book_id, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(title, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)),
   lambda h, c: (h * 31 + c) % 360) AS hue FROM books""",
-        "bold_starts": r"""WITH """ + BOOKS + r""" SELECT book_id, array_to_string(list_transform(regexp_extract_all('<i>' || title || '</i>', '<[^>]*>|\p{L}+|[^<\p{L}]+|<'),
-  lambda p: CASE WHEN regexp_matches(p, '^\p{L}{2,}$') THEN '<b class="bs">' || substr(p, 1, ceil(length(p) / 2)::INT) || '</b>' || substr(p, ceil(length(p) / 2)::INT + 1) ELSE p END), '') AS html FROM books""",
+        "bold_starts": r"""WITH """ + BOOKS + r""" SELECT book_id, md5(array_to_string(list_transform(regexp_extract_all('<i>' || title || '</i>', '<[^>]*>|\p{L}+|[^<\p{L}]+|<'),
+  lambda p: CASE WHEN regexp_matches(p, '^\p{L}{2,}$') THEN '<b class="bs">' || substr(p, 1, ceil(length(p) / 2)::INT) || '</b>' || substr(p, ceil(length(p) / 2)::INT + 1) ELSE p END), '')) AS html_md5 FROM books""",
         "reading_days": f"WITH {ACTIVITY}, {_days(120)} SELECT user_id, day, micros, chars FROM days",
         "stats_view": f"""WITH {ACTIVITY}, {_days(86400)},
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS k FROM days),

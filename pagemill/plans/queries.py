@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import textsem as T
-from pagemill.operators import dictionary, geometry, image, layout, library, repair, search
+from pagemill.operators import dictionary, geometry, image, layout, library, places, repair, search
 from pagemill.sources import web
 
 #: Words and phrases that the search queries look for.
@@ -63,7 +63,37 @@ def sections(spark, sf_dir):
 
 def position_to_chapter(spark, sf_dir):
     blocks = doc_blocks(spark, sf_dir)
-    return layout.chapter_at(blocks, blocks.where("block % 3 = 1").select("doc_id", "block"))
+    return places.chapter_at(layout.toc(blocks), layout.sizes(blocks), blocks.select("doc_id", "block"))
+
+
+def chapter_levels(spark, sf_dir):
+    """Chapters where short paragraphs are entries, too, on the level below the headings."""
+    blocks = doc_blocks(spark, sf_dir)
+    per = Window.partitionBy("doc_id").orderBy("block")
+    entries = blocks.where("t = 'h' OR (t = 'p' AND length(text) < 40)").withColumn("toc_no", F.row_number().over(per) - 1)
+    entries = entries.select("doc_id", "toc_no", F.col("text").alias("title"), "block", F.when(F.col("t") == "h", 0).otherwise(1).alias("level"))
+    at = places.chapter_at(places.toc_once(entries), layout.sizes(blocks), blocks.select("doc_id", "block"))
+    return at.select("doc_id", "block", F.md5("title").alias("title_md5"), "end")
+
+
+def position_to_section(spark, sf_dir):
+    blocks = doc_blocks(spark, sf_dir)
+    return places.section_at(layout.sections(blocks, per_section=5), blocks.select("doc_id", "block"))
+
+
+def hits_in_sections(spark, sf_dir):
+    """How many search hits lie in each section of ten lines."""
+    rows, hits = _searched(spark, sf_dir)
+    cut = rows.where("block % 10 = 0").select("doc_id", F.col("block").alias("start"), (F.col("block") + 10).alias("end"))
+    found = places.last_upto(cut, hits.select("doc_id", "block"), ["doc_id"], "start", "block").where(F.col("block") < F.col("found.end"))
+    return found.groupBy("doc_id", "found.start").agg(F.count("*").alias("n"))
+
+
+def open_position(spark, sf_dir):
+    """Books opened at a marker (made from the id) or at a saved position (from the size)."""
+    rows = layout.sizes(doc_blocks(spark, sf_dir)).join(docs(spark, sf_dir).select("doc_id", "n_chars"), "doc_id")
+    marker = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 40).cast("int"))
+    return rows.select("doc_id", places.open_position(marker, (F.col("n_chars") % 30).cast("int"), F.col("n")).alias("block"))
 
 
 def percent_to_block(spark, sf_dir):
@@ -159,7 +189,20 @@ def stray_marks(spark, sf_dir):
 
 
 def sentences(spark, sf_dir):
-    return search.sentences(docs(spark, sf_dir)).select("doc_id", F.col("sentence_no").cast("long"), F.md5("text").alias("text_md5"))
+    return search.sentences(docs(spark, sf_dir)).select("doc_id", F.col("sentence_no").cast("long"), "start", "end", F.md5("text").alias("text_md5"))
+
+
+def sentence_at(spark, sf_dir):
+    asked = docs(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.lit(k).cast("long") for k in (0, 40, 333, 1000)])).alias("place"))
+    out = places.sentence_at(search.sentences(docs(spark, sf_dir)), asked)
+    return out.select("doc_id", "place", F.col("sentence_no").cast("long"), "start", "end")
+
+
+def speech_cursor(spark, sf_dir):
+    """Where speech begins from the tenth character of every line on; lines are blocks."""
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "text"))
+    spans = search.sentences(rows, ("doc_id", "block"))
+    return places.speech_from(spans, rows.select("doc_id", "block", F.lit(10).cast("long").alias("offset"))).select("doc_id", "block", "said", "start", "end")
 
 
 def word_at(spark, sf_dir):
@@ -180,7 +223,7 @@ def books(spark, sf_dir) -> DataFrame:
     d, lab = docs(spark, sf_dir), read(spark, sf_dir, "labels")
     author = F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(F.concat(F.lit("Author "), F.col("lang"), F.col("doc_id") % 5))
     return d.join(lab, "doc_id", "left").select(
-        F.col("doc_id").alias("book_id"), F.trim(F.substring(F.regexp_replace("text", r"[\n\r]", " "), 1, 40)).alias("title"), author.alias("author"),
+        F.col("doc_id").alias("book_id"), F.trim(F.regexp_replace("text", r"[\n\r]", " ")).alias("title"), author.alias("author"),
         F.concat("source", F.lit(".pdf")).alias("file_name"), (F.col("quality") == 1).alias("favorite"), F.array("source", "lang").alias("collections"),
         F.when(F.col("toxic") == 1, "to-read").alias("reading_status"), F.least(F.lit(1.0), F.col("n_chars") / 5000).alias("progress"),
         (F.col("doc_id") % 3).alias("last_read"), F.col("n_chars").alias("added"),
@@ -189,11 +232,97 @@ def books(spark, sf_dir) -> DataFrame:
 
 def library_view(spark, sf_dir):
     shown = library.library_filter(books(spark, sf_dir), favorites=True, collection="en", query="SRC1")
-    return shown.select("book_id", "title", F.greatest("last_read", "added").alias("recent"))
+    return shown.select("book_id", F.md5("title").alias("title_md5"), F.greatest("last_read", "added").alias("recent"))
 
 
 def library_by_author(spark, sf_dir):
-    return library.by_author(books(spark, sf_dir)).select("author", "n", F.md5("titles").alias("titles_md5"))
+    return library.by_author(books(spark, sf_dir)).select("author", "n", "place", "book_id")
+
+
+def library_sorts(spark, sf_dir):
+    """Each source is one reader's library."""
+    return library.shelf_places(books(spark, sf_dir).withColumn("owner", F.col("collections")[0]), "owner")
+
+
+def collection_names(spark, sf_dir):
+    stored = read(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"))
+    return library.collection_names(books(spark, sf_dir), stored)
+
+
+def collection_toggle(spark, sf_dir):
+    now = library.toggled(F.col("collections"), F.lit("en"))
+    return books(spark, sf_dir).select("book_id", F.array_join(now, ",").alias("collections"))
+
+
+def auto_status(spark, sf_dir):
+    after = library.status_after_reading(F.col("reading_status"))
+    return books(spark, sf_dir).groupBy("reading_status", after.alias("after")).agg(F.count("*").alias("n"))
+
+
+def lookup_url(spark, sf_dir):
+    """The first word of every text looked up, and its first two."""
+    words = docs(spark, sf_dir).select("doc_id", "lang", F.explode(F.array(F.regexp_extract("text", r"\S+", 0), F.regexp_extract("text", r"\S+\s+\S+", 0))).alias("said")).where("said <> ''")
+    return words.select("doc_id", "said", library.lookup_url(F.col("said"), F.col("lang")).alias("url"))
+
+
+def escaped_html(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(library.escape_html(F.col("html"))).alias("text_md5"))
+
+
+def scan_pages(spark, sf_dir):
+    """Documents as scanned pages: those with under 40 characters beside white space have no text layer."""
+    state = geometry.page_state(F.col("text"))
+    return docs(spark, sf_dir).groupBy("source", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def job_control(spark, sf_dir):
+    """Pages of cancelled jobs by source, and whether a source's job would go on by itself."""
+    rows = docs(spark, sf_dir).select("source", "n_chars", F.when(F.col("n_chars") < 200, "pending").otherwise("text").alias("state"))
+    after = library.cancelled(rows).groupBy("source").agg(F.count_if(F.col("state") == "skipped").alias("skipped"), F.count("*").alias("pages"))
+    jobs = rows.groupBy("source").agg(F.max(F.when(F.col("state") == "pending", "ocr").otherwise("ready")).alias("done"), F.min("state").alias("least"), F.count_if(F.col("n_chars") < 60).alias("needs_consent"))
+    jobs = jobs.select("source", F.when(F.col("least") == "pending", "ocr").otherwise("ready").alias("state"), (F.col("needs_consent") > 5).alias("paused"), F.when(F.col("needs_consent") > 3, 1).alias("needs_consent"))
+    going = library.resumable(jobs).select("source", F.lit(True).alias("resumes"))
+    return after.join(going, "source", "left").select("source", "skipped", "pages", F.coalesce("resumes", F.lit(False)).alias("resumes"))
+
+
+def retry_classes(spark, sf_dir):
+    """Events as answers of a recognition service: the value gives its code."""
+    code = F.when(F.col("event_type") != "error", (F.floor(F.col("value")) % 5 * 100 + 200).cast("int"))
+    blocks = F.when(F.col("event_id") % 3 > 0, F.lit(1))
+    rows = read(spark, sf_dir, "events").select(code.alias("code"), blocks.alias("blocks"))
+    return rows.groupBy("code", library.retryable(F.col("code"), F.col("blocks")).alias("again")).agg(F.count("*").alias("n"))
+
+
+def fenced_json(spark, sf_dir):
+    """Answers with a fence, with words around the braces, and bare, by the source of the text in them."""
+    inner = F.to_json(F.struct("doc_id", "lang"))
+    last = F.substr("source", F.length("source"), F.lit(1))
+    said = F.when(last < "3", F.concat(F.lit("Here:\n```json\n"), inner, F.lit("\n``` done"))).when(last < "6", F.concat(F.lit("So "), inner, F.lit(" is it"))).otherwise(inner)
+    return docs(spark, sf_dir).select("doc_id", T.trim(geometry.json_in(said)).alias("json"))
+
+
+def english_books(spark, sf_dir):
+    ocr = F.when(F.col("n_chars") % 4 == 0, F.when(F.col("n_chars") % 8 == 0, "eng").otherwise("deu"))
+    return docs(spark, sf_dir).groupBy("lang", library.is_english(ocr, F.col("lang")).alias("english")).agg(F.count("*").alias("n"))
+
+
+def loaded_ranks(spark, sf_dir):
+    """A word list in the order of parts: the words of their names."""
+    names = read(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("k", "text"))
+    return dictionary.load_ranks(names.select((F.col("p_partkey") * 100 + F.col("k")).alias("ord"), "text")).select("word", F.col("rank").cast("long"))
+
+
+def matched_case(spark, sf_dir):
+    """Every distinct token's letters in lower case and backwards, put into the case that the token has."""
+    toks = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("tok")).distinct()
+    return toks.select("tok", repair.match_case(F.col("tok"), F.lower(F.reverse("tok"))).alias("word"))
+
+
+def repaired_tokens(spark, sf_dir):
+    """Distinct tokens of English documents at full confidence but for words run together: no respelling."""
+    known = ranks(spark, sf_dir)
+    toks = docs(spark, sf_dir).where("lang = 'en'").select(F.explode(F.split("text", T.WS + "+")).alias("token")).where("token <> ''").distinct()
+    return repair.repair_tokens(toks, known, conf=85).where("repaired <> token")
 
 
 def status_of(spark, sf_dir):
@@ -206,12 +335,11 @@ def collections(spark, sf_dir):
 
 
 def cover_hue(spark, sf_dir):
-    rows = books(spark, sf_dir).select("book_id", F.regexp_replace("title", r"[^\x20-\x7E]", "").alias("title"))
-    return rows.select("book_id", library.cover_hue(F.col("title")).cast("long").alias("hue"))
+    return books(spark, sf_dir).select("book_id", library.cover_hue(F.col("title")).cast("long").alias("hue"))
 
 
 def bold_starts(spark, sf_dir):
-    return books(spark, sf_dir).select("book_id", library.bold_starts(F.concat(F.lit("<i>"), F.col("title"), F.lit("</i>"))).alias("html"))
+    return books(spark, sf_dir).select("book_id", F.md5(library.bold_starts(F.concat(F.lit("<i>"), F.col("title"), F.lit("</i>")))).alias("html_md5"))
 
 
 def _activity(spark, sf_dir) -> DataFrame:
@@ -241,8 +369,8 @@ def provider_outcome(spark, sf_dir):
 
 
 def ewma_latency(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))
-    return rows.select("user_id", F.round(library.ewma(F.transform("v", lambda x: x["value"])), 6).alias("ewma"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "value")
+    return library.ewma_of(rows).select(F.col("key").alias("user_id"), F.round("ewma", 6).alias("ewma"))
 
 
 def size_mode(spark, sf_dir):
@@ -328,7 +456,7 @@ def outline_toc(spark, sf_dir):
 
 def image_preprocess(spark, sf_dir):
     """Each text as a gray picture of 100 columns: dark where it has a letter, light elsewhere."""
-    pixels = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 2**30), r"[^\x20\n]", "!"), r"[\x20\n]", "~")
+    pixels = F.regexp_replace(F.regexp_replace("text", r"[^\x20\n]", "!"), r"[\x20\n]", "~")
     rows = docs(spark, sf_dir).where("length(text) > 0").select("doc_id", pixels.alias("p"), F.ceil(F.length("text") / 100).cast("int").alias("height"))
     rows = rows.select("doc_id", F.encode(F.rpad("p", F.col("height") * 100, "~"), "UTF-8").alias("data"), F.lit(100).alias("width"), "height")
     return image.preprocess(rows).select("doc_id", "height", F.md5("cleaned.data").alias("data_md5"), "cleaned.angle")
