@@ -55,13 +55,12 @@ def sentences(texts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFram
     terminators and closers behind it and the next word begins a sentence,
     unless the run begins with a dot behind an abbreviation or initials.
     """
-    text = T.trim(F.col("text"))
-    ahead = F.length("text") - F.length(F.regexp_replace("text", f"^{T.WS}+", ""))
-    pieces = F.arrays_zip(F.split(text, T.WS + "+").alias("w"), F.regexp_extract_all(text, F.lit(f"({T.WS}+)"), F.lit(1)).alias("gap"))
-    words = texts.select(*keys, ahead.alias("ahead"), F.posexplode(pieces).alias("i", "p")).select(*keys, "ahead", "i", "p.w", "p.gap").where("w <> ''")
+    pieces = F.arrays_zip(F.split("text", T.WS + "+").alias("w"), F.regexp_extract_all("text", F.lit(f"({T.WS}+)"), F.lit(1)).alias("gap"))
+    words = texts.select(*keys, F.posexplode(pieces).alias("i", "p")).select(*keys, "i", "p.w", "p.gap")
     per = Window.partitionBy(*keys).orderBy("i")
     step = F.length("w") + F.coalesce(F.length("gap"), F.lit(0))
-    words = words.withColumn("start", F.col("ahead") + F.sum(step).over(per.rowsBetween(Window.unboundedPreceding, 0)) - step)
+    # White space at the ends has an empty word beside it.
+    words = words.withColumn("start", F.sum(step).over(per.rowsBetween(Window.unboundedPreceding, 0)) - step).where("w <> ''")
     stop = F.regexp_extract("w", rf"([.!?…]+){_CLOSERS}*$", 1)
     before = F.regexp_extract("w", rf"([\p{{L}}.]*?)[.!?…]+{_CLOSERS}*$", 1)
     plain = F.lower(F.replace(before, F.lit("."), F.lit("")))

@@ -19,7 +19,9 @@ ASKED = ["the re", "ETRE", "ción", "nder "]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that comes in fewer pieces than there are cores is dealt out, for a small file would keep one core busy."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and rows.rdd.getNumPartitions() < cores else rows
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
