@@ -1,15 +1,16 @@
 """Line dedup by site-relative frequency (DataFrame functions only).
 
 A page's lines are the texts between its block tags.  For each host, the pages
-that hold a line are divided by the host's pages; lines above ``ratio`` are
-boilerplate of that site and go from all its pages.  Hosts with fewer than
-``min_pages`` pages have no say, for there every line would be boilerplate.
+that hold a line are divided by the host's pages; lines above ``ratio`` that at
+least two pages hold are boilerplate of that site and go from all its pages.
+One rule holds for hosts of every size; a host's only page stays whole.
 
 Lines are counted by their digest and each page counts once, combined before
 the shuffle, so a host or line that holds a third of all rows is counted in
 parallel.  Only digests are shuffled, never texts but for the final join.
 
-Defined cases: null or empty html has no lines and keeps an empty text; a null
+Defined cases: a very long page is one page like others, parsed whole; a line at
+the ratio stays; null or empty html has no lines and keeps an empty text; a null
 url, or one without a host, is the host ''; rows that repeat a page_id with one
 html count as one page each; blank lines are no lines; extra columns are
 ignored.
@@ -40,14 +41,14 @@ def page_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, *, ratio: float = 0.3, min_pages: int = 4) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, ratio: float = 0.3, least: int = 2) -> DataFrame:
     """page_id, host, n_lines, n_dropped and text (the kept lines) of every row."""
     rows = pages.select("page_id", host(F.col("url")).alias("host"), page_lines(F.col("html")).alias("lines"))
     sized = rows.withColumn("digests", F.transform("lines", F.md5))
     seen = materialize(sized.select("page_id", "host", F.array_distinct("digests").alias("digests")), "lines")
-    n_pages = seen.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    n_pages = seen.groupBy("host").agg(F.count("*").alias("pages"))
     n_lines = seen.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
-    common = n_lines.join(n_pages, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).select("host", "digest")
+    common = n_lines.join(n_pages, "host").where((F.col("n") >= least) & (F.col("n") > F.lit(ratio) * F.col("pages"))).select("host", "digest")
     common = materialize(common, "boilerplate")
     hits = seen.select("page_id", "host", F.explode("digests").alias("digest")).join(common, ["host", "digest"])
     gone = hits.groupBy("page_id", "host").agg(F.collect_set("digest").alias("gone"))
@@ -72,11 +73,11 @@ cut AS (
       regexp_replace(regexp_replace(t, '{BLOCK}', chr(10), 'g'), '{TAG}', '', 'g'),
       '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
   FROM rows),
-hosts AS (SELECT host, count(*) AS pages FROM cut GROUP BY host HAVING count(*) >= 4),
+hosts AS (SELECT host, count(*) AS pages FROM cut GROUP BY host),
 seen AS (SELECT host, unnest(list_distinct(lines)) AS line FROM cut),
 common AS (
   SELECT host, list(line) AS gone FROM (
-    SELECT s.host, s.line FROM seen s JOIN hosts h USING (host) GROUP BY s.host, s.line, h.pages HAVING count(*) > 0.3 * h.pages) GROUP BY host),
+    SELECT s.host, s.line FROM seen s JOIN hosts h USING (host) GROUP BY s.host, s.line, h.pages HAVING count(*) >= 2 AND count(*) > 0.3 * h.pages) GROUP BY host),
 kept AS (
   SELECT page_id, host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept
   FROM cut LEFT JOIN common USING (host))

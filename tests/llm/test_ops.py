@@ -294,6 +294,15 @@ def test_line_dedup(spark):
     assert by[10].n_dropped == 0 and by[10].text == "Menu\nOwn text 10\nTwice & more"
     assert by[11].host == "" and by[11].n_lines == 0 and by[12].text == ""
     assert linededup.drop_boilerplate(pages.limit(0)).count() == 0
+    # Small hosts, a line at the ratio, and a very long page.
+    few = [(i, "http://c.example.com/", f"<p>own {i}</p>" + ("<p>both</p>" if i < 2 else ""), "z") for i in range(3)]
+    tie = [(100 + i, "http://d.example.com/", f"<p>own {i}</p>" + ("<p>three of ten</p>" if i < 3 else "") + ("<p>four of ten</p>" if i < 4 else ""), "z") for i in range(10)]
+    long = [(200, "http://e.example.com/", "".join(f"<p>line {k}</p>" for k in range(30_000)), "z")]
+    pages = spark.createDataFrame(few + tie + long, "page_id long, url string, html string, lines string")
+    by = {x.page_id: x for x in linededup.drop_boilerplate(pages).collect()}
+    assert [by[i].text for i in range(3)] == ["own 0", "own 1", "own 2"]
+    assert by[100].text == "own 0\nthree of ten" and by[103].text == "own 3"
+    assert (by[200].n_lines, by[200].n_dropped) == (30_000, 0)
 
 
 def test_embeddings(spark):
