@@ -33,8 +33,10 @@ def doc_blocks(spark, sf_dir) -> DataFrame:
 
 
 def page_number_lines(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return rows.where(T.is_page_number(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    """Documents as pages that bear their number at the foot, in one of three forms."""
+    number = F.concat_ws("", F.element_at(F.array(*map(F.lit, ["- ", "Page ", ""])), (F.col("doc_id") % 3 + 1).cast("int")), (F.col("doc_id") % 12000).cast("string"), F.when(F.col("doc_id") % 3 == 1, " of 900"))
+    rows = docs(spark, sf_dir).select("doc_id", F.explode(F.split(F.concat_ws("\n", "text", number), "\n")).alias("line"))
+    return rows.where(T.is_page_number(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("line").alias("last"))
 
 
 def running_lines(spark, sf_dir):
