@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import textsem as T
-from pagemill.operators import dictionary, geometry, image, layout, library, repair, search
+from pagemill.operators import dictionary, geometry, image, layout, library, places, repair, search
 from pagemill.sources import epub, web
 from pagemill.streaming import activity
 
@@ -64,7 +64,7 @@ def test_blocks_sections_positions(spark):
     s = layout.sections(b).orderBy("start").collect()
     assert [(r.title, r.start, r.end) for r in s] == [("Start", 0, 1), ("Chapter One", 1, 5), ("Chapter Two", 5, 7)]
     at = spark.createDataFrame([(0, 0), (0, 3), (0, 6)], "doc_id long, block int")
-    got = {r.block: (r.title, r.end) for r in layout.chapter_at(b, at).collect()}
+    got = {r.block: (r.title, r.end) for r in places.chapter_at(layout.toc(b), layout.sizes(b), at).collect()}
     assert got == {0: ("", 1), 3: ("Chapter One", 5), 6: ("Chapter Two", 7)}
     p = {r.percent: r.block for r in layout.block_at_percent(layout.char_index(b), [0.0, 100.0]).collect()}
     assert p == {0.0: 0, 100.0: 6}
@@ -199,6 +199,48 @@ def test_glued_and_broken(spark):
     assert sorted(r.joined for r in joined) == ["tower"]
 
 
+def test_tokens_repaired(spark):
+    known = listed(spark, "the of bell harbour tower lantern to")
+    toks = spark.createDataFrame([(t,) for t in ["(thebell,", "harhour;", "tower.", "NASAX", "Qwerty", "x1y2", "ab", "lanlern", "--"]], "token string")
+    got = {r.token: r.repaired for r in repair.repair_tokens(toks, known).collect()}
+    assert got == {"(thebell,": "(the bell,", "harhour;": "harbour;", "tower.": "tower.", "NASAX": "NASAX", "Qwerty": "Qwerty", "x1y2": "x1y2", "ab": "ab", "lanlern": "lantern", "--": "--"}
+    sure = {r.token: r.repaired for r in repair.repair_tokens(toks, known, conf=85).collect()}
+    assert sure["harhour;"] == "harhour;" and sure["(thebell,"] == "(the bell,"
+    assert [repair_case[0] for repair_case in spark.createDataFrame([("ABC", "def"), ("Abc", "def"), ("abc", "def"), ("A", "x")], "a string, b string").select(repair.match_case(F.col("a"), F.col("b"))).collect()] == ["DEF", "Def", "def", "X"]
+
+
+def test_places(spark):
+    entries = spark.createDataFrame([(1, 0, "One", 2, 0), (1, 1, "One a", 4, 1), (1, 2, "One b", 6, 1), (1, 3, "Two", 9, 0)], "doc_id long, toc_no int, title string, block int, level int")
+    size = spark.createDataFrame([(1, 12), (2, 3)], "doc_id long, n int")
+    at = spark.createDataFrame([(1, b) for b in (0, 2, 3, 5, 6, 9, 11)] + [(2, 1)], "doc_id long, block int")
+    got = {(r.doc_id, r.block): (r.title, r.end) for r in places.chapter_at(entries, size, at).collect()}
+    assert got == {(1, 0): ("", 2), (1, 2): ("One", 9), (1, 3): ("One", 9), (1, 5): ("One a", 6), (1, 6): ("One b", 9), (1, 9): ("Two", 12), (1, 11): ("Two", 12), (2, 1): ("", 3)}
+    text = "  First one. Then  a second!\nNo stop"
+    spans = search.sentences(docs(spark, [text])).orderBy("sentence_no").collect()
+    assert [(s.start, s.end, text[s.start : s.end]) for s in spans] == [(2, 12, "First one."), (13, 28, "Then  a second!"), (29, 36, "No stop")]
+    asked = spark.createDataFrame([(0, k) for k in (0, 2, 12, 20, 35, 99)], "doc_id long, place long")
+    assert {r.place: r.sentence_no for r in places.sentence_at(search.sentences(docs(spark, [text])), asked).collect()} == {2: 0, 20: 1, 35: 2}
+    rows = spark.createDataFrame([(0, 0, "Go on. Stop."), (0, 1, ""), (0, 2, "Last.")], "doc_id long, block int, text string")
+    cursor = spark.createDataFrame([(0, 0, 0), (0, 0, 3), (0, 0, 6), (0, 0, 12), (0, 2, 5)], "doc_id long, block int, offset long")
+    said = places.speech_from(search.sentences(rows, ("doc_id", "block")), cursor).collect()
+    assert {(r.block, r.offset): (r.said, r.start, r.end) for r in said} == {(0, 0): (0, 0, 6), (0, 3): (0, 3, 6), (0, 6): (0, 7, 12), (0, 12): (2, 0, 5)}
+    opened = spark.createDataFrame([(3, 1, 5), (9, 1, 5), (None, 7, 5), (None, 0, 0)], "m int, p int, n int")
+    assert [r[0] for r in opened.select(places.open_position(F.col("m"), F.col("p"), F.col("n"))).collect()] == [3, 1, 4, 0]
+
+
+def test_more_library_rules(spark):
+    assert col(spark, [["a", "en"], ["a"]], lambda c: library.toggled(c, F.lit("en")), "array<string>") == [["a"], ["a", "en"]]
+    assert col(spark, [None, "to-read", "none", "read"], library.status_after_reading) == ["reading", "reading", "reading", "read"]
+    calls = spark.createDataFrame([(None, None), (429, None), (503, None), (404, None), (200, None), (200, 3)], "s int, b int")
+    assert [r[0] for r in calls.select(library.retryable(F.col("s"), F.col("b"))).collect()] == [True, True, True, False, True, False]
+    assert col(spark, ["sí", "one two"], lambda c: library.lookup_url(c, F.lit("es-MX"))) == ["https://es.wiktionary.org/wiki/s%C3%AD", "https://www.google.com/search?q=define%20one%20two"]
+    assert col(spark, ['x ```json\n{"a":1}\n``` y', 'so {"a":{}} it', "none"], lambda c: T.trim(geometry.json_in(c))) == ['{"a":1}', '{"a":{}}', "none"]
+    assert col(spark, ["a" * 39, "a " * 40, None], geometry.page_state) == ["pending", "text", "pending"]
+    shelves = spark.createDataFrame([(b, f"t{b}", "x" if b % 2 else " ") for b in (1, 3, 99_999, 100_001, 4)], "book_id long, title string, author string")
+    got = {r.book_id: (r.author, r.place, r.n) for r in library.by_author(shelves).collect()}
+    assert got == {1: ("x", 1, 4), 3: ("x", 2, 4), 99_999: ("x", 3, 4), 100_001: ("x", 4, 4), 4: ("Unknown author", 1, 1)}
+
+
 def test_library_rules(spark):
     rows = spark.createDataFrame([(None, 0.99, 5), (None, 0.5, 5), (None, 0.5, 0), ("to-read", 1.0, 5)], "s string, p double, l long")
     assert [r[0] for r in rows.select(library.status_of(F.col("s"), F.col("p"), F.col("l"))).collect()] == ["read", "reading", "none", "to-read"]
