@@ -53,7 +53,7 @@ U = np.uint64
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _FULL = U(0xFFFFFFFFFFFFFFFF)
 #: Members of a bucket, and shingles, that meet another as many in one task.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Representatives whose (id, digest) are sent to every task; more are shuffled.
 BROADCAST_ROWS = 500_000
 #: A shingle that more members of a block have is counted by a matrix product.
@@ -208,12 +208,12 @@ def in_common(member: np.ndarray, column: np.ndarray, members: int) -> np.ndarra
     dense = np.flatnonzero(width > COMMON)
     place = np.full(len(width), -1)
     place[dense] = np.arange(len(dense))
-    total = np.zeros((members, members), np.int64)
+    total = np.zeros((members, members), np.int32)
     for at in range(0, len(dense), COLUMNS):
         here = (place[column] >= at) & (place[column] < at + COLUMNS)
         bits = np.zeros((members, COLUMNS), np.float32)
         bits[member[here], place[column[here]] - at] = 1
-        total += (bits @ bits.T).astype(np.int64)  # at most COLUMNS: exact in single precision
+        total += (bits @ bits.T).astype(np.int32)  # at most COLUMNS: exact in single precision
     rare = place[column] < 0
     order = np.argsort(column[rare], kind="stable")
     m, c = member[rare][order], column[rare][order]
@@ -221,7 +221,7 @@ def in_common(member: np.ndarray, column: np.ndarray, members: int) -> np.ndarra
         same = np.flatnonzero(c[d:] == c[:-d])
         if not len(same):
             break
-        both = np.bincount(m[same] * members + m[same + d], minlength=members * members).reshape(members, members)
+        both = np.bincount(m[same] * members + m[same + d], minlength=members * members).reshape(members, members).astype(np.int32)
         total += both + both.T
     return total
 
@@ -240,7 +240,7 @@ def similar(flat: np.ndarray, n: np.ndarray, wanted: np.ndarray, percent: int) -
         return wanted
     keep = shared[column] & busy[member]
     common = in_common(member[keep], column[keep], len(n))
-    return wanted & (100 * common >= percent * (both - common))
+    return wanted & (100 * common.astype(np.int64) >= percent * (both - common))
 
 
 def _linked(percent: int):
