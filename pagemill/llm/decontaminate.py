@@ -22,7 +22,9 @@ their number is at most ``broadcast_windows`` and their words take at most
 ``broadcast_bytes``; beyond that the windows of both sides are shuffled by their
 hash.
 
-Defined cases: null and empty texts share nothing; items shorter than ``width``
+Defined cases: a very long text is compared whole, in windows like any other, and a
+window that both sides repeat meets as often as it stands on both; ties of slot
+values are settled as said above; null and empty texts share nothing; items shorter than ``width``
 are compared as one window of their length, items under ``min_words`` template
 words can't be told from chance and match nothing; repeated rows of an id count
 as one document; rows without an id are never reported by ``leaks`` and kept by

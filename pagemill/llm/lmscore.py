@@ -17,7 +17,8 @@ minibatch gradient steps in numpy, and returns its parameters; they are averaged
 by tokens seen, in groups of tasks first, so no group grows with the corpus.  What reaches the driver is the model, of fixed size
 (``buckets * width`` floats and the counts).
 
-Defined cases: null, empty and blank texts have no tokens, a log-probability of
+Defined cases: a very long text is scored whole, its positions in chunks; ids of
+equal counts are classed in their order; null, empty and blank texts have no tokens, a log-probability of
 0.0 and a null mean; repeated rows get equal scores; an empty corpus scores
 nothing; extra columns are ignored, null ids kept.
 """

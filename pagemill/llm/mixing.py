@@ -13,7 +13,9 @@ The histogram is pre-aggregated, a source's histogram has one row for each
 distinct size, and the threshold is searched in one of 4,096 hash buckets of a
 size, so no group of documents has to fit into one task.
 
-Defined cases: null, empty and blank texts have size 0 and never count; a null
+Defined cases: a very long text is one size, and the programme of its source holds
+8 bytes for each word of at most twice the largest text; ties of the hash are cut
+by id; null, empty and blank texts have size 0 and never count; a null
 source is one source, the last; documents that repeat an id share its hash and
 are taken or left together, as are those without an id; an empty table gives an
 empty result; extra columns are ignored by ``plan`` and kept by ``mixed``.

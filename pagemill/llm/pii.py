@@ -16,7 +16,8 @@ or above it that touch no base span are added, the better of two that overlap.
 
 Positions are code points, ends exclusive.
 
-Defined cases: null and empty texts have no spans; a null ``doc_id`` is handled
+Defined cases: a very long text is scanned whole, its matches held in one array; of
+equally good proposals that overlap the first in the text is taken; null and empty texts have no spans; a null ``doc_id`` is handled
 as any other; repeated rows give repeated results; an empty table, or one with
 no proposals, adds nothing; extra columns are ignored.
 """

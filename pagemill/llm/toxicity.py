@@ -14,7 +14,8 @@ Learning reads at most ``sample_rows`` labelled rows (chosen by a hash of the
 id).  Scoring reads every whole text and grows with the input; only the model,
 at most ``max_words`` weights, is sent to the tasks.
 
-Defined cases: a null or empty text has no sentence and gets the leak as its
+Defined cases: a very long text is scored whole, sentence by sentence; words that
+tell the classes apart equally well are taken in alphabetical order; a null or empty text has no sentence and gets the leak as its
 score; a null ``doc_id`` is scored and never learnt from; repeated rows get the
 same score each; labels that contradict each other for one id count as toxic;
 with no labelled rows at all the score is 0.0 for every text; extra columns
