@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import connected_components, materialize, slices, strings, within
+from pagemill.llm.common import bounded_batches, connected_components, materialize, slices, strings, within
 
 U = np.uint64
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -275,6 +275,11 @@ def _grown(label: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 44, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+    with bounded_batches(docs.sparkSession):  # all Python work is written before the result is handed out
+        return _near_duplicates(docs, width, percent, bands, rows)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
     schema = "doc_id long, digest long, n long, h1 long, h2 long, keys array<long>"
     sig = materialize(texts.mapInArrow(_signatures(width, bands, rows), schema), "minhash")
