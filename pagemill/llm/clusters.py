@@ -169,3 +169,27 @@ def with_inertia(assigned: DataFrame, centroids: np.ndarray) -> DataFrame:
     per = per.join(F.broadcast(named), "cluster").select("cluster", "cluster_inertia", F.sha2("centroid", 256).alias("centroid_sha256"))  # k rows
     per = per.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy()))  # the window sees k rows
     return assigned.join(F.broadcast(per), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _round(r: int) -> str:
+    """Centroids ``c{r + 1}`` from ``c{r}``."""
+    return f"""{_nearest_sql(r)},
+s{r} AS (SELECT c, i, sum(x)::BIGINT AS x, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+m{r} AS (SELECT c, list((x - (x % n + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS (SELECT c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))"""
+
+
+def _nearest_sql(r: int) -> str:
+    far = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"a{r} AS (SELECT vec_id, e.v, c, {far}::BIGINT AS d FROM e, c{r} c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"
+
+
+#: The query over ``embeddings`` with its production parameters.
+ORACLE = f"""WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM e ORDER BY sha256('2:' || vec_id) LIMIT 40),
+{", ".join(map(_round, range(5)))},
+{_nearest_sql(5)}
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c5.v, ',')) AS centroid_sha256 FROM a5 JOIN c5 USING (c)"""

@@ -110,4 +110,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linededup.ORACLE}
+    return {"op7_line_dedup": linededup.ORACLE, "op11_centroid_clustering": clusters.ORACLE, "op13_periodic_runs": runs.ORACLE}

@@ -122,3 +122,26 @@ def periodic_runs(docs: DataFrame, *, least: int = 6, times: int = 4) -> DataFra
     """doc_id, n_words, runs and the text without what repeats, for each row of ``docs`` (doc_id, text)."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, runs {RUNS}, collapsed string"
     return docs.select("doc_id", "text").mapInArrow(_find(least, times), schema)
+
+#: The query over ``documents``: all pairs of equal words within a text, so only for small tables.
+ORACLE = r"""WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda h, b:
+      list_reduce(list_prepend(xor(h, b), generate_series(1, 8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) AS h FROM documents),
+a AS (SELECT doc_id, w, len(w) AS n, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM w),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS (
+  SELECT doc_id, i, w[1 + CASE WHEN i < coalesce(a, n) THEN i ELSE a + (i - a) % p END] AS s, n
+  FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM p)),
+m AS (SELECT x.doc_id, x.i, x.i - y.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.s = y.s AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+l AS (SELECT doc_id, min(i) - q AS s, count(*) + q AS n, q FROM g GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, s, n, min(q) AS q FROM l GROUP BY doc_id, s, n),
+f AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n::DOUBLE / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s + q, s + n - 1)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS kept FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN f USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
