@@ -41,8 +41,9 @@ from pagemill.llm.common import slices
 from pagemill.llm.tokens import Encoder, _gather
 
 ID = np.dtype("<u4")
-#: Decoded bytes that a worker hands over at once.
-DECODED = 8 << 20
+#: Bytes of text or ids that a worker handles at once, bytes that it hands over at once, and pieces that it remembers: an
+#: encoder and a decoder run side by side in each task.
+SLICE, DECODED, MEMO = 1 << 20, 4 << 20, 80_000
 
 
 def byte_characters() -> list[str]:
@@ -88,31 +89,21 @@ def specification(path: str) -> str:
     return tokenizer_of(read_ranks(path)).to_str()
 
 
-class Codec(Encoder):
-    """Encoder and decoder of one specification."""
-
-    def __init__(self, spec: str, memo: int = 700_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+class Table:
+    """The bytes of each token of a specification: token i has data[place[i] : place[i] + width[i]]."""
 
-        self.full = Tokenizer.from_str(spec)
-        self.kind = self._kind(json.loads(spec))
-        self.bpe = Tokenizer(self.full.model)
-        self.bpe.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.dtype, self.letters = ID, {s: c for s, c in zip(map(chr, range(128, 256)), byte_characters()[128:]) if s != c}
-        vocab, back = self.full.get_vocab(), {c: b for b, c in enumerate(byte_characters())}
+    def __init__(self, vocab: dict[str, int]):
+        back = {c: b for b, c in enumerate(byte_characters())}
         tokens = [b""] * (max(vocab.values(), default=-1) + 1)
         for token, i in vocab.items():
             tokens[i] = bytes(back[c] for c in token)
-        self.border = np.array([t.startswith(b" ") for t in tokens], bool)
-        #: Token i has the bytes table[place[i] : place[i] + width[i]].
-        self.table, self.width = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
+        self.spaced = np.array([t.startswith(b" ") for t in tokens], bool)
+        self.data, self.width = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
         self.place = np.cumsum(self.width) - self.width
-        self.limit, self.memo, self.flat = memo, {}, np.empty(0, self.dtype)
-        self.start, self.size, self.used = (np.empty(0, np.int64) for _ in range(3))
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids, one behind the other."""
-        return _gather(self.table, self.place[ids], self.width[ids])
+        return _gather(self.data, self.place[ids], self.width[ids])
 
     def spans(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and end character of each token, counted from its text's start; ``sizes`` are the texts' numbers of ids."""
@@ -124,12 +115,35 @@ class Codec(Encoder):
         return first - text, last - text
 
 
+class Codec(Encoder):
+    """The encoder of a specification."""
+
+    def __init__(self, spec: str, memo: int = MEMO):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.full = Tokenizer.from_str(spec)
+        self.kind = self._kind(json.loads(spec))
+        self.bpe = Tokenizer(self.full.model)
+        self.bpe.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.dtype, self.letters = ID, {chr(b): c for b, c in enumerate(byte_characters()) if b > 127 and chr(b) != c}
+        self.table = Table(self.full.get_vocab())
+        self.border = self.table.spaced
+        self.limit, self.memo, self.flat = memo, {}, np.empty(0, self.dtype)
+        self.start, self.size, self.used = (np.empty(0, np.int64) for _ in range(3))
+
+
 @functools.lru_cache(maxsize=2)
 def _codec(spec: str) -> Codec:
-    """This process's codec of a specification, with what it has learnt so far."""
+    """This process's encoder of a specification, with what it has learnt so far."""
     return Codec(spec)
 
 
+@functools.lru_cache(maxsize=2)
+def _table(spec: str) -> Table:
+    """The same of decoders, which need no tokenizer."""
+    return Table(json.loads(spec)["model"]["vocab"])
+
+
 def _binaries(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Stretches of bytes as an Arrow column; ``ends`` are byte offsets."""
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
@@ -138,14 +152,14 @@ def _binaries(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
 def _encoder(spec: str, spans: bool):
     def run(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SLICE):
                 codec = _codec(spec)
                 ids, offsets = codec.ids(part.column("text"))
                 columns = [part.column("doc_id"), _binaries(ids.astype(ID), offsets * ID.itemsize), pa.array(np.diff(offsets))]
                 names = ["doc_id", "ids", "n_tokens"]
                 if spans:
                     at = pa.array(offsets, pa.int32())
-                    columns += [pa.ListArray.from_arrays(at, pa.array(x)) for x in codec.spans(ids, np.diff(offsets))]
+                    columns += [pa.ListArray.from_arrays(at, pa.array(x)) for x in codec.table.spans(ids, np.diff(offsets))]
                     names += ["starts", "ends"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -162,15 +176,15 @@ def encode(docs: DataFrame, ranks: str, *, spans: bool = False) -> DataFrame:
 def _decoder(spec: str, column: str):
     def run(batches):
         for b in batches:
-            for part in slices(b, column):
-                codec, held = _codec(spec), part.column(column).to_pylist()
+            for part in slices(b, column, SLICE):
+                table, held = _table(spec), part.column(column).to_pylist()
                 flat = np.frombuffer(b"".join(x for x in held if x), ID).astype(np.int64)
                 upto = np.concatenate([[0], np.cumsum([len(x or b"") // ID.itemsize for x in held])])
-                width = np.concatenate([[0], np.cumsum(codec.width[flat])])[upto]  # bytes of all texts before each
+                width = np.concatenate([[0], np.cumsum(table.width[flat])])[upto]  # bytes of all texts before each
                 at = 0
                 while at < len(held):
                     to = max(at + 1, int(np.searchsorted(width, width[at] + DECODED, side="right")) - 1)
-                    data = codec.bytes_of(flat[upto[at] : upto[to]])
+                    data = table.bytes_of(flat[upto[at] : upto[to]])
                     yield pa.RecordBatch.from_arrays([*part.slice(at, to - at).columns, _binaries(data, width[at : to + 1] - width[at])], names=[*b.schema.names, "decoded"])
                     at = to
 
@@ -187,7 +201,7 @@ def decode_stream(chunks: Iterable[Iterable[int]], ranks: str) -> Iterator[str]:
     """Text of ids that arrive in pieces, whole characters only; a rest that never becomes one ends as U+FFFD."""
     import codecs
 
-    codec, reader = _codec(specification(ranks)), codecs.getincrementaldecoder("utf-8")("replace")
+    table, reader = _table(specification(ranks)), codecs.getincrementaldecoder("utf-8")("replace")
     for chunk in chunks:
-        yield reader.decode(codec.bytes_of(np.fromiter(chunk, np.int64)).tobytes())
+        yield reader.decode(table.bytes_of(np.fromiter(chunk, np.int64)).tobytes())
     yield reader.decode(b"", True)

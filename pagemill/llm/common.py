@@ -77,13 +77,13 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """``batch`` in stretches of about ``SLICE`` bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """``batch`` in stretches of about ``size`` bytes of text, one row at least."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         before = upto[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(upto, before + SLICE, side="right")))
+        to = max(at + 1, int(np.searchsorted(upto, before + size, side="right")))
         yield batch.slice(at, to - at)
         at = to
 
