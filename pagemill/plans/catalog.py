@@ -15,7 +15,7 @@ _QUERIES = (
     q.poor_docs, q.split_glued, q.join_broken_words, q.respell, q.segment_words, q.letter_spacing, q.stray_marks, q.sentences, q.word_at,
     q.word_spans, q.library_view, q.library_by_author, q.status_of, q.collections, q.cover_hue, q.bold_starts, q.reading_days, q.stats_view,
     q.failure_streaks, q.provider_outcome, q.ewma_latency, q.size_mode, q.index_percentiles, q.notes_export, q.resolve_links,
-    q.html_title_links, q.contrast_ratio, q.html_blocks, q.assembled_lines, q.page_statistics, q.transcribed_lines, q.outline_toc,
+    q.html_title_links, q.contrast_ratio, q.html_blocks, q.assembled_lines, q.page_statistics, q.printed_lines, q.book_blocks, q.headings, q.transcribed_lines, q.outline_toc,
     q.image_preprocess,
 )
 

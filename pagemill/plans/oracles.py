@@ -180,6 +180,115 @@ ends AS (
 numbered AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence_no FROM ends)"""
 
 
+def _printed(book: str) -> str:
+    """Documents as printed pages, their body sizes, running lines and what is left."""
+    page = "p" if book == "doc_id" else "doc_id * 1000000 + p"
+    return rf"""par AS (
+  SELECT doc_id, source, par, w, len(w) AS n, len(w) <= 6 AS short, (doc_id + par) % 5 AS v FROM (
+    SELECT doc_id, source, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS par,
+      list_filter(string_split_regex(unnest(string_split(coalesce(text, ''), chr(10))), {_s(T.WS + '+')}), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0),
+cut AS (SELECT *, array_to_string(w[9 * j + 1:9 * j + 9], ' ') AS said FROM (SELECT *, unnest(generate_series(0, (n - 1) // 9)) AS j FROM par)),
+put AS (
+  SELECT doc_id, source, par, j, short, v, CASE WHEN short AND v = 1 AND regexp_matches(said, '^[A-Za-z ,.]+$') THEN upper(said) ELSE said END AS said,
+    (coalesce(sum(CASE WHEN short THEN 3 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY par, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + short::INT)::BIGINT AS slot,
+    CASE WHEN short AND v = 0 THEN 16.0 ELSE 11.0 END::DOUBLE AS size FROM cut),
+body_ AS (
+  SELECT doc_id, source, slot // 36 AS p, slot % 36 + 1 AS line_no, said AS text,
+    CASE WHEN short AND v <= 2 THEN 50 + (300 - size * 0.5::DOUBLE * length(said)) / 2 WHEN v >= 3 AND j = 0 THEN 62 ELSE 50 END::DOUBLE AS x,
+    (60 + 15 * (slot % 36))::DOUBLE AS y, size * 0.5::DOUBLE * length(said) AS w, size FROM put),
+sides AS (SELECT DISTINCT doc_id, source, p FROM body_),
+printed AS (
+  SELECT {book} AS book, {page} AS page, CASE WHEN p % 7 = 6 THEN 'scan' ELSE 'text' END AS origin, line_no, text, x, y, w, size FROM (
+    SELECT * FROM body_ UNION ALL SELECT doc_id, source, p, 0, CASE WHEN p % 2 = 0 THEN 'The book of ' || source ELSE 'Leaf of ' || doc_id END, 150.0, 30.0, 100.0, 9.0 FROM sides
+    UNION ALL SELECT doc_id, source, p, 37, '- ' || (p + 1) || ' -', 195.0, 620.0, 10.0, 9.0 FROM sides)),
+{_body_sizes("printed", "pbody")},
+edge AS (
+  SELECT * FROM (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY book, page) AS n, {_key('text')} AS key FROM printed WINDOW o AS (PARTITION BY book, page ORDER BY line_no))
+  WHERE (i < 2 OR i >= n - 2) AND (y < 0.15::DOUBLE * 650 OR y + size > 0.85::DOUBLE * 650)),
+often AS (SELECT book, key, count(DISTINCT page) AS pages FROM edge WHERE length(key) >= 2 GROUP BY book, key),
+enough AS (SELECT book, greatest(3, ceil(count(DISTINCT page) * 0.15::DOUBLE)) AS enough FROM printed GROUP BY book),
+gone AS (
+  SELECT book, page, line_no FROM edge JOIN pbody USING (book, origin) JOIN enough USING (book) LEFT JOIN often USING (book, key)
+  WHERE regexp_matches(text, {_s(T.PAGE_NUMBER)}) OR (size <= 1.15::DOUBLE * body AND (coalesce(pages >= enough, false) OR (size < 0.92::DOUBLE * body
+    AND (coalesce(pages >= 2, false) OR (i = 0 AND y < 0.12::DOUBLE * 650 AND length(text) < 80 AND NOT regexp_matches(text, '[.!?]$'))))))),
+kept AS (SELECT * FROM printed ANTI JOIN gone USING (book, page, line_no))"""
+
+
+def _body_sizes(of: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT book, origin, coalesce(nullif(k, 0), 10.0::DOUBLE) AS body FROM (
+    SELECT book, origin, floor(size / 0.5::DOUBLE + 0.5) * 0.5::DOUBLE AS k, sum(length(text)) AS n, min({{'p': page, 'l': line_no}}) AS f FROM {of} GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY book, origin ORDER BY n DESC, f) = 1)"""
+
+
+def _rank(e: str, p: float) -> str:
+    return f"list_sort(list({e}))[least(count({e}), floor(count({e}) * {p}::DOUBLE) + 1)::INT]"
+
+
+def _page_stats(of: str) -> str:
+    """``stats``: the measures of the pages of ``of``, from the page's own lines and from all of its origin."""
+
+    def measures(by: str) -> str:
+        own = "CASE WHEN near THEN w END"
+        return f"""SELECT {by}, count(*) FILTER (near) AS n, any_value(body) AS body, coalesce(nullif(any_value(m), 0), {_rank('x', 0.1)}) AS l, coalesce(nullif({_rank(own, 0.8)}, 0), 280.0) AS w,
+    coalesce(nullif({_rank('d', 0.5)}, 0), any_value(body) * 1.3::DOUBLE) AS s, {_rank('x + w', 0.9)} AS e FROM {{rows}} LEFT JOIN {{mode}} USING ({by}) GROUP BY {by}"""
+
+    def mode(by: str) -> str:
+        return f"""SELECT {by}, k AS m FROM (SELECT {by}, floor(x / 2 + 0.5) * 2 AS k, count(*) AS c, min({{'p': page, 'l': line_no}}) AS f FROM near WHERE near GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY c DESC, f) = 1"""
+
+    def steps(by: str) -> str:
+        return f"""SELECT *, CASE WHEN dy > 0 THEN dy END AS d FROM (
+    SELECT *, CASE WHEN near THEN y - lag(y) OVER (PARTITION BY {by}, near ORDER BY page, line_no) END AS dy FROM near)"""
+
+    page, book = "book, origin, page", "book, origin"
+    return f"""{_body_sizes(of, "sbody")},
+near AS (SELECT t.*, body, abs(size - body) <= 0.15::DOUBLE * body AS near FROM {of} t JOIN sbody USING (book, origin)),
+prow AS ({steps(page)}), brow AS ({steps(book)}), pmode AS ({mode(page)}), bmode AS ({mode(book)}),
+pm AS ({measures(page).format(rows="prow", mode="pmode")}), bm AS ({measures(book).format(rows="brow", mode="bmode")}),
+stats AS (
+  SELECT book, origin, page, body, l AS "left", w AS width, s AS spacing, (l + greatest(l + w, e)) / 2 AS center FROM (
+    SELECT p.book, p.origin, p.page, p.body, CASE WHEN p.n < 4 THEN b.l ELSE p.l END AS l, CASE WHEN p.n < 4 THEN b.w ELSE p.w END AS w,
+      CASE WHEN p.n < 4 THEN b.s ELSE p.s END AS s, CASE WHEN p.n < 4 THEN b.e ELSE p.e END AS e FROM pm p JOIN bm b USING (book, origin)))"""
+
+
+def _book_blocks() -> str:
+    letters = r"regexp_replace(text, '[^\p{L}]', '', 'g')"
+    capital = r"regexp_matches(text, '^\p{Lu}')"
+    any_letter = r"regexp_matches(text, '\p{L}|[0-9]')"
+    chapter = f"regexp_matches(text, {_s(T.CHAPTER)})"
+    middle = "abs(x + w / 2 - center) < 0.08::DOUBLE * width"
+    small = "w < 0.8::DOUBLE * width"
+    heading = f"""({_heading('text')} AND NOT (w > 0.9::DOUBLE * width AND abs(x - "left") < 2 * body AND NOT {chapter}) AND (
+      (size >= 1.2::DOUBLE * body AND length(text) < 100 AND {any_letter})
+      OR ({chapter} AND length(text) < 70 AND (({middle} AND {small}) OR above > 1.8::DOUBLE * spacing OR size > 1.05::DOUBLE * body))
+      OR (regexp_matches(text, {_s(T.NUMERAL)}) AND (({middle} AND {small}) OR size >= 1.2::DOUBLE * body) AND below > 1.3::DOUBLE * spacing)
+      OR ({middle} AND w < 0.97::DOUBLE * width AND length({letters}) >= 4 AND {letters} = upper({letters}) AND len(string_split_regex(text, {_s(T.WS + '+')})) <= 8)
+      OR ({middle} AND {small} AND length(text) < 50 AND above > 2 * spacing AND below > 1.4::DOUBLE * spacing AND NOT regexp_matches(text, {_s(T.ENDS_SENTENCE)}) AND {capital})))"""
+    return rf"""{_printed("doc_id")}, {_page_stats("kept")},
+placed AS (
+  SELECT k.*, body, "left", width, spacing, center, row_number() OVER o AS pos, coalesce(y - lag(y) OVER o, 3 * spacing) AS above, coalesce(lead(y) OVER o - y, 3 * spacing) AS below
+  FROM kept k JOIN stats USING (book, origin, page) WINDOW o AS (PARTITION BY book, page ORDER BY y, x, line_no)),
+told AS (SELECT *, CASE WHEN regexp_matches(text, {_s(T.SCENE_BREAK)}) AND regexp_matches(text, {_s(T.ORNAMENT)}) THEN 'hr' WHEN {heading} THEN 'h' ELSE 'p' END AS t FROM placed),
+seen AS (
+  SELECT *, lag(t) OVER o AS wt, lag(page) OVER o AS wp, lag(text) OVER o AS wx, lag(w) OVER o AS ww, lag(width) OVER o AS wwidth FROM told WINDOW o AS (PARTITION BY book ORDER BY page, pos)),
+fresh AS (
+  SELECT *, NOT coalesce(wt = t AND CASE t WHEN 'h' THEN wp = page WHEN 'p' THEN NOT ((wp = page AND above > 1.45::DOUBLE * spacing)
+    OR (regexp_matches(wx, {_s(T.ENDS_SENTENCE)}) AND ((x > "left" + 0.8::DOUBLE * body AND x - "left" < 0.3::DOUBLE * width) OR ww < 0.8::DOUBLE * wwidth))) ELSE false END, false) AS new FROM seen),
+isl AS (SELECT *, sum(new::INT) OVER (PARTITION BY book ORDER BY page, pos) AS island FROM fresh),
+nexts AS (SELECT *, lead(text) OVER (PARTITION BY book, island ORDER BY page, pos) AS after, row_number() OVER (PARTITION BY book, island ORDER BY page, pos) AS i FROM isl),
+plain AS (SELECT book, island, 0 AS k, min(page) AS page, t, CASE WHEN t = 'hr' THEN '' ELSE string_agg({_PIECE}, '' ORDER BY page, pos) END AS text FROM nexts WHERE t <> 'h' GROUP BY book, island, t),
+heads AS (
+  SELECT book, island, i, page, y, text, 0 AS k, false AS done FROM nexts WHERE t = 'h' AND i = 1
+  UNION ALL
+  SELECT n.book, n.island, n.i, n.page, n.y, CASE WHEN fits THEN regexp_replace(h.text || ': ' || n.text, ':\s*:', ':') ELSE n.text END, CASE WHEN fits THEN h.k ELSE h.k + 1 END, false
+  FROM (SELECT h.*, n.y - h.y < 4 * n.spacing AND length(h.text) + length(n.text) < 100 AS fits FROM heads h JOIN nexts n ON n.book = h.book AND n.island = h.island AND n.i = h.i + 1) h
+  JOIN nexts n ON n.book = h.book AND n.island = h.island AND n.i = h.i + 1),
+merged AS (SELECT book, island, k, page, 'h' AS t, last(text ORDER BY i) AS text FROM heads GROUP BY book, island, k, page),
+book_blocks AS (
+  SELECT book AS doc_id, row_number() OVER (PARTITION BY book ORDER BY island, k) - 1 AS block, page, t, text FROM (SELECT * FROM plain UNION ALL SELECT book, island, k, page, t, text FROM merged))"""
+
+
 def _part(e: str) -> str:
     return f"replace(replace(replace(replace(replace(url_encode({e}), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*')"
 
@@ -342,6 +451,10 @@ SELECT source, round((greatest(x, y) + 0.05) / (least(x, y) + 0.05), 4) AS ratio
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents))
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY row) - 1)::INT AS line_no, md5(array_to_string(v, ' ')) AS text_md5,
   round(15.0::DOUBLE * row - 0.8::DOUBLE * 11, 3) AS y, round(6.0::DOUBLE * length(array_to_string(v, ' ')), 3) AS w FROM w WHERE len(v) > 0""",
+        "page_statistics": f"""WITH {_printed("source")}, {_page_stats("printed")} SELECT book, origin, page, body, "left", width, spacing, center FROM stats""",
+        "printed_lines": f"""WITH {_printed("source")} SELECT book, page, count(*) AS n_lines, min(line_no)::INT AS first, max(line_no)::INT AS last, sum(length(text))::BIGINT AS n_chars FROM kept GROUP BY book, page""",
+        "book_blocks": f"WITH RECURSIVE {_book_blocks()} SELECT doc_id, block, page, t, md5(text) AS text_md5 FROM book_blocks",
+        "headings": f"WITH RECURSIVE {_book_blocks()} SELECT doc_id, page, text FROM book_blocks WHERE t = 'h'",
         "transcribed_lines": f"""WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 typed AS (SELECT *, trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ') AS t, CASE WHEN line = '' THEN 'hr' WHEN {_heading('line')} THEN 'h' ELSE 'p' END AS kind FROM raw),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import textsem as T
-from pagemill.operators import dictionary, geometry, image, layout, library, places, repair, search
+from pagemill.operators import dictionary, geometry, image, layout, library, places, repair, search, typeset
+from pagemill.operators.stored import stored
 from pagemill.sources import web
 
 #: Words and phrases that the search queries look for.
@@ -439,9 +440,58 @@ def assembled_lines(spark, sf_dir):
     return geometry.assemble_lines(fragments).select(F.col("page").alias("doc_id"), "line_no", F.md5("text").alias("text_md5"), F.round("y", 3).alias("y"), F.round("w", 3).alias("w"))
 
 
+#: Printed pages that documents are set as: words a line, lines a page, pages a document at most, and what tells its pages from the next one's.
+PER_LINE, PER_PAGE, PAGES = 9, 36, 1_000_000
+
+
+def printed(spark, sf_dir, book: str) -> DataFrame:
+    """Documents as printed pages of 36 lines, by 9 words, with a head and a page number; ``book`` is their doc_id or their source.
+
+    Paragraphs of up to six words stand alone between empty lines, by turns in
+    large type, in capitals or as they are, centred; two of five others are
+    indented.  Some pages have been read by another engine.
+    """
+    raw = docs(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("par", "raw"))
+    words = raw.withColumn("ws", F.filter(F.split("raw", T.WS + "+"), lambda x: x != "")).withColumn("n", F.size("ws")).where("n > 0")
+    words = words.withColumn("short", F.col("n") <= 6).withColumn("v", ((F.col("doc_id") + F.col("par")) % 5).cast("int"))
+    parts = words.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PER_LINE).cast("int")), lambda j: F.array_join(F.slice("ws", j * PER_LINE + 1, F.lit(PER_LINE)), " "))).alias("j", "said"))
+    parts = parts.withColumn("said", F.when(F.col("short") & (F.col("v") == 1) & F.col("said").rlike("^[A-Za-z ,.]+$"), F.upper("said")).otherwise(F.col("said")))
+    upto = Window.partitionBy("doc_id").orderBy("par", "j").rowsBetween(Window.unboundedPreceding, -1)
+    slot = F.coalesce(F.sum(F.when(F.col("short"), 3).otherwise(1)).over(upto), F.lit(0)) + F.col("short").cast("int")
+    size = F.when(F.col("short") & (F.col("v") == 0), 16.0).otherwise(11.0)
+    w = size * 0.5 * F.length("said")
+    x = F.when(F.col("short") & (F.col("v") <= 2), 50.0 + (300.0 - w) / 2).when((F.col("v") >= 3) & (F.col("j") == 0), 62.0).otherwise(50.0)
+    set_ = parts.withColumn("slot", slot).select("doc_id", "source", F.floor(F.col("slot") / PER_PAGE).alias("p"), (F.col("slot") % PER_PAGE + 1).cast("int").alias("line_no"), F.col("said").alias("text"), x.alias("x"), (60.0 + 15.0 * (F.col("slot") % PER_PAGE)).alias("y"), w.alias("w"), size.alias("size"))
+    sides = set_.groupBy("doc_id", "source", "p").agg(F.lit(1).alias("_")).drop("_")
+    head = sides.select("*", F.lit(0).alias("line_no"), F.when(F.col("p") % 2 == 0, F.concat(F.lit("The book of "), F.col("source"))).otherwise(F.concat(F.lit("Leaf of "), F.col("doc_id").cast("string"))).alias("text"), F.lit(150.0).alias("x"), F.lit(30.0).alias("y"), F.lit(100.0).alias("w"), F.lit(9.0).alias("size"))
+    foot = sides.select("*", F.lit(PER_PAGE + 1).alias("line_no"), F.concat(F.lit("- "), F.col("p") + 1, F.lit(" -")).alias("text"), F.lit(195.0).alias("x"), F.lit(620.0).alias("y"), F.lit(10.0).alias("w"), F.lit(9.0).alias("size"))
+    every = set_.unionByName(head).unionByName(foot)
+    return every.select(
+        F.col(book).alias("book"), (F.col("p") + (0 if book == "doc_id" else 1) * F.col("doc_id") * PAGES).alias("page"), F.when(F.col("p") % 7 == 6, "scan").otherwise("text").alias("origin"),
+        F.lit(400.0).alias("page_width"), F.lit(650.0).alias("page_height"), "line_no", "text", "x", "y", "w", "size", F.lit(None).cast("string").alias("kind"),
+    )
+
+
 def page_statistics(spark, sf_dir):
-    rows = layout.lines(docs(spark, sf_dir)).select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text", "x", "y", "w", "size")
-    return geometry.page_stats(rows)
+    return typeset.page_stats(stored(printed(spark, sf_dir, "source"), "printed"))
+
+
+def printed_lines(spark, sf_dir):
+    """What is left of each page without its running lines."""
+    kept = typeset.drop_running(stored(printed(spark, sf_dir, "source"), "printed"))
+    return kept.groupBy("book", "page").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def _book_blocks(spark, sf_dir):
+    return typeset.book_blocks(stored(typeset.drop_running(stored(printed(spark, sf_dir, "doc_id"), "printed")), "kept"))
+
+
+def book_blocks(spark, sf_dir):
+    return _book_blocks(spark, sf_dir).select(F.col("book").alias("doc_id"), "block", "page", "t", F.md5("text").alias("text_md5"))
+
+
+def headings(spark, sf_dir):
+    return _book_blocks(spark, sf_dir).where("t = 'h'").select(F.col("book").alias("doc_id"), "page", "text")
 
 
 def transcribed_lines(spark, sf_dir):
