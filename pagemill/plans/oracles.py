@@ -289,6 +289,30 @@ book_blocks AS (
   SELECT book AS doc_id, row_number() OVER (PARTITION BY book ORDER BY island, k) - 1 AS block, page, t, text FROM (SELECT * FROM plain UNION ALL SELECT book, island, k, page, t, text FROM merged))"""
 
 
+def _mended() -> str:
+    """``mended``: damaged pages with the words put together that a hyphen parts over two lines."""
+    return rf"""{RANKS}, {_printed("doc_id")},
+dealt AS (
+  SELECT *, lag(rest) OVER o AS got FROM (
+    SELECT *, CASE WHEN line_no % 3 = 0 AND regexp_matches(text, ' \p{{Ll}}{{6,}}$') AND lead(line_no) OVER o IS NOT NULL THEN regexp_extract(text, ' (\p{{Ll}}{{6,}})$', 1)[4:] END AS rest
+    FROM (SELECT p.* FROM printed p SEMI JOIN (SELECT doc_id AS book FROM documents WHERE lang = 'en') USING (book) WHERE line_no BETWEEN 1 AND 36) WINDOW o AS (PARTITION BY book, page ORDER BY line_no))
+  WINDOW o AS (PARTITION BY book, page ORDER BY line_no)),
+dmg AS (
+  SELECT book, page, line_no, concat_ws(' ', got, CASE WHEN text = upper(text) THEN regexp_replace(regexp_replace(text, '([A-Z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z])', '\1 \2', 'g')
+    WHEN rest IS NOT NULL THEN substr(text, 1, length(text) - length(rest)) || '-' ELSE text END) AS text FROM dealt),
+near AS (
+  SELECT *, regexp_extract(text, '(\p{{L}}+)[-–—]$', 1) AS head, coalesce(regexp_extract(after, '^(\p{{Ll}}+)', 1), '') AS tail, row_number() OVER (PARTITION BY book, page ORDER BY line_no) AS i
+  FROM (SELECT *, lead(text) OVER (PARTITION BY book, page ORDER BY line_no) AS after FROM dmg)),
+cans AS (SELECT near.*, ranks.word IS NOT NULL AS can FROM near LEFT JOIN ranks ON head <> '' AND tail <> '' AND ranks.word = lower(head || tail)),
+walk AS (
+  SELECT book, page, i, can AS up FROM cans WHERE i = 1
+  UNION ALL SELECT c.book, c.page, c.i, c.can AND NOT (w.up AND NOT regexp_matches(c.text, '\s')) FROM walk w JOIN cans c ON c.book = w.book AND c.page = w.page AND c.i = w.i + 1),
+took AS (SELECT *, coalesce(lag(up) OVER (PARTITION BY book, page ORDER BY i), false) AS taken FROM cans JOIN walk USING (book, page, i)),
+cutoff AS (SELECT *, CASE WHEN taken THEN regexp_replace(text, '^\S+\s*', '') ELSE text END AS body FROM took),
+mended AS (
+  SELECT book AS doc_id, page, line_no, CASE WHEN up THEN regexp_replace(body, '[-–—]$', '') || regexp_extract(after, '^(\S+)', 1) ELSE body END AS text FROM cutoff)"""
+
+
 def _part(e: str) -> str:
     return f"replace(replace(replace(replace(replace(url_encode({e}), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*')"
 
@@ -455,6 +479,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY row) - 1)::INT A
         "printed_lines": f"""WITH {_printed("source")} SELECT book, page, count(*) AS n_lines, min(line_no)::INT AS first, max(line_no)::INT AS last, sum(length(text))::BIGINT AS n_chars FROM kept GROUP BY book, page""",
         "book_blocks": f"WITH RECURSIVE {_book_blocks()} SELECT doc_id, block, page, t, md5(text) AS text_md5 FROM book_blocks",
         "headings": f"WITH RECURSIVE {_book_blocks()} SELECT doc_id, page, text FROM book_blocks WHERE t = 'h'",
+        "mended_line_ends": f"WITH RECURSIVE {_mended()} SELECT doc_id, page, line_no::INT AS line_no, md5(text) AS text_md5 FROM mended WHERE trim(text) <> ''",
         "transcribed_lines": f"""WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 typed AS (SELECT *, trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ') AS t, CASE WHEN line = '' THEN 'hr' WHEN {_heading('line')} THEN 'h' ELSE 'p' END AS kind FROM raw),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import textsem as T
-from pagemill.operators import dictionary, geometry, image, layout, library, places, repair, search, typeset
+from pagemill.operators import dictionary, geometry, image, layout, library, mending, places, repair, search, typeset
 from pagemill.operators.stored import stored
 from pagemill.sources import web
 
@@ -494,6 +494,29 @@ def headings(spark, sf_dir):
     return _book_blocks(spark, sf_dir).where("t = 'h'").select(F.col("book").alias("doc_id"), "page", "text")
 
 
+def damaged(spark, sf_dir) -> DataFrame:
+    """English documents as printed pages with every third line's last word cut by a hyphen and titles letter-spaced; every other document is a scan."""
+    english = docs(spark, sf_dir).where("lang = 'en'").select(F.col("doc_id").alias("book"))
+    rows = stored(printed(spark, sf_dir, "doc_id").where("line_no BETWEEN 1 AND 36").join(english, "book", "left_semi"), "printed")
+    per = Window.partitionBy("book", "page").orderBy("line_no")
+    last = F.regexp_extract("text", r" (\p{Ll}{6,})$", 1)
+    cut = (F.col("line_no") % 3 == 0) & (last != "") & F.lead("line_no").over(per).isNotNull()
+    rows = rows.withColumn("rest", F.when(cut, F.substr(last, F.lit(4), F.length(last)))).withColumn("got", F.lag("rest").over(per))
+    body = F.when(F.col("rest").isNotNull(), F.concat(F.substr("text", F.lit(1), F.length("text") - F.length("rest")), F.lit("-"))).otherwise(F.col("text"))
+    spaced = F.when(F.col("text") == F.upper("text"), F.regexp_replace("text", "(?<=[A-Z])(?=[A-Z])", " ")).otherwise(body)
+    return rows.select("book", "page", "line_no", F.concat_ws(" ", "got", spaced).alias("text"), "kind", F.lit("text").alias("origin"), (F.col("book") % 2 == 0).alias("ocr_layer"))
+
+
+def mended_line_ends(spark, sf_dir):
+    fixed = mending.mend_line_ends(damaged(spark, sf_dir), ranks(spark, sf_dir))
+    return fixed.select(F.col("book").alias("doc_id"), "page", "line_no", F.md5("text").alias("text_md5"))
+
+
+def repaired_pages(spark, sf_dir):
+    fixed = mending.repair_pages(damaged(spark, sf_dir), ranks(spark, sf_dir))
+    return fixed.select(F.col("book").alias("doc_id"), "page", "line_no", F.md5("text").alias("text_md5"))
+
+
 def transcribed_lines(spark, sf_dir):
     rows = docs(spark, sf_dir)
     kind = lambda t: F.when(t == "", "scene_break").when(T.could_be_heading(t), "heading").otherwise("paragraph")
