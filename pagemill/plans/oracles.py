@@ -5,6 +5,7 @@ from __future__ import annotations
 from pagemill.functions import textsem as T
 from pagemill.operators.layout import ADVANCE, LEFT, PITCH, SIZE
 from pagemill.plans.queries import ASKED
+from pagemill.sources import markup
 
 
 def _s(text: str) -> str:
@@ -289,6 +290,56 @@ book_blocks AS (
   SELECT book AS doc_id, row_number() OVER (PARTITION BY book ORDER BY island, k) - 1 AS block, page, t, text FROM (SELECT * FROM plain UNION ALL SELECT book, island, k, page, t, text FROM merged))"""
 
 
+def _inline() -> str:
+    """``done``: stretches of inline content with their text, html and spans."""
+    names, shown = ("MAP {" + ", ".join(f"{_s(k)}: {_s(v)}" for k, v in m.items()) + "}" for m in (markup.NAMED, markup.INLINE))
+    inline, esc = _list([*markup.INLINE, "a"]), lambda e: f"replace(replace(replace({e}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+    def decoded(e: str) -> str:
+        ten = "chr(TRY_CAST(p[3:length(p) - 1] AS INT))"
+        return f"""array_to_string(list_transform(regexp_extract_all({e}, {_s(markup.ENTITY)}), lambda p: CASE WHEN p[1:3] IN ('&#x', '&#X') THEN chr(('0x' || p[4:length(p) - 1])::INT)
+      WHEN p[1:2] = '&#' AND length(p) > 3 THEN {ten} WHEN p[1:1] = '&' AND length(p) > 2 THEN coalesce(({names})[p], p) ELSE p END), '')"""
+
+    href = decoded(f"regexp_extract(tok, {_s(r'(?is)[\s]href\s*=\s*' + chr(34) + '([^' + chr(34) + ']*)' + chr(34))}, 1)")
+    steps = "array_to_string(list_filter(string_split(url_decode(replace(href, '+', '%2B')), '/'), lambda x: x NOT IN ('', '.')), '/')"
+    upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return rf"""tok AS (
+  SELECT page_id, unnest(regexp_extract_all(html, {_s(markup.TOKEN)})) AS tok, generate_subscripts(regexp_extract_all(html, {_s(markup.TOKEN)}), 1) AS i FROM pages),
+named AS (
+  SELECT *, nullif(lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:-]*)[^>]*>$', 1)), '') AS name, tok[1:2] = '</' AS ends FROM tok
+  WHERE NOT regexp_matches(tok, '(?is)^<([!?]|(script|style)\b)')),
+vis AS (
+  SELECT * FROM (SELECT *, count(*) FILTER (name IN {_list(markup.BLOCKS)}) OVER o AS run, count(*) FILTER (name = 'head' AND NOT ends) OVER o - count(*) FILTER (name = 'head' AND ends) OVER o AS deep
+    FROM named WINDOW o AS (PARTITION BY page_id ORDER BY i)) WHERE deep = 0 AND coalesce(name, '') <> 'head'),
+tags AS (
+  SELECT * FROM (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY page_id, run, name ORDER BY i {upto}), 0)) AS low FROM (
+    SELECT *, sum(CASE WHEN ends THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, run, name ORDER BY i) AS s FROM vis WHERE name IN {inline})) WHERE s >= low),
+pairs AS (
+  SELECT *, lead(i) OVER (PARTITION BY page_id, run, name, level ORDER BY i) AS closer FROM (SELECT *, s - low + ends::INT AS level FROM tags)),
+starts AS (SELECT page_id, run, i, closer, name, CASE WHEN name = 'a' THEN 'a' ELSE ({shown})[name] END AS tag, {href} AS href FROM pairs WHERE NOT ends),
+put AS (
+  SELECT *, CASE WHEN name <> 'a' THEN '<' || tag || '>' WHEN href = '' THEN NULL WHEN regexp_matches(href, '(?i)^https?:') THEN '<a data-ext="' || {esc('href')} || '">'
+    WHEN NOT regexp_matches(href, '(?i)^[a-z]+:') THEN '<a data-href="' || {esc("(CASE WHEN href[1:1] = '/' THEN '' ELSE 'OEBPS/text/' END || " + steps + ")")} || '">' END AS open FROM starts),
+good AS (SELECT * FROM put WHERE open IS NOT NULL),
+parts AS (
+  SELECT page_id, run, i AS pos, 0 AS k, i AS start, NULL AS raw, open AS tag FROM good
+  UNION ALL SELECT page_id, run, coalesce(closer, (1::BIGINT << 40) - i), 0, i, NULL, '</' || tag || '>' FROM good
+  UNION ALL SELECT page_id, run, i, 0, NULL, ' ', NULL FROM vis WHERE name = 'br' UNION ALL SELECT page_id, run, i, 1, NULL, NULL, '<br>' FROM vis WHERE name = 'br'
+  UNION ALL SELECT page_id, run, i, 0, NULL, {decoded('tok')}, NULL FROM vis WHERE name IS NULL),
+flat AS (SELECT *, regexp_replace(regexp_replace(raw, '\x{{A0}}*[ \t\n\r\f\x0B][ \t\n\r\f\x0B\x{{A0}}]*', ' ', 'g'), '\x{{A0}}+', chr(160), 'g') AS flat FROM parts),
+seen AS (
+  SELECT *, coalesce(last_value(CASE WHEN flat <> '' THEN suffix(flat, ' ') END IGNORE NULLS) OVER (PARTITION BY page_id, run ORDER BY pos, k {upto}), true) AS spaced,
+    coalesce(sum((replace(flat, ' ', '') <> '')::INT) OVER (PARTITION BY page_id, run ORDER BY pos, k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS behind FROM flat),
+told AS (
+  SELECT *, CASE WHEN behind = 0 THEN rtrim(l, ' ') ELSE l END AS said FROM (SELECT *, CASE WHEN spaced THEN ltrim(flat, ' ') ELSE flat END AS l FROM seen)),
+placed AS (SELECT *, coalesce(sum(length(said)) OVER (PARTITION BY page_id, run ORDER BY pos, k {upto}), 0)::INT AS place FROM told),
+ranges AS (
+  SELECT page_id, run, string_agg(tag || ' ' || a || ' ' || b, ',' ORDER BY start) AS spans FROM (
+    SELECT page_id, run, start, regexp_extract(any_value(tag), '^</?([a-z]+)', 1) AS tag, min(place) AS a, max(place) AS b FROM placed WHERE start IS NOT NULL GROUP BY page_id, run, start) GROUP BY page_id, run),
+done AS (
+  SELECT page_id, run, string_agg(said, '' ORDER BY pos, k) AS text, string_agg(coalesce(tag, {esc('said')}), '' ORDER BY pos, k) AS html FROM placed GROUP BY page_id, run)"""
+
+
 def _mended() -> str:
     """``mended``: damaged pages with the words put together that a hyphen parts over two lines."""
     return rf"""{RANKS}, {_printed("doc_id")},
@@ -470,6 +521,9 @@ FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*
         "contrast_ratio": f"""WITH c AS (SELECT DISTINCT source, substr(md5(source || 'a'), 1, 6) AS a, substr(md5(source || 'b'), 1, 6) AS b FROM documents),
 l AS (SELECT source, {_luminance('a')} AS x, {_luminance('b')} AS y FROM c)
 SELECT source, round((greatest(x, y) + 0.05) / (least(x, y) + 0.05), 4) AS ratio FROM l""",
+        "inline_markup": f"""WITH {_inline()}
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY run) - 1)::INT AS block, md5(text) AS text_md5, md5(html) AS html_md5, coalesce(spans, '') AS spans
+FROM done LEFT JOIN ranges USING (page_id, run) WHERE {_trim('text')} <> ''""",
         "assembled_lines": f"""WITH w AS (
   SELECT doc_id, row, list_filter(string_split_regex({_trim('line')}, {_s(T.WS + '+')}), lambda x: x <> '') AS v FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents))

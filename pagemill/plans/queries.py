@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from pagemill.functions import textsem as T
 from pagemill.operators import dictionary, geometry, image, layout, library, mending, places, repair, search, typeset
 from pagemill.operators.stored import stored
-from pagemill.sources import web
+from pagemill.sources import markup, web
 
 #: Words and phrases that the search queries look for.
 ASKED = ["the re", "ETRE", "ción", "nder "]
@@ -426,6 +426,13 @@ def html_blocks(spark, sf_dir):
     return web.html_blocks(read(spark, sf_dir, "pages")).select("page_id", "block", "t", "level", "marker", "cls", F.md5("text").alias("text_md5"))
 
 
+def inline_markup(spark, sf_dir):
+    """Texts of web pages with their links and emphasis, as safe html and as spans."""
+    out = markup.inline_blocks(read(spark, sf_dir, "pages"), path=F.lit("OEBPS/text/ch1.xhtml"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(" ", s["tag"], s["start"], s["end"])), ",")
+    return out.select("page_id", "block", F.md5("text").alias("text_md5"), F.md5("html").alias("html_md5"), spans.alias("spans"))
+
+
 def assembled_lines(spark, sf_dir):
     """Words as positioned fragments, put together to lines again."""
     rows = docs(spark, sf_dir).select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line"))
