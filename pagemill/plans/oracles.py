@@ -340,6 +340,24 @@ done AS (
   SELECT page_id, run, string_agg(said, '' ORDER BY pos, k) AS text, string_agg(coalesce(tag, {esc('said')}), '' ORDER BY pos, k) AS html FROM placed GROUP BY page_id, run)"""
 
 
+def _nav() -> str:
+    """``spine``: stretches of web pages as blocks of books; ``toc``: the links of their navigations that lead somewhere."""
+    return rf"""{_inline()},
+spine AS (
+  SELECT page_id // 10 AS book, block, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id, block) - 1 AS nr, 'OEBPS/ch' || page_id || '.xhtml' AS path, text, length(text) < 40 AS head
+  FROM (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY run) - 1 AS block FROM done WHERE {_trim('text')} <> '')),
+targets AS (
+  SELECT book, path || '#p' || block AS target, max(nr) AS nr FROM spine WHERE block % 2 = 0 GROUP BY ALL UNION ALL SELECT book, path, min(nr) FROM spine GROUP BY ALL),
+links AS (
+  SELECT page_id // 10 AS book, page_id, unnest(l) AS label, generate_subscripts(l, 1) AS ord FROM (
+    SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1) AS l FROM pages)),
+led AS (
+  SELECT *, 'OEBPS/ch' || (book * 10 + ord * 3 % 12) || '.xhtml' AS file, CASE WHEN ord % 3 > 0 THEN '#p' || (ord * 2) ELSE '' END AS frag, least(2, ord % 4) AS level FROM links),
+toc AS (
+  SELECT l.book, row_number() OVER (PARTITION BY l.book ORDER BY page_id, ord) - 1 AS toc_no, {_trim("replace(label, '&amp;', '&')")} AS title, coalesce(e.nr, f.nr) AS block, level
+  FROM led l LEFT JOIN targets e ON e.book = l.book AND e.target = file || frag LEFT JOIN targets f ON f.book = l.book AND f.target = file WHERE coalesce(e.nr, f.nr) IS NOT NULL)"""
+
+
 def _mended() -> str:
     """``mended``: damaged pages with the words put together that a hyphen parts over two lines."""
     return rf"""{RANKS}, {_printed("doc_id")},
@@ -524,6 +542,20 @@ SELECT source, round((greatest(x, y) + 0.05) / (least(x, y) + 0.05), 4) AS ratio
         "inline_markup": f"""WITH {_inline()}
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY run) - 1)::INT AS block, md5(text) AS text_md5, md5(html) AS html_md5, coalesce(spans, '') AS spans
 FROM done LEFT JOIN ranges USING (page_id, run) WHERE {_trim('text')} <> ''""",
+        "outline_walk": """WITH RECURSIVE items AS (
+  SELECT *, CASE WHEN item % 10 = 0 THEN NULL WHEN item % 10 <= 3 THEN item - item % 10 WHEN item % 10 = 9 THEN item - 1 ELSE item - item % 10 + (item % 10 - 1) // 3 END AS parent FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS item FROM documents)),
+walk AS (
+  SELECT doc_id, item, line, 0 AS level, [{'p': -(item % 4), 'i': item}] AS path FROM items WHERE parent IS NULL
+  UNION ALL SELECT c.doc_id, c.item, c.line, w.level + 1, list_append(w.path, {'p': -(c.item % 4), 'i': c.item}) FROM walk w JOIN items c ON c.doc_id = w.doc_id AND c.parent = w.item WHERE w.level < 2)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1)::INT AS ord, title, CASE WHEN item % 7 > 0 THEN item + 1 ELSE -1 END AS page, level
+FROM (SELECT *, trim(trim(line, ' ')[1:40], ' ') AS title FROM walk) WHERE title <> ''""",
+        "nav_toc": f"WITH {_nav()} SELECT book, toc_no::INT AS toc_no, title, block::INT AS block, level::INT AS level FROM toc",
+        "spine_sections": f"""WITH {_nav()},
+files AS (SELECT book, path, min(nr) AS start, max(nr) + 1 AS stop, min_by(text, nr) FILTER (head) AS head FROM spine GROUP BY book, path),
+titled AS (
+  SELECT f.*, (SELECT max_by(title, toc_no) FROM toc t WHERE t.book = f.book AND t.block <= f.start) AS entry FROM files f)
+SELECT book, coalesce(entry, head, 'Start') AS title, s::INT AS start, least(s + 5, stop)::INT AS "end" FROM (SELECT *, unnest(generate_series(start, stop - 1, 5)) AS s FROM titled)""",
         "assembled_lines": f"""WITH w AS (
   SELECT doc_id, row, list_filter(string_split_regex({_trim('line')}, {_s(T.WS + '+')}), lambda x: x <> '') AS v FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents))

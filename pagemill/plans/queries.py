@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import textsem as T
-from pagemill.operators import dictionary, geometry, image, layout, library, mending, places, repair, search, typeset
+from pagemill.operators import dictionary, geometry, image, layout, library, mending, navigation, places, repair, search, typeset
 from pagemill.operators.stored import stored
 from pagemill.sources import markup, web
 
@@ -433,6 +433,45 @@ def inline_markup(spark, sf_dir):
     return out.select("page_id", "block", F.md5("text").alias("text_md5"), F.md5("html").alias("html_md5"), spans.alias("spans"))
 
 
+#: Web pages that make one book, each a file of its own.
+FILES = 10
+
+
+def outline_walk(spark, sf_dir):
+    """Lines as entries of an outline: of ten the first is on top, three are below it, the others below these, siblings in an order of their own."""
+    i = F.col("item")
+    parent = F.when(i % 10 == 0, None).when(i % 10 <= 3, i - i % 10).when(i % 10 == 9, i - 1).otherwise(i - i % 10 + F.floor((i % 10 - 1) / 3).cast("int"))
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("item", "line"))
+    rows = rows.select("doc_id", "item", parent.alias("parent"), (-(i % 4)).alias("place"), F.substring(F.trim("line"), 1, 40).alias("title"), F.when(i % 7 > 0, i + 1).alias("page"))
+    return navigation.outline_walk(rows)
+
+
+def _spine(spark, sf_dir) -> DataFrame:
+    """Stretches of web pages as blocks of books; every second one has an id, short ones are headings."""
+    rows = markup.inline_blocks(read(spark, sf_dir, "pages").select("page_id", "html")).withColumn("book", F.floor(F.col("page_id") / FILES))
+    number = (F.row_number().over(Window.partitionBy("book").orderBy("page_id", "block")) - 1).alias("block")
+    ids = F.when(F.col("block") % 2 == 0, F.array(F.concat(F.lit("p"), F.col("block").cast("string"))))
+    return rows.select("book", number, F.concat(F.lit("OEBPS/ch"), F.col("page_id").cast("string"), F.lit(".xhtml")).alias("path"), F.when(F.length("text") < 40, "h").otherwise("p").alias("t"), "text", ids.alias("ids"))
+
+
+def _nav_toc(spark, sf_dir, blocks):
+    """The links of all pages' navigations, each led to a file of the book and a place in it, some of which aren't there."""
+    links = markup.nav_links(read(spark, sf_dir, "pages").select("page_id", "html"))
+    book = F.floor(F.col("page_id") / FILES)
+    href = F.concat(F.lit("OEBPS/ch"), (book * FILES + F.col("ord") * 3 % (FILES + 2)).cast("string"), F.lit(".xhtml"), F.when(F.col("ord") % 3 > 0, F.concat(F.lit("#p"), (F.col("ord") * 2).cast("string"))).otherwise(""))
+    links = links.select(book.alias("book"), (F.col("page_id") * 100_000 + F.col("ord")).alias("ord"), "label", href.alias("href"), (F.col("level") + F.col("ord") % 4).alias("level"))
+    return navigation.toc_of_links(links, navigation.anchors(blocks))
+
+
+def nav_toc(spark, sf_dir):
+    return _nav_toc(spark, sf_dir, stored(_spine(spark, sf_dir), "spine"))
+
+
+def spine_sections(spark, sf_dir):
+    blocks = stored(_spine(spark, sf_dir), "spine")
+    return navigation.spine_sections(blocks, _nav_toc(spark, sf_dir, blocks), per_section=5)
+
+
 def assembled_lines(spark, sf_dir):
     """Words as positioned fragments, put together to lines again."""
     rows = docs(spark, sf_dir).select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line"))

@@ -149,3 +149,26 @@ def inline_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", pa
     pairs = F.transform(F.sequence(F.lit(0), F.size("marks") - 2, F.lit(2)), lambda i: F.struct(mark(i, "tag").alias("tag"), mark(i, "place").alias("start"), mark(i + 1, "place").alias("end")))
     out = out.where(T.trim(F.col("text")) != "").withColumn("spans", F.when(F.size("marks") > 1, pairs).otherwise(F.array().cast("array<struct<tag:string,start:int,end:int>>")))
     return out.withColumn("block", F.row_number().over(Window.partitionBy(key).orderBy("run")) - 1).select(key, "block", "text", "html", "spans")
+
+
+def nav_links(pages: DataFrame, key: str = "page_id", html: str = "html", path: Column | None = None) -> DataFrame:
+    """``key``, ord, label, href and level of the links in lists of a page's navigation.
+
+    Of several navigations the first that is marked as a table of contents
+    counts, else the first.  A level is a list around the link.
+    """
+    rows = events(pages, key, html)
+    upto = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("ends"), -1).otherwise(1)
+    is_list, starts = F.col("name").isin("ol", "ul"), ~F.coalesce("ends", F.lit(False))
+    navs = (F.col("name") == "nav") & starts
+    marked = F.concat_ws(" ", attribute(F.col("tok"), "epub:type"), attribute(F.col("tok"), "role")).rlike("toc")
+    rows = rows.withColumn("nav", F.count_if(navs).over(upto)).withColumn("inside", F.sum(F.when(F.col("name") == "nav", step).otherwise(0)).over(upto))
+    rows = rows.withColumn("lists", F.sum(F.when(is_list, step).otherwise(0)).over(upto)).withColumn("link", F.count_if((F.col("name") == "a") & starts).over(upto))
+    best = F.min(F.when(navs, F.struct((~marked).alias("m"), "nav"))).over(Window.partitionBy(key))["nav"]
+    rows = rows.withColumn("best", best).where("inside > 0 AND nav = best")
+    link = rows.where((F.col("name") == "a") & starts).select(key, "link", attribute(F.col("tok"), "href").alias("href"), (F.col("lists") - 1).alias("level"))
+    ended = rows.where("name = 'a' AND ends").groupBy(key, "link").agg(F.min("at").alias("end"))
+    label = rows.where("name IS NULL").join(ended, [key, "link"], "left").where("end IS NULL OR at < end").groupBy(key, "link").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "tok"))), lambda t: decoded(t["tok"])), "").alias("label"))
+    out = link.where("href IS NOT NULL AND level >= 0").join(label, [key, "link"]).join(pages.select(key, (F.lit("") if path is None else path).alias("path")), key)
+    return out.select(key, F.col("link").alias("ord"), "label", resolve_path(F.col("path"), F.col("href")).alias("href"), "level")
