@@ -1,4 +1,4 @@
-"""Positioned fragments and recognition results to lines; page statistics."""
+"""Positioned fragments and transcriptions to lines; outlines to blocks."""
 
 from __future__ import annotations
 
@@ -51,53 +51,6 @@ def assemble_lines(fragments: DataFrame) -> DataFrame:
     return out.select("book", "page", "line_no", text.alias("text"), "x", (F.col("base") - 0.8 * F.col("size")).alias("y"), (F.col("end") - F.col("x")).alias("w"), "size")
 
 
-def page_stats(lines: DataFrame) -> DataFrame:
-    """book, page, body, left, width, spacing, center: of the body lines, or of the book where a page has under four."""
-    weight = lines.withColumn("k", T.round_half_up(F.col("size") / 0.5) * 0.5).groupBy("book", "k").agg(F.sum(F.length("text")).alias("n"))
-    body = weight.groupBy("book").agg(F.max_by("k", F.struct("n", -F.col("k"))).alias("body"))
-    rows = lines.join(body, "book").where(F.abs(F.col("size") - F.col("body")) <= 0.15 * F.col("body"))
-    rows = rows.withColumn("dy", F.col("y") - F.lag("y").over(Window.partitionBy("book", "page").orderBy("y", "x")))
-
-    def measures(by):
-        slots = rows.groupBy(*by, F.round(F.col("x") / 2) * 2).agg(F.count("*").alias("c"))
-        left = slots.toDF(*by, "slot", "c").groupBy(*by).agg(F.max_by("slot", F.struct("c", -F.col("slot"))).alias("left"))
-        agg = rows.groupBy(*by).agg(
-            F.count("*").alias("n"), F.sort_array(F.collect_list("w")).alias("ws"), F.sort_array(F.collect_list(F.when(F.col("dy") > 0, F.col("dy")))).alias("dys"),
-            F.sort_array(F.collect_list(F.col("x") + F.col("w"))).alias("ends"), F.first("body").alias("body"),
-        )
-        return agg.join(left, by).select(
-            *by, "n", "body", "left", T.at_rank(F.col("ws"), 0.8).alias("width"), F.coalesce(T.at_rank(F.col("dys"), 0.5), 1.3 * F.col("body")).alias("spacing"), T.at_rank(F.col("ends"), 0.9).alias("right")
-        )
-
-    page, book = measures(["book", "page"]), measures(["book"])
-    both = lines.select("book", "page").distinct().join(page, ["book", "page"], "left")
-    both = both.join(book.select("book", *[F.col(c).alias(f"b_{c}") for c in ("body", "left", "width", "spacing", "right")]), "book")
-    few = F.coalesce(F.col("n"), F.lit(0)) < 4
-    pick = {c: F.when(few, F.col(f"b_{c}")).otherwise(F.col(c)) for c in ("left", "width", "spacing", "right")}
-    center = (pick["left"] + F.greatest(pick["left"] + pick["width"], pick["right"])) / 2
-    return both.select("book", "page", F.col("b_body").alias("body"), *[pick[c].alias(c) for c in ("left", "width", "spacing")], center.alias("center"))
-
-
-def recognised_lines(trees: DataFrame, min_conf: float = 55.0) -> DataFrame:
-    """book, page, text, confidence, y of the lines of recognition trees that are worth keeping.
-
-    ``trees`` has book, page and blocks (paragraphs, lines, words).  Words under
-    25 percent stay only if mostly letters and digits; a line needs
-    ``min_conf``, or 35 if it is long and clean.
-    """
-    rows = trees.select("book", "page", F.explode("blocks").alias("b")).select("book", "page", F.explode("b.paragraphs").alias("p")).select("book", "page", F.explode("p.lines").alias("l"))
-
-    def alnum(s):
-        bare = F.regexp_replace(s, T.WS, "")
-        return F.when(F.length(bare) > 0, F.regexp_count(bare, F.lit(r"[\p{L}\p{N}]")) / F.length(bare)).otherwise(0.0)
-
-    words = F.filter("l.words", lambda w: ((w["confidence"] >= 25) | (alnum(w["text"]) > 0.6)) & ~(w["text"].rlike(T.STRAY_MARK) & (w["text"] != "...")))
-    rows = rows.select("book", "page", F.col("l.confidence").alias("confidence"), F.col("l.bbox.y0").alias("y"), F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("text"))
-    clean = (F.col("confidence") >= 35) & (alnum(F.col("text")) > 0.9) & (F.length("text") > 20)
-    good = (alnum(F.col("text")) >= 0.55) & ((F.length("text") > 1) | F.col("text").rlike("[0-9]"))
-    return rows.where(((F.col("confidence") >= min_conf) | clean) & good)
-
-
 def page_state(text: Column, least: int = 40) -> Column:
     """'text', or 'pending' for a page with under ``least`` characters beside white space: its lines don't count."""
     return F.when(F.length(F.regexp_replace(F.coalesce(text, F.lit("")), T.WS, "")) < least, "pending").otherwise("text")

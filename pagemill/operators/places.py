@@ -28,8 +28,9 @@ def last_upto(entries: DataFrame, places: DataFrame, keys: list[str], at: str, p
 def first_after(entries: DataFrame, places: DataFrame, keys: list[str], at: Column, place: Column) -> DataFrame:
     """``places`` with ``found``, the first entry behind each."""
     rows = _merged(entries, places, keys, at, place)
-    rest = Window.partitionBy(*keys).orderBy("_at", "_k", "_e").rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("found", F.first("_e", ignorenulls=True).over(rest)).where("_k = 1").select(*keys, "_p.*", "found")
+    # Backwards, so that each row adds to what the row behind it has seen.
+    rest = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_k"), F.desc("_e")).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("found", F.last("_e", ignorenulls=True).over(rest)).where("_k = 1").select(*keys, "_p.*", "found")
 
 
 def sentence_at(spans: DataFrame, places: DataFrame) -> DataFrame:
@@ -65,7 +66,8 @@ def chapter_at(entries: DataFrame, sizes: DataFrame, positions: DataFrame) -> Da
     rows = _merged(entries.select("doc_id", "toc_no", "title", "level", F.col("block").alias("at")), positions, ["doc_id"], F.col("at"), F.col("block"))
     order = Window.partitionBy("doc_id").orderBy("_at")
     rows = rows.withColumn("found", F.max("_e").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    ends = [F.min(F.when(F.col("_e.level") <= k, F.col("_e.at"))).over(order.rangeBetween(1, Window.unboundedFollowing)) for k in range(LEVELS)]
+    rest = Window.partitionBy("doc_id").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)  # what lies behind, seen from the end
+    ends = [F.min(F.when(F.col("_e.level") <= k, F.col("_e.at"))).over(rest) for k in range(LEVELS)]
     rows = rows.withColumn("next", F.array(*ends)).where("_k = 1").select("doc_id", "_p.block", "found", "next").join(sizes, "doc_id")
     end = F.coalesce(F.get("next", F.coalesce(F.col("found.level"), F.lit(LEVELS - 1))), F.col("n")).cast("int")
     return rows.select("doc_id", "block", F.coalesce("found.title", F.lit("")).alias("title"), end.alias("end"))

@@ -9,7 +9,7 @@ from pagemill.plans import queries as q
 
 _QUERIES = (
     q.page_number_lines, q.running_lines, q.body_lines, q.paragraphs, q.char_index, q.toc_headings, q.sections, q.position_to_chapter, q.chapter_levels, q.position_to_section, q.hits_in_sections, q.open_position, q.sentence_at, q.speech_cursor,
-    q.library_sorts, q.collection_names, q.collection_toggle, q.auto_status, q.lookup_url, q.escaped_html, q.scan_pages, q.job_control,
+    q.library_sorts, q.collection_names, q.collection_toggle, q.auto_status, q.lookup_url, q.escaped_html, q.scan_pages, q.scan_layers, q.recognised_lines, q.job_control,
     q.retry_classes, q.fenced_json, q.english_books, q.loaded_ranks, q.matched_case, q.repaired_tokens,
     q.percent_to_block, q.approx_pages, q.page_to_block, q.search_hits, q.search_snippets, q.word_ranks, q.dictionary_ratio, q.text_quality,
     q.poor_docs, q.split_glued, q.join_broken_words, q.respell, q.segment_words, q.letter_spacing, q.stray_marks, q.sentences, q.word_at,

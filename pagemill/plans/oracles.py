@@ -358,6 +358,11 @@ toc AS (
   FROM led l LEFT JOIN targets e ON e.book = l.book AND e.target = file || frag LEFT JOIN targets f ON f.book = l.book AND f.target = file WHERE coalesce(e.nr, f.nr) IS NOT NULL)"""
 
 
+def _share(e: str) -> str:
+    bare = f"regexp_replace({e}, {_s(T.WS)}, '', 'g')"
+    return rf"(CASE WHEN length({bare}) > 0 THEN length(regexp_replace({bare}, '[^\p{{L}}\p{{N}}]', '', 'g')) / length({bare}) ELSE 0 END)"
+
+
 def _mended() -> str:
     """``mended``: damaged pages with the words put together that a hyphen parts over two lines."""
     return rf"""{RANKS}, {_printed("doc_id")},
@@ -431,6 +436,37 @@ SELECT doc_id, said, CASE WHEN regexp_matches(said, '\s') THEN 'https://www.goog
   ELSE 'https://' || lang[1:2] || '.wiktionary.org/wiki/' || {_part("lower(said[1:200])")} END AS url FROM w WHERE said <> ''""",
         "escaped_html": "SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS text_md5 FROM pages",
         "scan_pages": rf"SELECT source, CASE WHEN length(regexp_replace(text, '\s', '', 'g')) < 40 THEN 'pending' ELSE 'text' END AS state, count(*) AS n FROM documents GROUP BY 1, 2",
+        "scan_layers": """WITH RECURSIVE o AS (
+  SELECT doc_id, i, n, n % 6 AS op, [n % 7 + 1, n % 3, n % 2, n % 5 + 1, n, 0]::DOUBLE[] AS a FROM (
+    SELECT doc_id, length(unnest(string_split(text, chr(10)))) AS n, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+walk AS (
+  SELECT doc_id, 0 AS i, [1, 0, 0, 1, 0, 0]::DOUBLE[] AS m, []::DOUBLE[][] AS saved, false AS hit FROM documents
+  UNION ALL
+  SELECT w.doc_id, o.i, CASE op WHEN 1 THEN CASE WHEN len(saved) > 0 THEN saved[len(saved)] ELSE [1, 0, 0, 1, 0, 0]::DOUBLE[] END
+      WHEN 2 THEN [m[1] * a[1] + m[3] * a[2], m[2] * a[1] + m[4] * a[2], m[1] * a[3] + m[3] * a[4], m[2] * a[3] + m[4] * a[4], m[1] * a[5] + m[3] * a[6] + m[5], m[2] * a[5] + m[4] * a[6] + m[6]] ELSE m END,
+    CASE op WHEN 0 THEN list_append(saved, m) WHEN 1 THEN saved[1:len(saved) - 1] ELSE saved END,
+    hit OR (op = 4 AND n % 50 = 3) OR (op = 3 AND abs(m[1] * m[4] - m[2] * m[3]) > 300)
+  FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.i = w.i + 1)
+SELECT doc_id, bool_or(hit) AS scan FROM walk GROUP BY doc_id""",
+        "recognised_lines": rf"""WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS r FROM documents),
+w AS (
+  SELECT *, length(line) AS n, (length(line) * 7) % 101 AS conf, CASE WHEN r % 7 = 0 THEN 40 ELSE 20 END AS h,
+    CASE WHEN length(line) % 11 > 0 THEN list_filter(string_split_regex(line, {_s(T.WS + '+')}), lambda x: x <> '') ELSE [] END AS ws FROM l),
+p AS (SELECT *, list_sort(list(h) OVER (PARTITION BY doc_id))[(count(*) OVER (PARTITION BY doc_id)) // 2 + 1] AS ph FROM w),
+c AS (
+  SELECT *, list_filter(list_transform(ws, lambda x, i: {{'t': x, 'c': (length(x) * 37 + r * 11 + (i - 1) * 5) % 101}}),
+    lambda y: (y.c >= 25 OR {_share('y.t')} > 0.6) AND NOT (regexp_matches(y.t, {_s(T.STRAY_MARK)}) AND y.t <> '...')) AS good FROM p),
+t AS (SELECT *, h >= 1.3 * ph AND len(good) BETWEEN 1 AND 12 AS title FROM c),
+k AS (
+  SELECT *, CASE WHEN title THEN list_filter(good, lambda y: y.c >= 70 AND regexp_replace(y.t, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') <> ''
+      AND (y.c >= 80 OR regexp_matches(regexp_replace(y.t, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'), '^[\p{{N}}IVXLCivxlc.:,)(-]+$'))) ELSE good END AS kept
+  FROM t WHERE title OR conf >= 55 OR (conf >= 35 AND {_share('line')} > 0.9 AND n > 20)),
+s AS (
+  SELECT *, {_trim(f"regexp_replace(CASE WHEN len(kept) > 0 THEN array_to_string(list_transform(kept, lambda y: y.t), ' ') ELSE line END, {_s(T.WS + '+')}, ' ', 'g')")} AS said
+  FROM k WHERE NOT title OR len(kept) / len(good) >= 0.5)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1)::INT AS line_no, md5(said) AS text_md5, 20.0::DOUBLE AS x, r * 15.0::DOUBLE AS y, n * 4.0::DOUBLE AS w, round(h / 2.0 * 0.85, 6)::DOUBLE AS size
+FROM s WHERE said <> '' AND {_share('said')} >= 0.55 AND (length(said) > 1 OR regexp_matches(said, '[0-9]'))""",
         "job_control": """SELECT source, count(*) FILTER (n_chars < 200) AS skipped, count(*) AS pages, count(*) FILTER (n_chars < 200) > 0 AND count(*) FILTER (n_chars < 60) <= 3 AS resumes FROM documents GROUP BY source""",
         "retry_classes": """WITH a AS (SELECT CASE WHEN event_type <> 'error' THEN (floor(value)::BIGINT % 5 * 100 + 200)::INT END AS code, CASE WHEN event_id % 3 > 0 THEN 1 END AS blocks FROM events)
 SELECT code, (code IS NULL OR code = 429 OR code >= 500 OR (code < 400 AND blocks IS NULL)) AS again, count(*) AS n FROM a GROUP BY 1, 2""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import textsem as T
-from pagemill.operators import dictionary, geometry, image, layout, library, mending, navigation, places, repair, search, typeset
+from pagemill.operators import dictionary, geometry, image, layout, library, mending, navigation, places, repair, scans, search, typeset
 from pagemill.operators.stored import stored
 from pagemill.sources import markup, web
 
@@ -274,6 +274,32 @@ def escaped_html(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(library.escape_html(F.col("html"))).alias("text_md5"))
 
 
+def scan_layers(spark, sf_dir):
+    """Lines as drawing operators by their length: saves, restores, matrices, images and text modes; which documents look like scans."""
+    n = F.length(F.col("line"))
+    args = F.array((n % 7 + 1).cast("double"), (n % 3).cast("double"), (n % 2).cast("double"), (n % 5 + 1).cast("double"), n.cast("double"), F.lit(0.0))
+    op = F.element_at(F.array(*map(F.lit, ["save", "restore", "transform", "paintImageXObject", "setTextRenderingMode", "showText"])), n % 6 + 1)
+    mode = F.when(n % 6 == 4, F.array((n % 50).cast("double"))).otherwise(args)
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    by = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", op.alias("op"), mode.alias("args")))).alias("ops"))
+    return by.select("doc_id", scans.has_text_layer(F.col("ops"), F.lit(20.0), F.lit(30.0)).alias("scan"))
+
+
+def recognised_lines(spark, sf_dir):
+    """Lines as a recogniser's: a block a document, a paragraph a line; every seventh line is large, and sureness goes by the letters."""
+    row, n = F.col("row"), F.length("line")
+    words = F.filter(F.split("line", T.WS + "+"), lambda w: w != "")
+    tall = F.when(row % 7 == 0, 40.0).otherwise(20.0)
+    box = lambda x0, x1: F.struct(x0.cast("double").alias("x0"), (row * 30).cast("double").alias("y0"), x1.cast("double").alias("x1"), (row * 30 + tall).alias("y1"))
+    each = F.transform(words, lambda w, i: F.struct(w.alias("text"), ((F.length(w) * 37 + row * 11 + i * 5) % 101).cast("double").alias("confidence"), box(i * 60, i * 60 + 50).alias("bbox")))
+    line = F.struct(F.col("line").alias("text"), ((n * 7) % 101).cast("double").alias("confidence"), box(F.lit(40), 40 + n * 8).alias("bbox"), F.when(n % 11 > 0, each).alias("words"))
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line"))
+    pages = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("line")))), lambda r: F.struct(F.array(r["line"]).alias("lines"))).alias("p"))
+    trees = pages.select(F.lit(1).alias("book"), F.col("doc_id").alias("page"), F.lit(2.0).alias("scale"), F.array(F.struct(F.col("p").alias("paragraphs"))).alias("blocks"))
+    out = scans.recognised_lines(trees)
+    return out.select(F.col("page").alias("doc_id"), "line_no", F.md5("text").alias("text_md5"), "x", "y", "w", F.round("size", 6).alias("size"))
+
+
 def scan_pages(spark, sf_dir):
     """Documents as scanned pages: those with under 40 characters beside white space have no text layer."""
     state = geometry.page_state(F.col("text"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import textsem as T
-from pagemill.operators import dictionary, geometry, image, layout, library, places, repair, search
+from pagemill.operators import dictionary, geometry, image, layout, library, places, repair, search, typeset
 from pagemill.sources import epub, web
 from pagemill.streaming import activity
 
@@ -299,7 +299,8 @@ def test_geometry(spark):
     got = geometry.assemble_lines(f).orderBy("line_no").collect()
     assert [r.text for r in got] == ["Hello world", "next"] and got[0].w == pytest.approx(64.0)
     lines = spark.createDataFrame([("b", 1, f"some words {i}", 50.0, 100.0 + 15 * i, 300.0, 11.0) for i in range(6)] + [("b", 2, "Few", 150.0, 60.0, 100.0, 18.0)], "book string, page int, text string, x double, y double, w double, size double")
-    stats = {r.page: r for r in geometry.page_stats(lines).collect()}
+    lines = lines.selectExpr("*", "'text' AS origin", "400.0D AS page_width", "int(y) AS line_no")
+    stats = {r.page: r for r in typeset.page_stats(lines).collect()}
     assert (stats[1].body, stats[1].left, stats[1].width, stats[1].spacing) == (11.0, 50.0, 300.0, 15.0) and stats[2].left == 50.0
     j = spark.createDataFrame([("b", 1, '{"blocks":[{"type":"heading","text":"T"},{"type":"scene_break"},{"type":"paragraph","text":"p  q"},{"type":"paragraph","text":" "}]}')], "book string, page int, json string")
     t = geometry.transcribed_lines(j).orderBy("line_no").collect()
