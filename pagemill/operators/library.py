@@ -253,3 +253,23 @@ def resolve_path(base: Column, href: Column) -> Column:
         lambda a, s: F.when((s == "") | (s == "."), a).when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))),
     )
     return F.when(path == "", F.concat(base, F.when(F.coalesce(frag, F.lit("")) != "", tail).otherwise(""))).otherwise(F.concat(F.array_join(parts, "/"), tail))
+
+
+#: The first pages of a book are shown one by one, the others by fours.
+FIRST_PAGES, PAGES_AT_ONCE = 3, 4
+
+
+def rebuild_triggers(steps: DataFrame) -> DataFrame:
+    """key, seq, done, rebuild: whether a book is built anew after each step of its reading.
+
+    ``steps`` has key, seq and kind: 'page' for a page read; anything else ends a
+    run (paused, cancelled, waiting or finished) and always rebuilds.  Pages
+    rebuild while ``FIRST_PAGES`` aren't passed, then each time that
+    ``PAGES_AT_ONCE`` have come since the last rebuild or the run's start.
+    """
+    per = Window.partitionBy("key").orderBy("seq")
+    page = (F.col("kind") == "page").cast("int")
+    rows = steps.withColumn("page", page).withColumn("done", F.sum("page").over(per)).withColumn("run", F.sum(1 - F.col("page")).over(per) - (1 - F.col("page")))
+    late = F.sum(((F.col("page") == 1) & (F.col("done") > FIRST_PAGES)).cast("int")).over(Window.partitionBy("key", "run").orderBy("seq"))
+    due = (F.col("done") <= FIRST_PAGES) | (late % PAGES_AT_ONCE == 0)
+    return rows.withColumn("rebuild", (F.col("page") == 0) | due).select("key", "seq", F.col("done").cast("long"), "rebuild")

@@ -554,6 +554,25 @@ SELECT *, {_half_up(_half_up('chars / 1500') + ' / days_read')} AS pages_per_day
 r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c),
 s AS (SELECT *, (sum((NOT ok)::INT) OVER (PARTITION BY user_id, run ORDER BY event_id))::BIGINT AS streak FROM r)
 SELECT user_id, event_id, streak, max((streak >= 4)::INT) OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS open FROM s""",
+        "rebuild_triggers": """WITH RECURSIVE e AS (
+  SELECT user_id, event_id, event_type <> 'error' AS page, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (
+  SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS done, 0 AS since, false AS rebuild FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, i, d, CASE WHEN r THEN 0 ELSE s END, r FROM (
+    SELECT *, NOT page OR d <= 3 OR s >= 4 AS r FROM (
+      SELECT e.user_id, e.i, e.page, w.done + e.page::INT AS d, CASE WHEN e.page THEN w.since + 1 ELSE 0 END AS s FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)))
+SELECT user_id, event_id, done, rebuild FROM w JOIN e USING (user_id, i)""",
+        "stored_library": """WITH rows AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block FROM documents),
+epochs AS (SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN CASE WHEN doc_id % 33 = 3 THEN 4 END WHEN doc_id % 5 = 1 THEN 2 ELSE 1 END::BIGINT AS epoch FROM documents),
+now AS (
+  SELECT doc_id, block, text, epoch FROM rows JOIN epochs USING (doc_id) WHERE epoch <> 2
+  UNION ALL SELECT doc_id, block // 2, string_agg(text, ' ' ORDER BY block), 2 FROM rows JOIN epochs USING (doc_id) WHERE epoch = 2 GROUP BY doc_id, block // 2),
+idx AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY block) - length(text) - 1 AS c, sum(length(text) + 1) OVER (PARTITION BY doc_id) AS total FROM now),
+old AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY block) - length(text) - 1 AS c, sum(length(text) + 1) OVER (PARTITION BY doc_id) AS total, count(*) OVER (PARTITION BY doc_id) AS n FROM rows),
+share AS (SELECT doc_id, c / total AS share FROM old WHERE block = floor(n * 0.6::DOUBLE))
+SELECT doc_id, count(*) AS n, max(epoch) AS epoch, sum(length(text))::BIGINT AS chars, max(block) FILTER (c <= share * total)::INT AS place FROM idx JOIN share USING (doc_id) GROUP BY doc_id""",
         "provider_outcome": """WITH d AS (
   SELECT source, doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN n_chars * (doc_id % 10) / 10 END AS f, CASE WHEN doc_id % 5 = 0 THEN n_chars / 2 END AS s,
     CASE WHEN doc_id % 4 = 0 THEN n_chars ELSE 0 END AS o FROM documents)

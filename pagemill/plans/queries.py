@@ -6,14 +6,16 @@ a reader's activity; ``pages`` are web chapters.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import textsem as T
 from pagemill.operators import dictionary, geometry, image, layout, library, mending, navigation, places, repair, scans, search, typeset
-from pagemill.operators.stored import stored
-from pagemill.sources import markup, web
+from pagemill.operators.stored import shared_folder, stored
+from pagemill.sources import library_store, markup, web
 
 #: Words and phrases that the search queries look for.
 ASKED = ["the re", "ETRE", "ción", "nder "]
@@ -391,6 +393,34 @@ def failure_streaks(spark, sf_dir):
     return library.failure_streaks(calls).select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), "streak", "open")
 
 
+def rebuild_triggers(spark, sf_dir):
+    """A user's events as steps of reading a book: errors end a run, all others are pages."""
+    steps = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "paused").otherwise("page").alias("kind"))
+    return library.rebuild_triggers(steps).select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), "done", "rebuild")
+
+
+def stored_library(spark, sf_dir):
+    """Lines stored as books; some rebuilt with two lines a block, some removed, some of these put back, an epoch written twice.
+
+    Readers at three fifths of each book keep their place.
+    """
+    path, schema = f"{shared_folder(spark)}/pagemill/library-{uuid.uuid4().hex}", "book long, block int, text string"
+    rows = stored(docs(spark, sf_dir).select(F.col("doc_id").alias("book"), F.posexplode(F.split("text", "\n")).alias("block", "text")), "books")
+    pairs = rows.where("book % 5 = 1").groupBy("book", F.floor(F.col("block") / 2).cast("int").alias("half"))
+    pairs = pairs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), " ").alias("text")).select("book", F.col("half").alias("block"), "text")
+    library_store.put(rows, path, 1)
+    library_store.put(pairs, path, 2)
+    library_store.remove(rows.where("book % 11 = 3"), path, 3)
+    library_store.put(rows.where("book % 33 = 3"), path, 4)
+    library_store.put(pairs, path, 2)
+    now = library_store.current(spark, path, schema)
+    old, new = library_store.char_index(library_store.current(spark, path, schema, upto=1)), library_store.char_index(now)
+    read_to = rows.groupBy("book").agg(F.floor(F.count("*") * 0.6).cast("int").alias("block"))
+    kept = library_store.places_kept(old, new, read_to)
+    size = now.groupBy("book").agg(F.count("*").alias("n"), F.max("epoch").alias("epoch"), F.sum(F.length("text")).alias("chars"))
+    return size.join(kept, "book").select(F.col("book").alias("doc_id"), "n", "epoch", "chars", F.col("block").alias("place"))
+
+
 def provider_outcome(spark, sf_dir):
     v, k = F.col("n_chars"), F.col("doc_id")
     first, second = F.when(k % 3 == 0, v * (k % 10) / 10), F.when(k % 5 == 0, v / 2)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagemill.operators.library import FIRST_PAGES, PAGES_AT_ONCE
+
 
 def reading_sessions(events: DataFrame, idle: str = "2 minutes", late: str = "1 hour") -> DataFrame:
     """user_id, start, end, seconds, events: sessions that a pause of ``idle`` ends.
@@ -47,6 +49,27 @@ def breaker(calls: DataFrame, limit: int = 4) -> DataFrame:
     return calls.groupBy("key").applyInPandasWithState(run, "key long, seq long, streak long, open boolean", "streak long, latched boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def rebuilds(steps: DataFrame) -> DataFrame:
+    """key, seq, done, rebuild: ``library.rebuild_triggers`` as steps arrive, with two counters a book.
+
+    Steps of a book must come in their order; those of one batch are put in order.
+    """
+
+    def run(key, batches, state: GroupState):
+        done, since = state.get if state.exists else (0, 0)
+        rows = []
+        for seq, kind in pd.concat(list(batches)).sort_values("seq")[["seq", "kind"]].itertuples(index=False):
+            page = kind == "page"
+            done, since = done + page, since + 1 if page else 0
+            rebuild = not page or done <= FIRST_PAGES or since >= PAGES_AT_ONCE
+            since = 0 if rebuild else since
+            rows.append((key[0], int(seq), done, rebuild))
+        state.update((done, since))
+        yield pd.DataFrame(rows, columns=["key", "seq", "done", "rebuild"])
+
+    return steps.groupBy("key").applyInPandasWithState(run, "key long, seq long, done long, rebuild boolean", "done long, since long", "append", GroupStateTimeout.NoTimeout)
+
+
 def rebuild_on_arrival(pages: DataFrame, pages_path: str, rebuild: Callable[[DataFrame], None], checkpoint: str):
     """Starts the job that stores arriving pages and rebuilds the content of the books they touch.
 
