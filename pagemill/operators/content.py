@@ -39,6 +39,11 @@ def footnote_of(blocks: DataFrame, notes: DataFrame, most: int = 3) -> DataFrame
     return near.withColumn("_s", upto).where("_s = 0").select("doc_id", "note", "block")
 
 
+def shown(chars_before: Column, section_start: Column, section_end: Column, page: Column, pages: Column) -> Column:
+    """Characters before what is on screen: before its block, or, in a section of several pages, before its page."""
+    return F.when(pages > 1, section_start + (section_end - section_start) * page / pages).otherwise(chars_before.cast("double"))
+
+
 def minutes_left(chars_before: Column, chapter_end: Column, per_minute: int = 1500) -> Column:
     return F.greatest(F.lit(0.0), (chapter_end - chars_before) / per_minute)
 

@@ -14,7 +14,7 @@ _QUERIES = (
     q.percent_to_block, q.approx_pages, q.page_to_block, q.search_hits, q.search_snippets, q.word_ranks, q.dictionary_ratio, q.text_quality,
     q.poor_docs, q.split_glued, q.join_broken_words, q.respell, q.segment_words, q.letter_spacing, q.stray_marks, q.sentences, q.word_at,
     q.word_spans, q.library_view, q.library_by_author, q.status_of, q.collections, q.cover_hue, q.bold_starts, q.reading_days, q.stats_view,
-    q.failure_streaks, q.rebuild_triggers, q.stored_library, q.provider_outcome, q.ewma_latency, q.size_mode, q.index_percentiles, q.notes_export, q.resolve_links,
+    q.failure_streaks, q.rebuild_triggers, q.stored_library, q.reading_position, q.render_scales, q.provider_outcome, q.ewma_latency, q.size_mode, q.index_percentiles, q.notes_export, q.resolve_links,
     q.html_title_links, q.contrast_ratio, q.html_blocks, q.inline_markup, q.outline_walk, q.nav_toc, q.spine_sections, q.assembled_lines, q.page_statistics, q.printed_lines, q.book_blocks, q.headings, q.mended_line_ends, q.repaired_pages, q.transcribed_lines, q.outline_toc,
     q.image_preprocess,
 )

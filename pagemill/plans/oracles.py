@@ -573,6 +573,19 @@ idx AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY block
 old AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY block) - length(text) - 1 AS c, sum(length(text) + 1) OVER (PARTITION BY doc_id) AS total, count(*) OVER (PARTITION BY doc_id) AS n FROM rows),
 share AS (SELECT doc_id, c / total AS share FROM old WHERE block = floor(n * 0.6::DOUBLE))
 SELECT doc_id, count(*) AS n, max(epoch) AS epoch, sum(length(text))::BIGINT AS chars, max(block) FILTER (c <= share * total)::INT AS place FROM idx JOIN share USING (doc_id) GROUP BY doc_id""",
+        "reading_position": f"""WITH {BLOCKS},
+cut AS (
+  SELECT doc_id, s::INT AS start, least(s + 5, stop)::INT AS stop FROM (SELECT *, unnest(generate_series(block, stop - 1, 5)) AS s FROM (
+    SELECT doc_id, block, coalesce(lead(block) OVER (PARTITION BY doc_id ORDER BY block), n) AS stop FROM indexed WHERE t = 'h' OR block = 0))),
+ends AS (
+  SELECT p.doc_id, p.block, p.chars_before, p.total, coalesce(min(e.chars_before), any_value(p.total)) AS ce FROM indexed p LEFT JOIN (SELECT * FROM indexed WHERE t = 'h') e ON e.doc_id = p.doc_id AND e.block > p.block GROUP BY ALL),
+spot AS (
+  SELECT e.*, doc_id % 4 + 1 AS pages, a.chars_before AS sc, coalesce(b.chars_before, e.total) AS ec FROM ends e JOIN cut c USING (doc_id)
+  JOIN indexed a ON a.doc_id = e.doc_id AND a.block = c.start LEFT JOIN indexed b ON b.doc_id = e.doc_id AND b.block = c.stop WHERE e.block >= c.start AND e.block < c.stop),
+here AS (SELECT *, CASE WHEN pages > 1 THEN sc + (ec - sc) * (block % pages) / pages ELSE chars_before END::DOUBLE AS here FROM spot)
+SELECT doc_id, block, round(least(1.0::DOUBLE, here / total), 6) AS progress, round(greatest(0.0::DOUBLE, (ce - greatest(here, chars_before)) / 1500), 6) AS minutes FROM here""",
+        "render_scales": """WITH p AS (SELECT doc_id, (200 + length(source) * 60)::DOUBLE AS w, (100 + n_chars % 3000)::DOUBLE AS h FROM documents)
+SELECT doc_id, round(greatest(1.0::DOUBLE, least(300 / 72, sqrt(8500000 / (w * h)))), 6) AS "full", round(greatest(1.0::DOUBLE, least(300 / 72, sqrt(5000000 / (w * h)))), 6) AS low_memory FROM p""",
         "provider_outcome": """WITH d AS (
   SELECT source, doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN n_chars * (doc_id % 10) / 10 END AS f, CASE WHEN doc_id % 5 = 0 THEN n_chars / 2 END AS s,
     CASE WHEN doc_id % 4 = 0 THEN n_chars ELSE 0 END AS o FROM documents)

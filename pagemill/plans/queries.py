@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import textsem as T
-from pagemill.operators import dictionary, geometry, image, layout, library, mending, navigation, places, repair, scans, search, typeset
+from pagemill.operators import content, dictionary, geometry, image, layout, library, mending, navigation, places, repair, scans, search, typeset
 from pagemill.operators.stored import shared_folder, stored
 from pagemill.sources import library_store, markup, web
 
@@ -421,6 +421,29 @@ def stored_library(spark, sf_dir):
     return size.join(kept, "book").select(F.col("book").alias("doc_id"), "n", "epoch", "chars", F.col("block").alias("place"))
 
 
+def reading_position(spark, sf_dir):
+    """Every block as a reader's place, in sections shown in one to four pages: progress, and minutes left in the chapter."""
+    blocks = stored(doc_blocks(spark, sf_dir), "blocks")
+    index = layout.char_index(blocks).select("doc_id", "block", "chars_before", "total")
+    spots = places.section_at(layout.sections(blocks, per_section=5), blocks.select("doc_id", "block"))
+    ends = places.chapter_at(layout.toc(blocks), layout.sizes(blocks), blocks.select("doc_id", "block")).select("doc_id", "block", F.col("end").alias("chapter_end"))
+    # A block that ends a stretch is looked up by its number; the last one's end is the total.
+    at = lambda name: index.select("doc_id", F.col("block").alias(name), F.col("chars_before").alias(f"{name}_chars"))
+    rows = index.join(spots, ["doc_id", "block"]).join(ends, ["doc_id", "block"])
+    for name in ("start", "end", "chapter_end"):
+        rows = rows.join(at(name), ["doc_id", name], "left").withColumn(f"{name}_chars", F.coalesce(f"{name}_chars", "total"))
+    pages = F.col("doc_id") % 4 + 1
+    rows = rows.withColumn("here", content.shown(F.col("chars_before"), F.col("start_chars"), F.col("end_chars"), F.col("block") % pages, pages))
+    read_to = F.greatest("here", F.col("chars_before").cast("double"))
+    return rows.select("doc_id", "block", F.round(content.progress(F.col("here"), F.col("total")), 6).alias("progress"), F.round(content.minutes_left(read_to, F.col("chapter_end_chars")), 6).alias("minutes"))
+
+
+def render_scales(spark, sf_dir):
+    """Documents as pages as wide as their source's number tells and as high as they are long: the scale that they are drawn at."""
+    width, height = 200.0 + F.length("source") * 60, 100.0 + F.col("n_chars") % 3000
+    return docs(spark, sf_dir).select("doc_id", *[F.round(content.render_scale(width, height, full), 6).alias(name) for name, full in (("full", True), ("low_memory", False))])
+
+
 def provider_outcome(spark, sf_dir):
     v, k = F.col("n_chars"), F.col("doc_id")
     first, second = F.when(k % 3 == 0, v * (k % 10) / 10), F.when(k % 5 == 0, v / 2)

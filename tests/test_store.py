@@ -84,3 +84,17 @@ def test_triggers_as_a_stream(spark, tmp_path):
     q = activity.rebuilds(stream).writeStream.format("memory").queryName("rebuilds").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("rebuilds").collect())) == plain(every)
+
+
+def test_what_is_shown_of_a_book(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.operators import content
+
+    df = spark.createDataFrame([(50, 40, 80, 1, 4, 100), (50, 40, 80, 3, 4, 100), (50, 40, 80, 0, 1, 100), (0, 0, 0, 0, 1, 0)], "c long, a long, b long, page int, pages int, total long")
+    here = content.shown(*[F.col(x) for x in ("c", "a", "b", "page", "pages")])
+    got = df.select(here.alias("here"), content.progress(here, F.col("total")).alias("p"), content.minutes_left(here, F.lit(3000)).alias("m")).collect()
+    assert [tuple(r) for r in got] == [(50.0, 0.5, 2950 / 1500), (70.0, 0.7, 2930 / 1500), (50.0, 0.5, 2950 / 1500), (0.0, 0.0, 2.0)]
+    scale = df.limit(1).select(content.render_scale(F.lit(612.0), F.lit(792.0)).alias("a"), content.render_scale(F.lit(3000.0), F.lit(4000.0)).alias("b"), content.render_scale(F.lit(900.0), F.lit(1200.0), False).alias("c")).first()
+    assert abs(scale.a - (8.5e6 / (612 * 792)) ** 0.5) < 1e-12 or scale.a == 300 / 72
+    assert scale.b == 1.0 and abs(scale.c - (5e6 / 1.08e6) ** 0.5) < 1e-12
