@@ -631,7 +631,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY row) - 1)::INT A
   round(15.0::DOUBLE * row - 0.8::DOUBLE * 11, 3) AS y, round(6.0::DOUBLE * length(array_to_string(v, ' ')), 3) AS w FROM w WHERE len(v) > 0""",
         "page_statistics": f"""WITH {_printed("source")}, {_page_stats("printed")} SELECT book, origin, page, body, "left", width, spacing, center FROM stats""",
         "printed_lines": f"""WITH {_printed("source")} SELECT book, page, count(*) AS n_lines, min(line_no)::INT AS first, max(line_no)::INT AS last, sum(length(text))::BIGINT AS n_chars FROM kept GROUP BY book, page""",
-        "book_blocks": f"WITH RECURSIVE {_book_blocks()} SELECT doc_id, block, page, t, md5(text) AS text_md5 FROM book_blocks",
+        "book_blocks": f"WITH RECURSIVE {_book_blocks()} SELECT doc_id, block::INT AS block, page, t, md5(text) AS text_md5 FROM book_blocks",
         "headings": f"WITH RECURSIVE {_book_blocks()} SELECT doc_id, page, text FROM book_blocks WHERE t = 'h'",
         "mended_line_ends": f"WITH RECURSIVE {_mended()} SELECT doc_id, page, line_no::INT AS line_no, md5(text) AS text_md5 FROM mended WHERE trim(text) <> ''",
         "transcribed_lines": f"""WITH raw AS (

@@ -538,7 +538,7 @@ def _nav_toc(spark, sf_dir, blocks):
     links = markup.nav_links(read(spark, sf_dir, "pages").select("page_id", "html"))
     book = F.floor(F.col("page_id") / FILES)
     href = F.concat(F.lit("OEBPS/ch"), (book * FILES + F.col("ord") * 3 % (FILES + 2)).cast("string"), F.lit(".xhtml"), F.when(F.col("ord") % 3 > 0, F.concat(F.lit("#p"), (F.col("ord") * 2).cast("string"))).otherwise(""))
-    links = links.select(book.alias("book"), (F.col("page_id") * 100_000 + F.col("ord")).alias("ord"), "label", href.alias("href"), (F.col("level") + F.col("ord") % 4).alias("level"))
+    links = links.select(book.alias("book"), (F.col("page_id") * 100_000 + F.col("ord")).alias("ord"), "label", href.alias("href"), (F.col("level") + F.col("ord") % 4).cast("int").alias("level"))
     return navigation.toc_of_links(links, navigation.anchors(blocks))
 
 
