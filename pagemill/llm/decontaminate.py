@@ -15,18 +15,24 @@ windows cover ``min_cover`` of it: verbatim if all slot values are the item's
 own, else re-parameterised.  Besides, ``run_words`` words in a row that are the
 item's own leak it whatever their share (partial, if below ``min_cover``).
 
-A document's window is hashed only where its first words are those of some
-item's window, which a table of bytes answers (two megabytes at most, a bit of
-chance lets others through).  The benchmark's windows go to the tasks only if
-their number is at most ``broadcast_windows`` and their words take at most
-``broadcast_bytes``; beyond that the windows of both sides are shuffled by their
-hash.
+Placeholders alone are no evidence: a window with fewer than ``literals`` literal
+words meets only windows with the same words, so that a row of figures is not
+taken for a re-parameterised sum, and such a window is no hot key, either.
+
+The texts are read and canonicalised once for windows of all lengths.  A window
+is hashed only where its first words are those of some item's window, which a
+table of bytes answers (two megabytes at most, a bit of chance lets others
+through).  The benchmark's windows go to the tasks only if their number is at
+most ``broadcast_windows`` and their words take at most ``broadcast_bytes``, its
+plain words if they are at most ``broadcast_words`` of as many bytes; beyond that
+both sides are shuffled by their hash or word.
 
 Defined cases: a very long text is compared whole, in windows like any other, and a
 window that both sides repeat meets as often as it stands on both; ties of slot
 values are settled as said above; null and empty texts share nothing; items shorter than ``width``
 are compared as one window of their length, items under ``min_words`` template
-words can't be told from chance and match nothing; repeated rows of an id count
+words can't be told from chance inside a text and match only documents that are
+the same words as a whole; repeated rows of an id count
 as one document; rows without an id are never reported by ``leaks`` and kept by
 ``drop_leaks``; extra columns are ignored or, in ``drop_leaks``, kept.
 """
@@ -38,7 +44,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import SPACE, materialize
+from pagemill.llm.common import SPACE, materialize, within
 
 _UNITS = (
     "kilometers|kilometres|kilometer|kilometre|centimeters|centimetres|meters|metres|meter|metre|kilograms|kilogram|grams|gram|"
@@ -84,59 +90,79 @@ def _named(benchmark: DataFrame) -> DataFrame:
     return rows.select("item_id", "text", F.col("z.raw").alias("raw"), F.col("z.words").alias("words"))
 
 
-def _known(items: DataFrame) -> Callable[[Column], Column]:
-    """Whether an item has a word as a plain one: looks among the plain words in the same of many small groups.
+def _code(word: Column, slot: Column) -> Column:
+    """A number for a word; it is odd for a slot and even for a literal word."""
+    return F.xxhash64(word).bitwiseAND(-2).bitwiseOR(slot.cast("long"))
 
-    The benchmark's plain words go to the tasks, as text in an array that is built once.
-    """
-    found = items.select(F.explode("iwords").alias("w")).distinct().where(~F.col("w").rlike("[#~@]"))
-    n = max(1, found.count())
-    rows = found.groupBy(F.pmod(F.xxhash64("w"), F.lit(n)).alias("k")).agg(F.concat_ws(" ", F.array_sort(F.collect_list("w"))).alias("v")).collect()
-    by = {r["k"]: f" {r['v']} " for r in rows}
-    groups = F.split(F.lit("\n".join(by.get(k, "") for k in range(n))), "\n")
-    return lambda w: F.contains(F.get(groups, F.pmod(F.xxhash64(w), F.lit(n)).cast("int")), F.concat(F.lit(" "), w, F.lit(" ")))
+
+def _bare(words: Column) -> Column:
+    """Words as they are compared: lower-cased, without punctuation at their ends."""
+    return F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")))
 
 
-def _coded(known: Callable[[Column], Column]) -> Column:
-    """A number for each word of a document's template: names and words that no item has are alike."""
-    typed = lambda w: F.contains(w, F.lit("#")) | F.contains(w, F.lit("~"))
-    return F.transform("words", lambda w: F.when(known(w) | (typed(w) & ~F.contains(w, F.lit("@"))), F.xxhash64(w)).otherwise(F.xxhash64(F.lit("@"))))
+def _coded(texts: DataFrame, items: DataFrame, broadcast_words: int, broadcast_bytes: int) -> DataFrame:
+    """``texts`` with ``codes``, a number for each word of the template: names and words that no item has are alike.
+
+    The benchmark's plain words go to the tasks, in many small groups that a
+    hash picks from, if they are at most ``broadcast_words`` words of
+    ``broadcast_bytes`` bytes; beyond that the words of both sides are joined.
+    """
+    found = items.select(F.explode("iwords").alias("w")).distinct().where(~F.col("w").rlike("[#~@]"))
+    n_words, n_bytes = found.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("w") + 1), F.lit(0))).first()
+    typed = lambda w: w.rlike("[#~]") & ~F.contains(w, F.lit("@"))
+    code = lambda w, known: F.when(known, _code(w, F.lit(False))).when(typed(w), _code(w, F.lit(True))).otherwise(_code(F.lit("@"), F.lit(True)))
+    if n_words <= broadcast_words and n_bytes <= broadcast_bytes:
+        n = max(1, n_words)
+        rows = found.groupBy(F.pmod(F.xxhash64("w"), F.lit(n)).alias("k")).agg(F.concat_ws(" ", F.array_sort(F.collect_list("w"))).alias("v")).collect()
+        by = {r["k"]: f" {r['v']} " for r in rows}
+        groups = F.split(F.lit("\n".join(by.get(k, "") for k in range(n))), "\n")
+        known = lambda w: F.contains(F.get(groups, F.pmod(F.xxhash64(w), F.lit(n)).cast("int")), F.concat(F.lit(" "), w, F.lit(" ")))
+        return texts.withColumn("codes", F.transform("words", lambda w: code(w, known(w))))
+    at = texts.select("doc_id", F.xxhash64("raw").alias("text"), F.posexplode(F.arrays_zip("raw", "words")).alias("i", "z"))
+    at = at.select("doc_id", "text", "i", "z.raw", F.col("z.words").alias("w")).join(found.withColumn("known", F.lit(True)), "w", "left")
+    at = at.withColumn("code", code(F.col("w"), F.coalesce("known", F.lit(False))))
+    rows = at.groupBy("doc_id", "text").agg(F.array_sort(F.collect_set(F.struct("i", "raw", "code"))).alias("z"))
+    return rows.select("doc_id", F.col("z.raw").alias("raw"), F.col("z.code").alias("codes"))
 
 
 #: Words at the start of a window that are looked up before the whole of it is hashed.
 GRAM = 3
 
 
-def _windows(n: int | Column, begins: Callable[[Column], Column] | None = None) -> Column:
-    """Hashes of the windows of ``n`` codes, of those only that ``begins`` says may be an item's."""
-    at = F.sequence(F.lit(1), F.size("codes") - n + 1)
-    at = F.filter(at, begins) if begins else at
-    return F.when(F.size("codes") >= n, F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("codes", i, n)).alias("h"), i.alias("pos")))).otherwise(
-        F.array().cast("array<struct<h:bigint,pos:int>>")
-    )
+def _window(n: int | Column, i: Column, literals: int) -> Column:
+    """The key of the window of ``n`` words at ``i``: of its codes or, with fewer than ``literals`` literal words, of the words themselves."""
+    codes = F.slice("codes", i, n)
+    enough = F.size(F.filter(codes, lambda c: c.bitwiseAND(1) == 0)) >= literals
+    return F.when(enough, F.xxhash64(codes)).otherwise(F.xxhash64(F.lit("own"), _bare(F.slice("raw", i, n))))
 
 
 def _gram(n: int, i: Column) -> Column:
-    """A number for the first words of the window of ``n`` codes at ``i``."""
-    return F.xxhash64(*[F.get("codes", i + (j - 1)) for j in range(min(n, GRAM))])
+    """A number for the ``n`` codes at ``i``."""
+    return F.xxhash64(*[F.get("codes", i + (j - 1)) for j in range(n)])
 
 
-def _begins(own: DataFrame, n: int, n_windows: int) -> Callable[[Column], Column]:
-    """Whether a window may be one of ``own``, the items' windows of ``n`` words: looks its first words up in a table of bytes."""
+def _begins(items: DataFrame, gram: int, n_windows: int) -> Callable[[Column], Column]:
+    """Whether a window of ``items`` may begin at a place: looks its first ``gram`` words up in a table of bytes."""
     size = 1 << min(21, max(10, (8 * n_windows).bit_length()))
-    codes = own.select(F.transform("iwords", lambda w: F.xxhash64(w)).alias("codes"))
+    codes = items.select(F.transform("iwords", lambda w: _code(w, w.rlike("[#~@]"))).alias("codes"))
     table = bytearray(size)
-    for r in codes.select(F.pmod(_gram(n, F.lit(1)), F.lit(size)).cast("int").alias("k")).distinct().collect():  # at most ``size`` rows
+    for r in codes.select(F.pmod(_gram(gram, F.lit(1)), F.lit(size)).cast("int").alias("k")).distinct().collect():  # at most ``size`` rows
         table[r["k"]] = 1
-    return lambda i: F.substr(F.lit(bytes(table)), F.pmod(_gram(n, i), F.lit(size)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    return lambda i: F.substr(F.lit(bytes(table)), F.pmod(_gram(gram, i), F.lit(size)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
 
 
-def _item_windows(benchmark: DataFrame, width: int, min_words: int) -> DataFrame:
+def _items(benchmark: DataFrame) -> DataFrame:
+    """The items with ``n``, their number of template words; those without a word are left out."""
     items = _named(benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct())
-    items = items.withColumn("n", F.size("words")).where((F.col("n") >= min_words) & (F.element_at("words", 1) != ""))
-    items = items.withColumn("len", F.least("n", F.lit(width))).withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
+    return materialize(items.withColumn("n", F.size("words")).where(F.element_at("words", 1) != ""), "items")
+
+
+def _item_windows(items: DataFrame, width: int, literals: int) -> DataFrame:
+    items = items.withColumn("len", F.least("n", F.lit(width))).withColumn("codes", F.transform("words", lambda w: _code(w, w.rlike("[#~@]"))))
+    places = F.sequence(F.lit(1), F.col("n") - F.col("len") + 1)
+    windows = F.transform(places, lambda i: F.struct(_window(F.col("len"), i, literals).alias("h"), i.alias("pos")))
     return materialize(
-        items.select("item_id", "len", (F.col("n") - F.col("len") + 1).alias("windows"), "raw", "words", F.explode(_windows(F.col("len"))).alias("w")).select(
+        items.select("item_id", "len", (F.col("n") - F.col("len") + 1).alias("windows"), "raw", "words", F.explode(windows).alias("w")).select(
             "item_id", "len", "windows", F.col("w.h").alias("h"), F.col("w.pos").alias("ipos"),
             F.expr("slice(raw, w.pos, len)").alias("iraw"), F.expr("slice(words, w.pos, len)").alias("iwords"),
         ),
@@ -144,35 +170,54 @@ def _item_windows(benchmark: DataFrame, width: int, min_words: int) -> DataFrame
     )
 
 
+def _whole(texts: DataFrame, short: DataFrame, min_words: int, broadcast_rows: int) -> DataFrame:
+    """doc_id, item_id, cover, kind of the documents that are, as a whole, an item under ``min_words`` words."""
+    key = F.xxhash64(_bare(F.col("raw"))).alias("h")
+    here = texts.where((F.size("raw") < min_words) & (F.element_at("raw", 1) != "")).select("doc_id", key)
+    found = here.join(within(short.select("item_id", key), broadcast_rows), "h").select("doc_id", "item_id").distinct()
+    return found.select("doc_id", "item_id", F.lit(1.0).alias("cover"), F.lit("verbatim").alias("kind"))
+
+
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_words: int = 5, min_cover: float = 0.5, run_words: int = 13,
-    broadcast_windows: int = 200_000, broadcast_bytes: int = 64 << 20,
+    docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_words: int = 5, min_cover: float = 0.5, run_words: int = 13, literals: int = 3,
+    broadcast_windows: int = 200_000, broadcast_words: int = 200_000, broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """One row for each leaked item in a document: doc_id, item_id, cover, kind."""
-    items = _item_windows(benchmark, width, min_words)
-    lengths = [r["len"] for r in items.select("len").distinct().collect()]  # at most ``width`` values
+    items = _items(benchmark)
+    texts = worded(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))
+    short = items.where(F.col("n") < min_words)
+    found = _whole(texts, short, min_words, broadcast_windows) if short.limit(1).count() else None
+
+    items = _item_windows(items.where(F.col("n") >= min_words), width, literals)
+    lengths = sorted(r["len"] for r in items.select("len").distinct().collect())  # at most ``width`` values
+    if not lengths:
+        return found if found is not None else docs.select("doc_id").limit(0).crossJoin(benchmark.select("item_id").limit(0)).selectExpr("*", "0D AS cover", "'' AS kind")
     n_windows, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "iraw", "iwords"))), F.lit(0))).first()
 
-    texts = worded(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).withColumn("codes", _coded(_known(items)))
-    hit = None
-    for n in sorted(lengths):
-        own = items.where(F.col("len") == n)
-        here = texts.select("doc_id", "raw", F.explode(_windows(n, _begins(own, n, n_windows))).alias("w")).select("doc_id", "raw", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
-        words = F.slice("raw", F.col("pos"), n).alias("draw")
-        if n_windows <= broadcast_windows and n_bytes <= broadcast_bytes:
-            got = here.join(F.broadcast(own), "h").select("doc_id", "item_id", "windows", "pos", "ipos", "iraw", "iwords", words)
-        else:
-            got = here.select("doc_id", "h", "pos", words).join(own, "h").select("doc_id", "item_id", "windows", "pos", "ipos", "iraw", "iwords", "draw")
-        hit = got if hit is None else hit.unionByName(got)
-    if hit is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cover double, kind string")
-
-    bare = r"^[^\p{L}0-9]+|[^\p{L}0-9]+$"
+    # One pass over the texts serves the windows of all lengths.
+    texts = _coded(texts, items, broadcast_words, broadcast_bytes)
+    gram = min(GRAM, lengths[0])
+    begins = _begins(items, gram, n_windows)
+    places = F.when(F.size("codes") >= gram, F.filter(F.sequence(F.lit(1), F.size("codes") - (gram - 1)), begins)).otherwise(F.array().cast("array<int>"))
+    of = lambda n, at: F.transform(
+        F.filter(at, lambda i: i <= F.size("codes") - (n - 1)), lambda i: F.struct(_window(n, i, literals).alias("h"), i.alias("pos"), F.lit(n).alias("len"))
+    )
+    # One expression: a filter on a column of its own would be pushed below the codes and work them out at each place.
+    windows = F.flatten(F.transform(F.array(places), lambda at: F.concat(*[of(n, at) for n in lengths])))
+    here = texts.select("doc_id", "raw", F.explode(windows).alias("w"))
+    here = here.select("doc_id", "raw", "w.*")
+    small = n_windows <= broadcast_windows and n_bytes <= broadcast_bytes
+    draw = F.expr("slice(raw, pos, len)").alias("draw")
+    # A small side goes to the words as they are; words are cut out before they are shuffled.
+    met = here.join(F.broadcast(items), ["h", "len"]).withColumn("draw", draw) if small else here.select("doc_id", "h", "len", "pos", draw).join(items, ["h", "len"])
+    hit = met.select("doc_id", "item_id", "windows", "pos", "ipos", "iraw", "iwords", "draw")
+
+    hit = hit.withColumn("iraw", _bare(F.col("iraw"))).withColumn("draw", _bare(F.col("draw")))
     pair = F.transform(
         F.arrays_zip("iraw", "draw", "iwords"),
         lambda z, k: F.struct(
             (F.col("ipos") + k).alias("at"), (~F.contains(z["iwords"], F.lit("#"))).alias("fixed"), z["iwords"].rlike("[#~@]").alias("slot"),
-            F.lower(F.regexp_replace(z["iraw"], bare, "")).alias("i"), F.lower(F.regexp_replace(z["draw"], bare, "")).alias("d"),
+            z["iraw"].alias("i"), z["draw"].alias("d"),
         ),
     )
     aligned = (
@@ -192,7 +237,8 @@ def leaks(
         covered.alias("n"), F.min(F.when(F.size("good") > 0, F.size("own") == F.size("found"))).alias("same"), F.max(run).alias("run")
     )
     kind = F.when(F.col("cover") < min_cover, "partial").when(F.col("same"), "verbatim").otherwise("reparameterised")
-    return out.withColumn("cover", F.col("n") / F.col("windows")).where((F.col("cover") >= min_cover) | F.col("run")).select("doc_id", "item_id", "cover", kind.alias("kind"))
+    out = out.withColumn("cover", F.col("n") / F.col("windows")).where((F.col("cover") >= min_cover) | F.col("run")).select("doc_id", "item_id", "cover", kind.alias("kind"))
+    return out if found is None else out.unionByName(found)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -437,3 +437,54 @@ def test_embedding_recall(spark, tmp_path, max_cells):
     found = embeddings.near_duplicates(df, max_cells=max_cells, cell_rows=200).agg({"n_links": "sum"}).first()[0]
     print("recall", max_cells, found / links)
     assert 0.95 * links <= found <= links
+
+
+def test_decontamination_needs_literal_words(spark):
+    """Placeholders alone are no evidence; the same figures and names still are, and short items count as whole documents."""
+    sums = "What is 12 + 7 - 3 + 9 * 4 - 11 + 2 - 8 * 6 ?"
+    names = "Said Alice, Bob, Carol, Dave, Erin, Frank, Grace"
+    bench = spark.createDataFrame([(1, "1 2 3 4 5"), (2, sums), (3, names), (4, "Why not?"), (5, "So Anna, Bob, Carol, Dave met")], "item_id long, text string")
+    rows = [
+        (1, "Prices were 10 20 30 40 50 in the shop", "s"), (2, "9 8 7 6 5 4 3 2 1 0 11 12 13", "s"), (3, "Here: 1 2 3 4 5.", "s"), (4, "Asked: " + sums, "s"),
+        (5, "Seen Hans, Ines, Jan, Karl, Lena, Max, Nils", "s"), (6, "(" + names.lower() + ")", "s"), (7, "why NOT", "s"), (8, "why not ask", "s"), (9, "1 2 3 4 6", "s"),
+    ]
+    for options in ({}, {"broadcast_windows": 0, "broadcast_words": 0}):
+        got = {(x.doc_id, x.item_id): (x.kind, x.cover) for x in decontaminate.leaks(documents(spark, rows), bench, **options).collect()}
+        assert got == {k: ("verbatim", 1.0) for k in [(3, 1), (4, 2), (6, 3), (7, 4)]}
+    only = decontaminate.leaks(documents(spark, rows), bench.where("item_id = 4"))
+    assert [tuple(x) for x in only.collect()] == [(7, 4, 1.0, "verbatim")]
+
+
+def test_decontamination_against_windows_by_brute_force(spark):
+    """Covers of random texts over few words, every alignment tried; words are literal, numbers free."""
+    r = random.Random(5)
+    words = "red blue green old new tall small fast slow warm cold".split()
+    draw = lambda n: [r.choice(words) if r.random() < 0.8 else str(r.randint(1, 99)) for _ in range(n)]
+    items = {i: draw(r.randint(5, 30)) for i in range(12)}
+    rows = []
+    for d in range(60):
+        own = list(r.choice(list(items.values())))
+        own = [str(r.randint(1, 99)) if w.isdigit() and r.random() < 0.5 else w for w in own]
+        cut = r.randint(0, len(own) // 3)
+        rows.append((d, " ".join(draw(r.randint(0, 9)) + own[cut:] + draw(r.randint(0, 9))), "s"))
+    shape = lambda ws: ["#" if w.isdigit() else w for w in ws]
+    want = {}
+    for d, text, _ in rows:
+        ws = text.split()
+        for i, it in items.items():
+            n = min(8, len(it))
+            met, run = set(), 0
+            for a in range(len(it) - n + 1):
+                part = it[a : a + n]
+                enough = sum(not w.isdigit() for w in part) >= 3
+                if any((shape(ws[b : b + n]) == shape(part)) if enough else ws[b : b + n] == part for b in range(len(ws) - n + 1)):
+                    met.add(a)
+            for a in range(len(it) - 12):
+                run |= any(ws[b : b + 13] == it[a : a + 13] for b in range(len(ws) - 12))
+            cover = len(met) / (len(it) - n + 1)
+            if cover >= 0.5 or run:
+                want[d, i] = round(cover, 9)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    for options in ({}, {"broadcast_windows": 0, "broadcast_words": 0}):
+        got = {(x.doc_id, x.item_id): round(x.cover, 9) for x in decontaminate.leaks(documents(spark, rows), bench, **options).collect()}
+        assert got == want and len(got) > 30
