@@ -7,7 +7,9 @@ for the rest, by one more copy of some documents.  Those are found on the
 histogram of exact sizes: every size first gives its proportional part, and a
 bounded-knapsack dynamic programme over the counts still free closes the
 remaining gap.  Which documents of a size get the copy is decided by a seeded
-hash of the id: the threshold is the hash of the n-th smallest one.
+hash of id and text: the threshold is the hash of the n-th smallest one.  Equal
+rows share their hash; where the threshold falls among them, they are numbered
+by counts per partition, and so many are taken as are left to take.
 
 The histogram is pre-aggregated, a source's histogram has one row for each
 distinct size, and the threshold is searched in one of 4,096 hash buckets of a
@@ -16,8 +18,8 @@ size, so no group of documents has to fit into one task.
 Defined cases: a very long text is one size, and the programme of its source holds
 8 bytes for each word of at most twice the largest text; ties of the hash are cut
 by id; null, empty and blank texts have size 0 and never count; a null
-source is one source, the last; documents that repeat an id share its hash and
-are taken or left together, as are those without an id; an empty table gives an
+source is one source, the last; rows that repeat an id, or have none, count each
+by itself, and of equal ones any may be taken; an empty table gives an
 empty result; extra columns are ignored by ``plan`` and kept by ``mixed``.
 """
 
@@ -40,6 +42,10 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")
+
+
 def _key(source: Column) -> Column:
     """A source as a string that isn't null."""
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
@@ -130,8 +136,8 @@ def _fit_source(max_repeat: int, seed: int):
 
 def plan(docs: DataFrame, *, max_repeat: int = 3, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """The rows' sizes, and for each (source, size) what is taken of it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size(F.col("text")).alias("size"))
-    rows = materialize(rows.withColumn("skey", _key(F.col("source"))).withColumn("hash", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size(F.col("text")).alias("size"), _hash(seed).alias("hash"))
+    rows = materialize(rows.withColumn("skey", _key(F.col("source"))), "sizes")
     dealt = rows.groupBy("source", "skey", "size", F.pmod("hash", F.lit(BUCKETS)).alias("b")).count()
     dealt = materialize(dealt, "histogram")
     hist = dealt.groupBy("source", "skey", "size").agg(F.sum("count").alias("count"))
@@ -151,9 +157,11 @@ def plan(docs: DataFrame, *, max_repeat: int = 3, seed: int = 17) -> tuple[DataF
         .where((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("count") < F.col("extra")))
         .select("skey", "size", "b", (F.col("extra") - F.col("upto") + F.col("count")).alias("nth"))
     )
-    inside = rows.withColumn("b", F.pmod("hash", F.lit(BUCKETS))).join(cut, ["skey", "size", "b"])
-    nth = Window.partitionBy("skey", "size", "b").orderBy("hash", "doc_id")
-    last = inside.withColumn("k", F.row_number().over(nth)).where("k = nth").select("skey", "size", "b", F.col("hash").alias("h"), F.col("doc_id").alias("id"))
+    # Equal rows are counted first: a bucket holds one row for each different document.
+    same = rows.withColumn("b", F.pmod("hash", F.lit(BUCKETS))).join(cut, ["skey", "size", "b"]).groupBy("skey", "size", "b", "nth", "hash", "doc_id").agg(F.count("*").alias("equal"))
+    upto = Window.partitionBy("skey", "size", "b").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    same = same.withColumn("upto", F.sum("equal").over(upto)).where((F.col("upto") >= F.col("nth")) & (F.col("upto") - F.col("equal") < F.col("nth")))
+    last = same.select("skey", "size", "b", F.col("hash").alias("h"), F.col("doc_id").alias("id"), "equal", (F.col("nth") - F.col("upto") + F.col("equal")).alias("keep"))
     return rows, materialize(fitted.join(last, ["skey", "size"], "left"), "thresholds")
 
 
@@ -161,9 +169,24 @@ def _copies(rows: DataFrame, taken: DataFrame) -> DataFrame:
     """``rows`` (with skey, size, hash, doc_id) with the number of copies to take."""
     side = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
     bucket = F.pmod("hash", F.lit(BUCKETS))
-    within = (bucket < F.col("b")) | ((bucket == F.col("b")) & (F.struct("hash", "doc_id") <= F.struct("h", "id")))
-    extra = F.when(F.col("extra") == 0, 0).when(F.col("extra") == F.col("count"), 1).otherwise(F.coalesce(within, F.lit(False)).cast("int"))
-    return rows.join(side, ["skey", "size"]).withColumn("copies", F.col("passes") + F.when(F.col("size") == 0, 0).otherwise(extra))
+    below = (bucket < F.col("b")) | ((bucket == F.col("b")) & ((F.col("hash") < F.col("h")) | ((F.col("hash") == F.col("h")) & (F.struct("doc_id") < F.struct("id")))))
+    at = (F.col("hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    part = (F.col("extra") > 0) & (F.col("extra") < F.col("count"))
+    extra = F.when(F.col("extra") == 0, 0).when(~part, 1).otherwise(F.coalesce(below | (at & (F.col("keep") == F.col("equal"))), F.lit(False)).cast("int"))
+    met = rows.join(side, ["skey", "size"])
+    out = met.withColumn("copies", F.col("passes") + F.when(F.col("size") == 0, 0).otherwise(extra))
+    if not taken.where("size > 0 AND keep < equal").limit(1).count():
+        return out
+    # Rows equal to one another of which only some are taken: numbered inside each partition, from the counts of those before it.
+    split = F.coalesce(part & at & (F.col("size") > 0) & (F.col("keep") < F.col("equal")), F.lit(False))
+    group = ["skey", "size"]
+    tied = materialize(met.where(split).withColumn("at", F.monotonically_increasing_id()), "tied").withColumn("part", F.shiftright("at", 33))
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = tied.groupBy(*group, "part").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select(*group, "part", "base")
+    no = F.row_number().over(Window.partitionBy(*group, "part").orderBy("at"))
+    tied = tied.withColumn("no", no).join(base, [*group, "part"])
+    tied = tied.withColumn("copies", F.col("passes") + (F.col("base") + F.col("no") <= F.col("keep")).cast("int"))
+    return out.where(~split).unionByName(tied.select(*out.columns))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -177,6 +200,6 @@ def mixed(docs: DataFrame, *, seed: int = 17, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     _, taken = plan(docs, seed=seed, **options)
     own = F.struct(*docs.columns).alias("_row")
-    rows = docs.select(own, F.col("doc_id").cast("long").alias("doc_id"), _size(F.col("text")).alias("size"), _key(F.col("source")).alias("skey"))
-    rows = _copies(rows.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id")), taken).where("copies > 0")
+    rows = docs.select(own, F.col("doc_id").cast("long").alias("doc_id"), _size(F.col("text")).alias("size"), _key(F.col("source")).alias("skey"), _hash(seed).alias("hash"))
+    rows = _copies(rows, taken).where("copies > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
