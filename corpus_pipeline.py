@@ -10,12 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import decontaminate, minhash, mixing, token_files, toxicity
-from pagemill.llm.common import materialize, new_folder, table
+from pagemill.llm.common import bounded_batches, materialize, new_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
-    return toxicity.filter_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    """Documents that the toxicity model rejects go; written here, for the bound on what a Python worker gets holds while writing."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    with bounded_batches(spark):
+        return materialize(toxicity.filter_toxic(docs, model), "clean")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

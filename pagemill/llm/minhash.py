@@ -52,6 +52,8 @@ from pagemill.llm.common import bounded_batches, connected_components, materiali
 U = np.uint64
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _FULL = U(0xFFFFFFFFFFFFFFFF)
+#: Bytes of text whose shingles are made at once.
+SLICE = 1 << 20
 #: Members of a bucket, and shingles, that meet another as many in one task.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Representatives whose (id, digest) are sent to every task; more are shuffled.
@@ -140,7 +142,7 @@ def _signatures(width: int, bands: int, rows: int):
 
     def run(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SLICE):
                 flat, offsets = shingles(part.column("text"), width)
                 n = np.diff(offsets)
                 some = n > 0
@@ -170,7 +172,7 @@ def _signatures(width: int, bands: int, rows: int):
 def _sets(width: int):
     def run(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column("rep"), _lists(*shingles(part.column("text"), width))], names=["rep", "s"])
 
     return run

@@ -32,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import slices
+from pagemill.llm.common import bounded_batches, slices
 from pagemill.llm.tokens import shared
 
 #: Sequences in a record batch.
 BATCH = 64
+#: Bytes of text encoded at once, and pieces that a worker remembers: a worker takes some 150 MB, for an executor runs several beside its heap.
+SLICE, MEMO = 1 << 20, 80_000
 MANIFEST = "shard int, file string, n_docs long, n_tokens long, n_sequences long"
 _MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())])
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -101,8 +103,8 @@ def _writer(folder: str, tokenizer: str, end_id: int, length: int):
         task, shard = TaskContext.get(), None
         file = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
         for b in batches:
-            for part in slices(b, "text"):
-                encoder = shared(tokenizer)
+            for part in slices(b, "text", SLICE):
+                encoder = shared(tokenizer, MEMO)
                 shard = shard or _Shard(folder, file, encoder.dtype, length)
                 ids, offsets = encoder.ids(part.column("text"))
                 shard.add(part.column("doc_id"), _ended(ids, offsets, end_id), np.diff(offsets) + 1)
@@ -118,7 +120,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 1, leng
     """Write the shards and their manifest under ``folder``; returns the manifest."""
     order = ["doc_id", F.xxhash64("text"), "text"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    rows.mapInArrow(_writer(f"{folder}/shards", tokenizer, end_id, length), MANIFEST).write.parquet(f"{folder}/manifest")
+    with bounded_batches(docs.sparkSession):
+        rows.mapInArrow(_writer(f"{folder}/shards", tokenizer, end_id, length), MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 

@@ -208,6 +208,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def shared(path: str) -> Encoder:
+def shared(path: str, memo: int = 700_000) -> Encoder:
     """This process's encoder of a file, with what it has learnt so far."""
-    return Encoder(path)
+    return Encoder(path, memo)

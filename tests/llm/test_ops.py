@@ -5,11 +5,13 @@ import itertools
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
@@ -222,6 +224,33 @@ def test_token_files_round_trip(spark):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_token_writer_takes_bounded_pieces(spark, monkeypatch):
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), common.new_folder(spark, "t")
+
+    def sizes(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"shard": [0], "file": [""], "n_docs": [b.num_rows], "n_tokens": [b.nbytes], "n_sequences": [0]}, schema=token_files._MANIFEST)
+
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(token_files, "_writer", sizes)
+        docs = spark.range(16000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 1000).alias("text"))
+        sent = token_files.write(docs, folder, path).collect()  # 48 MB
+    assert sum(x.n_docs for x in sent) == 16000 and max(x.n_tokens for x in sent) <= 1.1 * common.BATCH
+
+    encoder, seen = Encoder(path), []
+    plain = encoder.ids
+    encoder.ids = lambda texts: seen.append(texts.nbytes) or plain(texts)
+    monkeypatch.setattr(token_files, "shared", lambda _, memo: seen.append(memo) or encoder)
+    monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["ab " * 1000] * 1000})
+    row = next(token_files._writer(f"{folder}/one", path, 1, 64)([batch]))
+    assert row.column("n_docs").to_pylist() == [1000] and row.column("n_tokens").to_pylist() == [1001 * 1000]
+    assert max(seen) <= 1.1 * (1 << 20)  # bytes of text, and pieces remembered
+
+
 def test_token_cache(spark):
     path, cache = public_tokenizers.path("byte_bpe_50k.json"), common.new_folder(spark, "c")
     rows = sample()
