@@ -38,6 +38,7 @@ from pagemill.llm.common import SPACE, materialize
 
 OFFSETS = (-2, -1, 1, 2)
 REACH = 2
+_AROUND = np.array(OFFSETS)
 #: Rows of parameters in a block, and tasks averaged together first.
 BLOCK, FANIN = 4096, 64
 
@@ -92,38 +93,52 @@ def frequency_classes(counts: np.ndarray, classes: int) -> tuple[np.ndarray, np.
     return of, np.log(c) - np.log(np.bincount(of, c, classes))[of]
 
 
-def _forward(p: dict, flat: np.ndarray, at: np.ndarray):
-    x = p["E"][flat[at[:, None] + np.array(OFFSETS)]].reshape(len(at), -1)
-    h = np.tanh(x @ p["W"] + p["b1"])
-    z = h @ p["U"] + p["b2"]
+def _forward(p: dict, around: np.ndarray):
+    """Inputs, hidden layer and class scores, from the ids around each position."""
+    x = p["E"].take(around, axis=0).reshape(len(around), -1)
+    h = x @ p["W"]
+    h += p["b1"]
+    np.tanh(h, out=h)
+    z = h @ p["U"]
+    z += p["b2"]
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return x, h, z
 
 
-def log_probs(p: dict, of: np.ndarray, inside: np.ndarray, flat: np.ndarray, at: np.ndarray, chunk: int = 8192) -> np.ndarray:
-    """The log-probability of the token at each position, given its neighbours."""
+def log_probs(p: dict, of: np.ndarray, inside: np.ndarray, flat: np.ndarray, at: np.ndarray, chunk: int = 1024) -> np.ndarray:
+    """The log-probability of the token at each position, given its neighbours; a chunk's scores fit a core's cache."""
     out = np.empty(len(at))
     for k in range(0, len(at), chunk):
         here = at[k : k + chunk]
         token = flat[here]
-        out[k : k + chunk] = _forward(p, flat, here)[2][np.arange(len(here)), of[token]] + inside[token]
+        z = _forward(p, flat[here[:, None] + _AROUND])[2]
+        own = z[np.arange(len(here)), of[token]] + inside[token]
+        out[k : k + chunk] = own - np.log(np.exp(z, out=z).sum(axis=1))
     return out
 
 
+def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and the sum of each one's rows."""
+    # Two bytes are sorted by radix.
+    order = np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
+    return ids[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 def train_on(p: dict, seen: dict, of: np.ndarray, flat: np.ndarray, at: np.ndarray, rate: float = 0.1, batch: int = 2048) -> None:
     """Adagrad steps over the positions, in place."""
     for k in range(0, len(at), batch):
         here = at[k : k + batch]
-        x, h, z = _forward(p, flat, here)
-        dz = np.exp(z)
-        dz[np.arange(len(here)), of[flat[here]]] -= 1
-        dz /= len(here)
+        around = flat[here[:, None] + _AROUND]
+        x, h, z = _forward(p, around)
+        dz = np.exp(z, out=z)
+        dz /= dz.sum(axis=1, keepdims=True) * len(here)
+        dz[np.arange(len(here)), of[flat[here]]] -= np.float32(1 / len(here))
         dh = (dz @ p["U"].T) * (1 - h * h)
         grads = {"U": h.T @ dz, "b2": dz.sum(0, keepdims=True), "W": x.T @ dh, "b1": dh.sum(0, keepdims=True)}
         dx = (dh @ p["W"].T).reshape(-1, p["E"].shape[1])
-        rows, back = np.unique(flat[here[:, None] + np.array(OFFSETS)], return_inverse=True)
-        de = np.stack([np.bincount(back.ravel(), c, len(rows)) for c in dx.T], axis=1).astype(np.float32)
+        rows, de = _summed(around.ravel(), dx)
         for name, g in grads.items():
             seen[name] += g * g
             p[name] -= rate * g / np.sqrt(seen[name] + 1e-8)

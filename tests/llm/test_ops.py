@@ -554,3 +554,29 @@ def test_fit_is_the_best_subset_sum():
         best = max(p * total + sum(int(s) * k for s, k in zip(sizes, ks)) for p in range(3) for ks in itertools.product(*[range(c + 1) for c in counts]) if p * total + sum(int(s) * k for s, k in zip(sizes, ks)) <= budget)
         got = passes * total + int((extra * sizes).sum())
         assert got <= budget and best - got <= sizes.max()
+
+
+@pytest.mark.parametrize("high", [300, 1 << 15, 1 << 17])
+def test_lm_step_is_the_plain_gradient(high):
+    """Rows of one id are summed, and a step is the one that a plain version takes."""
+    r = np.random.default_rng(high)
+    ids, rows = r.integers(0, high, 2000), r.standard_normal((2000, 4)).astype(np.float32)
+    got, sums = lmscore._summed(ids, rows)
+    want = np.zeros((high, 4))
+    np.add.at(want, ids, rows)
+    assert got.tolist() == sorted(set(ids.tolist())) and np.allclose(sums, want[got], atol=1e-4)
+
+    shape = lmscore.Shape(buckets=high, width=4, hidden=6, classes=8)
+    of, inside = lmscore.frequency_classes(np.bincount(ids, minlength=high), shape.classes)
+    flat, at, _ = lmscore.padded(pa.array([ids[:700].tolist(), [], ids[700:].tolist()], pa.list_(pa.int32())), high)
+    p = lmscore.new_params(shape)
+    x = p["E"][flat[at[:, None] + np.array(lmscore.OFFSETS)]].reshape(len(at), -1).astype(float)
+    h = np.tanh(x @ p["W"] + p["b1"])
+    z = h @ p["U"] + p["b2"]
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    assert np.allclose(lmscore.log_probs(p, of, inside, flat, at), z[np.arange(len(at)), of[flat[at]]] + inside[flat[at]], atol=1e-4)
+    dz = (np.exp(z) - np.eye(shape.classes)[of[flat[at]]]) / len(at)
+    step = {k: v.copy() for k, v in p.items()}
+    lmscore.train_on(step, {k: np.zeros_like(v if k != "E" else v[:, :1]) for k, v in p.items()}, of, flat, at, batch=len(at))
+    g = h.T @ dz
+    assert np.allclose(step["U"], p["U"] - 0.1 * g / np.sqrt(g * g + 1e-8), atol=1e-3)
