@@ -79,7 +79,8 @@ def word_at(text: Column, offset: Column) -> Column:
     at = F.greatest(F.lit(0), F.least(offset, F.length(text)))
     inside = F.substr(text, at + 1, F.lit(1)).rlike(word)
     at = F.when(~inside & F.substr(text, at, F.lit(1)).rlike(word) & (at > 0), at - 1).otherwise(at)
-    left = F.regexp_extract(F.substr(text, F.lit(1), at), rf"({word}*)$", 1)
+    # Read backwards: "$" would match before a line's end, too, and is tried behind every word.
+    left = F.reverse(F.regexp_extract(F.reverse(F.substr(text, F.lit(1), at)), rf"^({word}*)", 1))
     right = F.regexp_extract(F.substr(text, at + 1, F.length(text)), rf"^({word}*)", 1)
     found = F.regexp_replace(F.concat(left, right), r"^['’-]+|['’-]+$", "")
     return F.when((right != "") & (found != ""), found)

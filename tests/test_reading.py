@@ -96,6 +96,12 @@ def test_word_at(spark):
     assert [r[0] for r in rows.select(search.word_at(F.col("t"), F.col("k"))).collect()] == ["don't", "Hello", None, "well-known", "x"]
 
 
+def test_word_at_a_line_start(spark):
+    """A word behind a line's end begins there."""
+    rows = spark.createDataFrame([(t,) for t in ("of\nAnreti de", "of\r\nAnreti", "of\u2028Anreti", "of Anreti", "ofAnreti")], "t string").select("t", F.instr("t", "A").alias("k"))
+    assert [r[0] for r in rows.select(search.word_at(F.col("t"), F.col("k") - 1)).collect()] == ["Anreti"] * 4 + ["ofAnreti"]
+
+
 def ranks(spark):
     words = "the of and to in a i is it for you was on he as with they that have if this not are at by fool commit anyone do judgment attention parliament little title from home way".split()
     return spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, rank int")
