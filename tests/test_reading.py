@@ -4,6 +4,7 @@ import io
 import math
 import os
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -196,6 +197,24 @@ def test_letter_spacing(spark):
     assert bare == ["H A R BO UR", "T H E SH I P came in", "in 1904, they came", "I am a man", "ship. THE light", "xqzw", "x qq z w", "plain", "42", "one 7 light"]
 
 
+def test_letter_spacing_stays_in_its_line(spark):
+    """No token travels, and runs are cut as ``segment_words`` cuts them."""
+    ranks = listed(spark, "the a i an he then hen on one no note to tone stone is this his hi at that hat cat catch ch")
+    r = random.Random(8)
+    words = sorted({"".join(r.choice(["the", "one", "stone", "note", "cat", "ch", "q", "This"]) for _ in range(r.randint(1, 5))) for _ in range(80)})
+    cut = {x.word: x.cut for x in repair.segment_words(spark.createDataFrame([(w,) for w in words], "word string"), ranks).collect()}
+    rows = spark.createDataFrame([(1, i, f"Behold  {' '.join(w)}, I see") for i, w in enumerate(words)], "doc_id long, line_no int, text string")
+    fixed = repair.collapse_letter_spacing(rows, ranks)
+    assert "Exchange" not in fixed._jdf.queryExecution().executedPlan().toString()
+    got = {words[x.line_no]: x.repaired for x in fixed.collect()}
+    few = lambda w: sum(c not in "aAI" for c in w) < 2 or len(w) < 3
+    assert got == {w: f"Behold  {' '.join(w) if few(w) else cut[w] or w}, I see" for w in words} and sum(v is not None for v in cut.values()) > 20
+
+
+def test_trim_reads_the_ends_only():
+    assert all(re.fullmatch(r"[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", c) for c in T.BLANKS) and len(T.BLANKS) == len(set(T.BLANKS)) == 25
+
+
 def test_glued_and_broken(spark):
     known = listed(spark, "the of a to if you not are bell tower carpet car pet her stone")
     words = spark.createDataFrame([(x,) for x in ("thebell", "Ifyou", "Thetower", "qqq")], "word string")
