@@ -215,6 +215,19 @@ def test_trim_reads_the_ends_only():
     assert all(re.fullmatch(r"[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", c) for c in T.BLANKS) and len(T.BLANKS) == len(set(T.BLANKS)) == 25
 
 
+def test_text_quality_reads_a_text_once(spark):
+    """Words between white space of all kinds, marks at their edges only; one shuffle, of counts."""
+    known = listed(spark, "the cat sat")
+    texts = ["(the) CAT\u00a0sat\u3000zzz don't \u200athe2 --the-- ((((", None, "", "a b c dd", "a b c dd\nt, h: e. xyz\n\u2003a\u2003b c", "#### ab #"]
+    rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    quality = dictionary.text_quality(rows, known, keep=("source",))
+    assert quality._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.doc_id: (r.words, round(r.unknown_ratio, 3), r.letter_spaced, round(r.junk_ratio, 3), r.source) for r in quality.collect()}
+    whole = "".join(texts[0].split(" "))
+    assert got[0] == (6, 0.167, 0, round((whole.count("\u00a0") + whole.count("\u3000") + whole.count("\u200a")) / len(whole), 3), "s")
+    assert got[1] == got[2] == (0, 0.0, 0, 0.0, "s") and got[3][:3] == (0, 0.0, 1) and got[4][:3] == (1, 1.0, 3) and got[5] == (0, 0.0, 0, round(5 / 7, 3), "s")
+
+
 def test_glued_and_broken(spark):
     known = listed(spark, "the of a to if you not are bell tower carpet car pet her stone")
     words = spark.createDataFrame([(x,) for x in ("thebell", "Ifyou", "Thetower", "qqq")], "word string")
