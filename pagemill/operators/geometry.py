@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,44 +12,92 @@ from pagemill.functions import textsem as T
 from pagemill.operators.places import first_after
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The bounds of each list among the values of all, and these; a null list is empty."""
+    sizes = np.zeros(len(lists) + 1, np.int64)
+    sizes[1:] = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return sizes.cumsum(), lists.flatten()
+
+
+def _lists(bounds: np.ndarray, values: pa.Array, missing: pa.Array | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values, mask=missing if missing is not None and missing.true_count else None)
+
+
+def _cut_at_baselines(pages: pa.Array) -> pa.Array:
+    """Pages of fragments, by their base, cut into lines: a walk that keeps a line's first baseline and largest size."""
+    bounds, fs = _flat(pages)
+    bases, sizes = (fs.field(fs.type.get_field_index(n)).to_pylist() for n in ("base", "size"))
+    starts, lines = [], [0]
+    for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        base = None
+        for i in range(at, end):
+            if base is None or abs(bases[i] - base) >= 0.45 * max(size, sizes[i]):
+                starts.append(i)
+                base, size = bases[i], sizes[i]
+            elif sizes[i] > size:
+                size = sizes[i]
+        lines.append(len(starts))
+    return _lists(np.array(lines), _lists(np.array([*starts, len(fs)]), fs))
+
+
+def sums_before(values: Column) -> Column:
+    """An array of arrays of whole numbers: the running sums of each, every one without its own value."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        outer, inner = _flat(lists)
+        bounds, v = _flat(inner)
+        v = v.to_numpy(zero_copy_only=False).astype(np.int64)
+        before = v.cumsum() - v
+        sizes = np.diff(bounds)
+        first = np.repeat(before[bounds[:-1][sizes > 0]], sizes[sizes > 0])
+        return _lists(outer, _lists(bounds, pa.array(before - first)), lists.is_null())
+
+    return F.arrow_udf(run, "array<array<bigint>>")(values)
+
+
 def assemble_lines(fragments: DataFrame) -> DataFrame:
     """book, page, line_no, text, x, y, w, size from positioned fragments.
 
     ``fragments`` has book, page, seq, str, transform (six numbers), width and
-    page_height.  A fragment joins the line whose *first* baseline is within
-    0.45 of the larger size, so drifting baselines don't chain; the fold over a
-    page's fragments keeps that first baseline.
+    page_height; they are gathered by page, see ``assemble_pages``.
     """
-    t = F.col("transform")
-    size = T.or_default(F.hypot(t[2], t[3]), T.or_default(F.hypot(t[0], t[1]), 10.0))
-    rows = fragments.where(T.trim(F.col("str")) != "").select(
-        "book", "page", F.struct((F.col("page_height") - t[5]).alias("base"), t[4].alias("x"), "seq", size.alias("size"), F.col("str").alias("s"), "width").alias("f")
-    )
-    per = rows.groupBy("book", "page").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    state = "struct<n:int,base:double,size:double,out:array<int>>"
-    start = F.struct(F.lit(-1).alias("n"), F.lit(0.0).alias("base"), F.lit(0.0).alias("size"), F.array().cast("array<int>").alias("out")).cast(state)
-
-    def step(a, f):
-        new = (a["n"] < 0) | (F.abs(f["base"] - a["base"]) >= 0.45 * F.greatest(a["size"], f["size"]))
-        n = a["n"] + new.cast("int")
-        return F.struct(
-            n.alias("n"), F.when(new, f["base"]).otherwise(a["base"]).alias("base"), F.when(new, f["size"]).otherwise(F.greatest(a["size"], f["size"])).alias("size"),
-            F.concat(a["out"], F.array(n)).alias("out"),
-        ).cast(state)
-
-    per = per.withColumn("line", F.aggregate("fs", start, step)["out"])
-    flat = per.select("book", "page", F.explode(F.arrays_zip("fs", "line")).alias("z")).select("book", "page", F.col("z.line").alias("line_no"), "z.fs.*")
-    order = Window.partitionBy("book", "page", "line_no").orderBy("x", "seq")
-    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(order)
-    apart = (gap > 0.12 * F.col("size")) & ~F.lag("s").over(order).rlike(r"\s$") & ~F.col("s").rlike(r"^\s")
-    flat = flat.withColumn("k", F.row_number().over(order)).withColumn("piece", F.concat(F.when(apart, " ").otherwise(""), F.col("s")))
-    weight = F.greatest(F.length("s"), F.lit(1))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda p: p["piece"]), "")
-    out = flat.groupBy("book", "page", "line_no").agg(
-        text.alias("text"), F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("end"), F.avg("base").alias("base"),
-        (F.sum(F.col("size") * weight) / F.sum(weight)).alias("size"),
+    each = F.struct("seq", "str", "transform", "width", "page_height")
+    return assemble_pages(fragments.groupBy("book", "page").agg(F.collect_list(each).alias("fragments")))
+
+
+def assemble_pages(pages: DataFrame) -> DataFrame:
+    """book, page, line_no, text, x, y, w, size from pages (book, page) with an array of fragments each, as ``assemble_lines`` has them.
+
+    A fragment joins the line whose *first* baseline is within 0.45 of the
+    larger size, so drifting baselines don't chain; the fold over a page's
+    fragments keeps that first baseline.  All within a row, so nothing is shuffled.
+    """
+
+    def placed(f: Column) -> Column:
+        t = f["transform"]
+        size = T.or_default(F.hypot(t[2], t[3]), T.or_default(F.hypot(t[0], t[1]), 10.0))
+        return F.struct((f["page_height"] - t[5]).alias("base"), t[4].alias("x"), f["seq"].alias("seq"), size.alias("size"), f["str"].alias("s"), f["width"].alias("width"))
+
+    some = F.filter("fragments", lambda f: T.trim(f["str"]) != "")
+    per = pages.select("book", "page", F.sort_array(F.transform(some, placed)).alias("fs"))
+    one = per.schema["fs"].dataType.simpleString()
+    lines = F.arrow_udf(_cut_at_baselines, f"array<{one}>")("fs")
+    flat = per.select("book", "page", F.posexplode(lines).alias("line_no", "fs"))
+    along = F.transform("fs", lambda f: F.struct(f["x"].alias("x"), f["seq"].alias("seq"), f["width"].alias("width"), f["base"].alias("base"), f["size"].alias("size"), f["s"].alias("s")))
+    flat = flat.select("book", "page", "line_no", F.sort_array(along).alias("fs"))
+
+    def piece(f: Column, i: Column) -> Column:
+        last = F.get("fs", i - 1)
+        apart = (f["x"] - (last["x"] + last["width"]) > 0.12 * f["size"]) & ~last["s"].rlike(r"\s$") & ~f["s"].rlike(r"^\s")
+        return F.concat(F.when(apart, " ").otherwise(""), f["s"])
+
+    total = lambda of: F.aggregate("fs", F.lit(0.0), lambda a, f: a + of(f))
+    weight = lambda f: F.greatest(F.length(f["s"]), F.lit(1))
+    out = flat.select(
+        "book", "page", "line_no", F.array_join(F.transform("fs", piece), "").alias("text"), F.get("fs", F.lit(0))["x"].alias("x"), F.array_max(F.transform("fs", lambda f: f["x"] + f["width"])).alias("end"),
+        (total(lambda f: f["base"]) / F.size("fs")).alias("base"), (total(lambda f: f["size"] * weight(f)) / total(weight)).alias("size"),
     )
-    text = T.trim(F.regexp_replace("text", T.WS + "+", " "))
+    text = T.trim(F.regexp_replace("text", T.SPACE + "+", " "))
     return out.select("book", "page", "line_no", text.alias("text"), "x", (F.col("base") - 0.8 * F.col("size")).alias("y"), (F.col("end") - F.col("x")).alias("w"), "size")
 
 

@@ -215,6 +215,22 @@ def test_trim_reads_the_ends_only():
     assert all(re.fullmatch(r"[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", c) for c in T.BLANKS) and len(T.BLANKS) == len(set(T.BLANKS)) == 25
 
 
+def test_pages_of_fragments_stay_in_their_rows(spark):
+    """Lines longer than a stretch, drifting baselines, and no shuffle."""
+    r = random.Random(4)
+    said = [(base + r.uniform(-2, 2), [f"w{k}" for k in range(n)]) for base, n in ((100.0, 300), (120.0, 1), (140.0, 128), (160.0, 257))]
+    each = [(n * 1000 + k, w, [11.0, 0.0, 0.0, 11.0, 10.0 * k, 500.0 - base + r.uniform(-1, 1)], 4.0, 500.0) for n, (base, words) in enumerate(said) for k, w in enumerate(words)]
+    r.shuffle(each)
+    kind = "array<struct<seq:long,str:string,transform:array<double>,width:double,page_height:double>>"
+    pages = spark.createDataFrame([(1, 1, each), (1, 2, []), (1, 3, None)], f"book int, page int, fragments {kind}")
+    lines = geometry.assemble_pages(pages)
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert [(x.page, x.line_no, x.text) for x in lines.orderBy("page", "line_no").collect()] == [(1, n, " ".join(words)) for n, (_, words) in enumerate(said)]
+    rows = [[list(range(1, 400)), [], [5]], [], None, [[7, 1]]]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v array<array<int>>").select("i", geometry.sums_before(F.col("v")).alias("s")).orderBy("i").collect()
+    assert [x.s for x in got] == [v and [[sum(w[:k]) for k in range(len(w))] for w in v] for v in rows]
+
+
 def test_text_quality_reads_a_text_once(spark):
     """Words between white space of all kinds, marks at their edges only; one shuffle, of counts."""
     known = listed(spark, "the cat sat")
