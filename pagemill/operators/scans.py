@@ -48,14 +48,19 @@ def has_text_layer(ops: Column, width: Column, height: Column) -> Column:
 
 def _share(s: Column) -> Column:
     """Letters and digits among what isn't white space."""
-    bare = F.regexp_replace(s, T.WS, "")
-    return F.when(F.length(bare) > 0, F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]", "")) / F.length(bare)).otherwise(0.0)
+    bare = F.regexp_replace(s, T.SPACE + "++", "")
+    return F.when(F.length(bare) > 0, F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]++", "")) / F.length(bare)).otherwise(0.0)
 
 
 def _median(values: Column) -> Column:
     return F.coalesce(T.at_rank(F.sort_array(values), 0.5), F.lit(0.0))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column worked out once a row: a filter behind it would else be moved before it and repeat it at every use, even for each word."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 #: Confidences up to which a token is repaired alike, and one of each kind.
 CLASSES = ((75, 60), (80, 77), (90, 85), (1000, 95))
 
@@ -74,42 +79,51 @@ def _repaired(words: DataFrame, ranks: DataFrame) -> DataFrame:
 def recognised_lines(trees: DataFrame, ranks: DataFrame | None = None, min_conf: float = 55.0) -> DataFrame:
     """book, page, line_no, text, x, y, w, size: the lines of recognition trees that are worth keeping, in points.
 
-    ``trees`` has book, page, scale (pixels a point) and blocks of paragraphs of
+    ``trees`` has, a row a page, book, page, scale (pixels a point) and blocks of paragraphs of
     lines (text, confidence, bbox and words of the same).  Words under 25 percent
     stay only if mostly letters and digits.  A line whose words are 1.3 times as
     high as the page's is a heading and keeps its sure words, or goes if these
     are under half.  Another line needs ``min_conf``, or 35 if it is long and
     clean.  With a word list tokens are mended, and lines of few known words go.
     """
-    rows = trees.select("book", "page", "scale", F.posexplode("blocks").alias("b", "v")).select("book", "page", "scale", "b", F.posexplode("v.paragraphs").alias("p", "v"))
-    rows = rows.select("book", "page", "scale", "b", "p", F.posexplode("v.lines").alias("l", "v"))
-    rows = rows.select("book", "page", "scale", F.struct("b", "p", "l").alias("id"), "v.text", "v.confidence", "v.bbox", F.coalesce("v.words", F.array().cast(_words_type(trees))).alias("words"))
     high = lambda b: b["y1"] - b["y0"]
-    h = F.when(F.size("words") > 0, _median(F.transform("words", lambda w: high(w["bbox"])))).otherwise(high(F.col("bbox")))
-    rows = rows.withColumn("h", h)
-    pages = rows.where("h > 0").groupBy("book", "page").agg(_median(F.collect_list("h")).alias("page_h"))
+    full = lambda a: F.flatten(F.filter(a, lambda v: v.isNotNull()))
+
+    def line_of(v: Column, b: Column, p: Column, l: Column) -> Column:  # noqa: E741
+        words = F.coalesce(v["words"], F.array().cast(_words_type(trees)))
+        h = F.when(F.size(words) > 0, _median(F.transform(words, lambda w: high(w["bbox"])))).otherwise(high(v["bbox"]))
+        return F.struct(F.struct(b.alias("b"), p.alias("p"), l.alias("l")).alias("id"), v["text"].alias("text"), v["confidence"].alias("confidence"), v["bbox"].alias("bbox"), words.alias("words"), h.alias("h"))
+
+    # A page is a row: its lines and the height of their words are taken inside it.
+    of_paragraph = lambda v, b, p: F.transform(v["lines"], lambda x, i: line_of(x, b, p, i))
+    every = full(F.transform("blocks", lambda v, b: full(F.transform(v["paragraphs"], lambda x, p: of_paragraph(x, b, p)))))
+    pages = trees.select("book", "page", "scale", every.alias("v"))
+    page_h = _median(F.filter(F.transform("v", lambda v: v["h"]), lambda h: h > 0))
+    heights = F.when(F.exists("v", lambda v: v["h"] > 0), page_h)
+    rows = pages.select("book", "page", "scale", heights.alias("page_h"), "v").select("book", "page", "scale", "page_h", F.explode_outer("v").alias("v")).where("v IS NOT NULL").select("book", "page", "scale", "page_h", "v.*")
     sound = lambda w: ((w["confidence"] >= 25) | (_share(w["text"]) > 0.6)) & ~(w["text"].rlike(T.STRAY_MARK) & (w["text"] != "..."))
-    rows = rows.join(pages, ["book", "page"], "left").withColumn("words", F.filter("words", lambda w: (T.trim(w["text"]) != "") & sound(w)))
+    rows = _once(rows, "words", F.filter("words", lambda w: (T.trim(w["text"]) != "") & sound(w)))
     title = F.coalesce((F.col("page_h") > 0) & (F.col("h") >= 1.3 * F.col("page_h")) & F.size("words").between(1, 12), F.lit(False))
     low = (F.col("confidence") < min_conf) & ~((F.col("confidence") >= 35) & (_share(F.col("text")) > 0.9) & (F.length("text") > 20))
     rows = rows.withColumn("title", title).where(F.col("title") | ~low)
 
-    core = F.regexp_replace("text", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     keys = ["book", "page", "id"]
-    words = rows.select(*keys, "title", F.size("words").alias("of"), F.posexplode("words").alias("k", "w")).select(*keys, "title", "of", "k", "w.text", "w.confidence").withColumn("core", core)
+    bare = lambda text: F.regexp_replace(text, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    sure_of = lambda conf, core, known: (conf >= 70) & (core != "") & (core.rlike(r"^[\p{N}IVXLCivxlc.:,)(-]+$") | known)
     if ranks is None:
-        sure = F.col("confidence") >= 80
+        kept = F.filter("words", lambda w: ~F.col("title") | sure_of(w["confidence"], bare(w["text"]), w["confidence"] >= 80))
+        rows = _once(rows, "_kept", kept).where(~F.col("title") | (F.size("_kept") / F.size("words") >= 0.5))
+        rows = rows.withColumn("said", F.when(F.size("_kept") > 0, F.array_join(F.transform("_kept", lambda w: w["text"]), " ")))
     else:
+        words = rows.select(*keys, "title", F.size("words").alias("of"), F.posexplode("words").alias("k", "w")).select(*keys, "title", "of", "k", "w.text", "w.confidence").withColumn("core", bare(F.col("text")))
         listed = F.broadcast(ranks.select(F.col("word").alias("low"), F.lit(True).alias("listed")))  # a fixed upper size
         words = words.withColumn("low", F.lower("core")).join(listed, "low", "left")
-        sure = F.coalesce("listed", F.lit(False)) | (F.col("core").rlike(r"^\p{Lu}\p{Ll}+$") & (F.col("confidence") >= 85))
-    sure = (F.col("confidence") >= 70) & (F.col("core") != "") & (F.col("core").rlike(r"^[\p{N}IVXLCivxlc.:,)(-]+$") | sure)
-    words = words.where(~F.col("title") | sure).select(*keys, "title", "of", "k", "text", "confidence")
-    if ranks is not None:
+        known = F.coalesce("listed", F.lit(False)) | (F.col("core").rlike(r"^\p{Lu}\p{Ll}+$") & (F.col("confidence") >= 85))
+        words = words.where(~F.col("title") | sure_of(F.col("confidence"), F.col("core"), known)).select(*keys, "title", "of", "k", "text", "confidence")
         words = _repaired(words, ranks)
-    line = words.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda w: w["text"]), " ").alias("said"), F.avg("confidence").alias("mean"), F.count("*").alias("kept"), F.first("of").alias("of"))
-    rows = rows.join(line, keys, "left").where(~F.col("title") | (F.col("kept") / F.col("of") >= 0.5))
-    rows = rows.withColumn("text", T.trim(F.regexp_replace(F.coalesce("said", "text"), T.WS + "+", " "))).where((F.col("text") != "") & (_share(F.col("text")) >= 0.55) & ((F.length("text") > 1) | F.col("text").rlike("[0-9]")))
+        line = words.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda w: w["text"]), " ").alias("said"), F.avg("confidence").alias("mean"), F.count("*").alias("kept"), F.first("of").alias("of"))
+        rows = rows.join(line, keys, "left").where(~F.col("title") | (F.col("kept") / F.col("of") >= 0.5))
+    rows = _once(rows, "text", T.trim(F.regexp_replace(F.coalesce("said", "text"), T.SPACE + "+", " "))).where((F.col("text") != "") & (_share(F.col("text")) >= 0.55) & ((F.length("text") > 1) | F.col("text").rlike("[0-9]")))
     if ranks is not None:
         rows = _worded(rows, ranks, keys)
     scale = F.col("scale")

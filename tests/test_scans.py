@@ -146,3 +146,16 @@ def test_tokens_are_mended_as_far_as_they_are_unsure(spark):
     line = ("x", 90.0, (0.0, 0.0, 300.0, 10.0), [word("thc", 40.0, 0), word("gardcn", 50.0, 1), word("gardcn", 85.0, 2), word("Ofthe", 95.0, 3), word("the", 95.0, 4)])
     got = got_lines(spark, [[line]], spark.createDataFrame(list(RANK.items()), "word string, rank long"))
     assert [x[0] for x in got[0]] == ["the garden gardcn Of the the"]
+
+
+def test_recognised_lines_shuffle_once(spark):
+    """Words and heights are looked at inside a page; only the numbers of the lines that are left need the page's lines together."""
+    word = lambda t, c=90.0, h=20.0: (t, c, (0.0, 0.0, 50.0, h))
+    line = lambda y, *words: (" ".join(w[0] for w in words), 90.0, (0.0, y, 100.0, y + 20.0), list(words))
+    lines = [line(60.0, word("second"), word("of"), word("two")), line(30.0, word("first"), word("line")), line(0.0, word("Title", 95.0, 40.0), word("unsure", 72.0, 40.0)), line(90.0, word("Lost", 72.0, 40.0), word("title", 72.0, 40.0)), line(120.0, word("third"), word("here"))]
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    kind = f"array<struct<paragraphs:array<struct<lines:array<struct<text:string,confidence:double,bbox:{box},words:array<struct<text:string,confidence:double,bbox:{box}>>>>>>>>"
+    rows = [(1, 1, 2.0, [([(lines[:2],), (None,)],), (None,), ([(lines[2:],)],)]), (1, 2, 2.0, None)]
+    got = scans.recognised_lines(spark.createDataFrame(rows, f"book int, page int, scale double, blocks {kind}"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [(x.line_no, x.text, x.size) for x in got.orderBy("line_no").collect()] == [(0, "Title", 17.0), (1, "first line", 8.5), (2, "second of two", 8.5), (3, "third here", 8.5)]
